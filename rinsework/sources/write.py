@@ -21,7 +21,15 @@ def write(df: DataFrame, path: str, file_format: str = "PARQUET", mode: str = "e
     writer = writer.mode(mode)
     if kind in ("CSV", "TSV"):
         sep = "\t" if kind == "TSV" else ","
-        writer.options(header=True, sep=sep, quote='"', escape='"', encoding="UTF-8").csv(path)
+        writer.options(
+            header=True,
+            sep=sep,
+            quote='"',
+            escape='"',
+            encoding="UTF-8",
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        ).csv(path)
     elif kind == "JSON":
         writer.option("ignoreNullFields", False).json(path)
     else:
