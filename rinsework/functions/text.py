@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 SPACE = r"\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}"
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
+SPACES = "".join(
+    chr(c)
+    for first, last in (
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    )
+    for c in range(first, last + 1)
+)
 
 
 def strip(c: Column) -> Column:
     """Remove all white space at both ends, not only blanks."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """Turn every run of white space into one blank and strip the ends."""
-    return F.btrim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    # single blanks, by far the most common, need no replacement
+    return F.btrim(F.regexp_replace(c, f"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def drop_punctuation(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rinsework.functions.pytext import python_text
 from rinsework.functions.text import quote
 from rinsework.names import col, data_columns, dtype, is_nested, known, put, value
+from rinsework.operators.sizes import fixed_width
 from rinsework.plans.onerow import measure
 from rinsework.streaming.guard import require_batch
 
@@ -66,17 +67,21 @@ def reorder_columns(df: DataFrame, ordered: list[str]) -> DataFrame:
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """Columns with at most one distinct non-null value; smallest equals largest, so no distinct count."""
+    """Columns with at most one distinct non-null value, without a distinct count.
+
+    A column is constant when its smallest value equals its largest. Text is first judged by the hash of
+    the value, a plain number; only columns whose hashes agree are compared as text.
+    """
     columns = data_columns(df)
-    wanted = {}
-    for c in columns:
-        if is_nested(dtype(df, c)):
-            wanted[(c, "lo")] = F.min(F.to_json(F.struct(col(c))))
-            wanted[(c, "hi")] = F.max(F.to_json(F.struct(col(c))))
-        else:
-            wanted[(c, "lo")], wanted[(c, "hi")] = F.min(value(df, c)), F.max(value(df, c))
-    got = measure(df, wanted)
-    return [c for c in columns if got[(c, "lo")] == got[(c, "hi")]]
+    cells = {c: F.to_json(F.struct(col(c))) if is_nested(dtype(df, c)) else value(df, c) for c in columns}
+    cells = {c: F.when(col(c).isNotNull(), e) for c, e in cells.items()}
+    fixed = {c for c in columns if fixed_width(dtype(df, c)) is not None}
+    judged = {c: e if c in fixed else F.when(e.isNotNull(), F.xxhash64(e)) for c, e in cells.items()}
+    got = measure(df, {(c, k): f(e) for c, e in judged.items() for k, f in (("lo", F.min), ("hi", F.max))})
+    alike = [c for c in columns if got[(c, "lo")] == got[(c, "hi")]]
+    unsure = [c for c in alike if c not in fixed and got[(c, "lo")] is not None]
+    exact = measure(df, {(c, k): f(cells[c]) for c in unsure for k, f in (("lo", F.min), ("hi", F.max))})
+    return [c for c in alike if c not in unsure or exact[(c, "lo")] == exact[(c, "hi")]]
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:

@@ -169,12 +169,10 @@ def as_dates(df: DataFrame, column: str, order_by: str = ROW_ID):
 
 @dataclass(frozen=True)
 class NarrowModel:
-    """New type or category mark per column, with the estimated sizes."""
+    """New type per column, and the columns that get the category mark."""
 
     types: dict[str, T.DataType]
     marks: frozenset[str]
-    before: int
-    after: int
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = []
@@ -183,62 +181,66 @@ class NarrowModel:
             out.append(e.alias(c, metadata=CATEGORY) if c in self.marks else e.alias(c))
         return df.select(*out)
 
-    def report(self, df: DataFrame) -> DataFrame:
-        mega, saved = 1024.0**2, self.before - self.after
-        figures = (
-            round(self.before / mega, 2),
-            round(self.after / mega, 2),
-            round(saved / mega, 2),
-            round(saved / self.before * 100, 1) if self.before else 0.0,
-        )
-        return df.sparkSession.createDataFrame(
-            [figures], "start_mb double, end_mb double, saved_mb double, saved_pct double"
-        )
-
-
-def fit_narrow(df: DataFrame, narrow_floats: bool = True, rows: int | None = None) -> NarrowModel:
-    """Choose the narrowest types; ``rows`` overrides the row count of the low-cardinality test."""
+
+def narrow_from(
+    df: DataFrame, ranges: dict[str, tuple], distinct: dict[str, int], rows: int, narrow_floats: bool = True
+) -> NarrowModel:
+    """Choose types from known ranges (smallest, largest) and distinct counts of the text columns."""
+    types, marks = {}, set()
+    for c in data_columns(df):
+        t = dtype(df, c)
+        low, high = ranges.get(c, (None, None))
+        if is_integral(t):
+            types[c] = _narrow_int(low, high, t)
+        elif isinstance(t, T.DoubleType) and narrow_floats and low is not None:
+            types[c] = T.FloatType()
+        elif 0 < distinct.get(c, 0) < 100 and distinct[c] < rows * 0.3:
+            marks.add(c)
+    return NarrowModel(types, frozenset(marks))
+
+
+def narrow_types(df: DataFrame, narrow_floats: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Smallest integer width by range, single-precision floats, category mark for low-cardinality text.
+
+    Returns the narrowed table and a one-row table with estimated megabytes before and after.
+    """
     require_batch(df, "narrow_types")
     columns = data_columns(df)
     wanted = {"rows": F.count(F.lit(1))}
     for c in columns:
-        if is_integral(dtype(df, c)):
-            wanted[(c, "lo")], wanted[(c, "hi")] = F.min(col(c)), F.max(col(c))
-        elif isinstance(dtype(df, c), T.DoubleType):
-            wanted[(c, "n")] = F.count(value(df, c))
+        if is_integral(dtype(df, c)) or isinstance(dtype(df, c), T.DoubleType):
+            wanted[(c, "lo")], wanted[(c, "hi")] = F.min(value(df, c)), F.max(value(df, c))
         if fixed_width(dtype(df, c)) is None:
             wanted[(c, "bytes")] = F.sum(column_bytes(df, c))
     got = measure(df, wanted)
-    n, limit = got["rows"], (got["rows"] if rows is None else rows) * 0.3
     text = [c for c in columns if is_text(dtype(df, c)) and not is_category(df.schema[c])]
     distinct = low_cardinality(df, text, 100)
-    types, marks, before, after = {}, set(), 0, 0
-    for c in columns:
-        t = new = dtype(df, c)
-        if is_integral(t):
-            new = _narrow_int(got[(c, "lo")], got[(c, "hi")], t)
-        elif isinstance(t, T.DoubleType) and narrow_floats and got[(c, "n")]:
-            new = T.FloatType()
-        elif 0 < distinct.get(c, 0) < 100 and distinct[c] < limit:
-            marks.add(c)
-        types[c] = new
-        size = got.get((c, "bytes"), (fixed_width(t) or 0) * n) or 0
+    ranges = {c: (got[(c, "lo")], got[(c, "hi")]) for c in columns if (c, "lo") in got}
+    model = narrow_from(df, ranges, distinct, got["rows"], narrow_floats)
+    return model.apply(df), _size_report(df, model, got, distinct)
+
+
+def _size_report(df: DataFrame, model: NarrowModel, got: dict, distinct: dict[str, int]) -> DataFrame:
+    n, before, after = got["rows"], 0, 0
+    for c in data_columns(df):
+        width = fixed_width(dtype(df, c))
+        size = (got[(c, "bytes")] or 0) if width is None else width * n
         before += size
-        if c in marks:
+        if c in model.marks:
             # one byte per row for the code, plus the dictionary
             after += n + (size * distinct[c]) // max(1, n)
         else:
-            after += size if fixed_width(new) is None else fixed_width(new) * n
-    return NarrowModel(types, frozenset(marks), before, after)
-
-
-def narrow_types(df: DataFrame, narrow_floats: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Smallest integer width by range, single-precision floats, category mark for low-cardinality text.
-
-    Returns the narrowed table and a one-row table with estimated megabytes before and after.
-    """
-    model = fit_narrow(df, narrow_floats)
-    return model.apply(df), model.report(df)
+            after += size if width is None else fixed_width(model.types.get(c, dtype(df, c))) * n
+    mega, saved = 1024.0**2, before - after
+    figures = (
+        round(before / mega, 2),
+        round(after / mega, 2),
+        round(saved / mega, 2),
+        round(saved / before * 100, 1) if before else 0.0,
+    )
+    return df.sparkSession.createDataFrame(
+        [figures], "start_mb double, end_mb double, saved_mb double, saved_pct double"
+    )
 
 
 def _narrow_cast(df: DataFrame, name: str, t: T.DataType):

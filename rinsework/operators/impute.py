@@ -49,15 +49,16 @@ def fit_fill(df: DataFrame, columns: list[str], strategy: str, custom_value: Any
         got = modes(df, columns)
         return FillModel({c: m[0] for c, m in got.items()})
     columns = [c for c in columns if is_numeric(dtype(df, c))]
-    wanted = {(c, "nulls"): F.count_if(value(df, c).isNull()) for c in columns}
+    wanted = {"rows": F.count(F.lit(1)), **{(c, "n"): F.count(value(df, c)) for c in columns}}
     if strategy == "mean":
         wanted.update({(c, "fill"): F.avg(number(df, c)) for c in columns})
     got = measure(df, wanted)
-    gaps = [c for c in columns if got[(c, "nulls")] > 0]
+    gaps = [c for c in columns if got[(c, "n")] < got["rows"]]
     if strategy == "mean":
         fills = {c: got[(c, "fill")] for c in gaps}
     else:
-        fills = {c: v[0] for c, v in column_quantiles(df, {c: [0.5] for c in gaps}).items()}
+        counts = {c: got[(c, "n")] for c in gaps}
+        fills = {c: v[0] for c, v in column_quantiles(df, {c: [0.5] for c in gaps}, counts=counts).items()}
     whole = frozenset(c for c in gaps if is_integral(dtype(df, c)))
     return FillModel({c: v for c, v in fills.items() if v is not None}, whole)
 

@@ -13,8 +13,11 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rinsework.names import data_columns, numeric_columns, text_columns
+from rinsework.names import col, data_columns, dtype, is_integral, numeric_columns, text_columns, value
 from rinsework.operators import columns, dedup, dtypes, encode, features, impute, outliers, rows, scale, text
+from rinsework.plans.counts import modes
+from rinsework.plans.onerow import measure
+from rinsework.plans.quantiles import column_quantiles
 
 LOADED = "Dataset Loaded"
 
@@ -22,23 +25,44 @@ LOADED = "Dataset Loaded"
 def smart_clean(df: DataFrame) -> DataFrame:
     """Trim and collapse white space, fill gaps, drop duplicates and constant columns, narrow types.
 
-    Ranges and distinct values are the same before and after whole-row duplicates go, so the last two
-    steps are fitted on the table before that shuffle; only the row count after it is looked up.
+    Filling with a median or mode stays inside a column's range and adds no text, and whole-row
+    duplicates change neither. So one aggregate, the medians and the value counts of the cleaned text
+    decide all later steps, and the table itself is shuffled once, to drop the duplicates.
     """
     words = text_columns(df)
     if words:
         df = text.clean_text(df, words, "trim")
         df = text.clean_text(df, words, "remove_extra_spaces")
-    numbers = impute.fit_fill(df, numeric_columns(df), "median")
-    commons = impute.fit_fill(df, words, "mode")
-    filled = commons.apply(numbers.apply(df))
-    static = columns.constant_columns(filled)
+    every, numbers = data_columns(df), numeric_columns(df)
+    wanted = {"rows": F.count(F.lit(1)), **{c: F.count(value(df, c)) for c in every}}
+    for c in numbers:
+        wanted[(c, "lo")], wanted[(c, "hi")] = F.min(value(df, c)), F.max(value(df, c))
+    got = measure(df, wanted)
+    ranges = {c: (got[(c, "lo")], got[(c, "hi")]) for c in numbers}
+    gaps = [c for c in numbers if got[c] < got["rows"]]
+    medians = column_quantiles(df, {c: [0.5] for c in gaps}, counts=got)
+    tops = modes(df, words)
+    fills = {c: m[0] for c, m in medians.items() if m[0] is not None}
+    whole = frozenset(c for c in fills if is_integral(dtype(df, c)))
+    fills.update({c: top[0] for c, top in tops.items()})
+    filled = impute.FillModel(fills, whole).apply(df)
+    distinct = {c: top[2] for c, top in tops.items()}
+    static = [c for c in words if distinct.get(c, 0) <= 1] + [c for c in numbers if ranges[c][0] == ranges[c][1]]
+    others = [c for c in every if c not in words and c not in numbers]
+    static += columns.constant_columns(df.select(*[col(c) for c in others])) if others else []
     kept = columns.drop_columns(filled, static)
-    unique_rows = filled.count() - dedup.duplicate_count(filled).first()[0]
-    narrow = dtypes.fit_narrow(kept, rows=unique_rows)
+    narrow = dtypes.narrow_from(kept, ranges, distinct, _rows_at_least(filled, distinct, got["rows"]))
     return narrow.apply(columns.drop_columns(dedup.remove_duplicates(filled), static))
 
 
+def _rows_at_least(filled: DataFrame, distinct: dict[str, int], rows: int) -> int:
+    """Rows after whole-row duplicates are gone, or any number that decides the 30 % test alike."""
+    fewest = max(distinct.values(), default=0)
+    if all((d < fewest * 0.3) == (d < rows * 0.3) for d in distinct.values() if d < 100):
+        return fewest
+    return rows - dedup.duplicate_count(filled).first()[0]
+
+
 STEPS: dict[str, Callable[..., DataFrame]] = {
     "rename_columns": columns.rename_columns,
     "drop_columns": columns.drop_columns,

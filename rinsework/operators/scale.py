@@ -50,15 +50,17 @@ def fit_scaler(df: DataFrame, columns: list[str], scaler: str) -> ScaleModel:
     wanted = {}
     for c in columns:
         x = number(df, c)
+        wanted[(c, "n")] = F.count(x)
         wanted[(c, "nulls")] = F.count_if(x.isNull())
         if scaler == "StandardScaler":
-            wanted.update({(c, "n"): F.count(x), (c, "mean"): F.avg(x), (c, "var"): F.var_pop(x)})
+            wanted.update({(c, "mean"): F.avg(x), (c, "var"): F.var_pop(x)})
         elif scaler in ("MinMaxScaler", "MaxAbsScaler"):
             wanted.update({(c, "lo"): F.min(x), (c, "hi"): F.max(x)})
     got = measure(df, wanted)
     probs = [0.25, 0.5, 0.75] if scaler == "RobustScaler" else [0.5]
     with_quantiles = columns if scaler == "RobustScaler" else [c for c in columns if got[(c, "nulls")]]
-    quantiles = column_quantiles(df, {c: probs for c in with_quantiles})
+    counts = {c: got[(c, "n")] for c in columns}
+    quantiles = column_quantiles(df, {c: probs for c in with_quantiles}, counts=counts)
     fills = {c: (quantiles[c][len(probs) // 2] if c in quantiles else 0.0) for c in columns}
     if scaler == "Normalizer":
         return ScaleModel(fills, by_row=True)
@@ -69,7 +71,8 @@ def fit_scaler(df: DataFrame, columns: list[str], scaler: str) -> ScaleModel:
         if gaps:
             # the fill adds copies of the median, which moves the quartiles
             padded = df.select(*[F.coalesce(number(df, c), F.lit(fills[c])).alias(c) for c in gaps])
-            refit = column_quantiles(padded, {c: probs for c in gaps})
+            totals = {c: got[(c, "n")] + got[(c, "nulls")] for c in gaps}
+            refit = column_quantiles(padded, {c: probs for c in gaps}, counts=totals)
     for c in columns:
         if fills[c] is None:
             continue

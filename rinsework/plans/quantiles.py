@@ -26,11 +26,14 @@ def column_quantiles(
     wanted: dict[str, Sequence[float]],
     direct_rows: int = DIRECT_ROWS,
     finish_values: int = FINISH_VALUES,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Interpolated quantiles of several columns in a bounded number of jobs."""
-    return expression_quantiles(
-        df, {c: number(df, c) for c in wanted}, wanted, direct_rows, finish_values
-    )
+    """Interpolated quantiles of several columns in a bounded number of jobs.
+
+    ``counts`` gives the non-missing rows per column where they are known, which saves a scan.
+    """
+    exprs = {c: number(df, c) for c in wanted}
+    return expression_quantiles(df, exprs, wanted, direct_rows, finish_values, counts)
 
 
 def expression_quantiles(
@@ -39,18 +42,20 @@ def expression_quantiles(
     wanted: dict,
     direct_rows: int = DIRECT_ROWS,
     finish_values: int = FINISH_VALUES,
+    counts: dict | None = None,
 ) -> dict:
     if not exprs:
         return {}
-    counts = measure(df, {k: F.count(e) for k, e in exprs.items()})
-    small = [k for k, n in counts.items() if 0 < n <= direct_rows]
+    if counts is None:
+        counts = measure(df, {k: F.count(e) for k, e in exprs.items()})
+    small = [k for k in exprs if 0 < counts[k] <= direct_rows]
     answer: dict = {k: [None] * len(wanted[k]) for k in exprs}
     if small:
         direct = measure(
             df, {k: F.percentile(exprs[k], F.array(*[F.lit(float(q)) for q in wanted[k]])) for k in small}
         )
         answer.update({k: list(v) for k, v in direct.items()})
-    large = [k for k, n in counts.items() if n > direct_rows]
+    large = [k for k in exprs if counts[k] > direct_rows]
     if large:
         places = {k: [q * (counts[k] - 1) for q in wanted[k]] for k in large}
         ranks = {(k, r) for k in large for p in places[k] for r in (math.floor(p), math.ceil(p))}

@@ -57,7 +57,8 @@ class TableStats:
         for c in self.columns:
             t, v = self.types[c], value(df, c)
             wanted[(c, "count")] = F.count(v)
-            if not is_nested(t):
+            if c in self.numeric:
+                # numbers only: a text buffer would take the whole aggregate off the hash path
                 wanted[(c, "min")], wanted[(c, "max")] = F.min(v), F.max(v)
             if fixed_width(t) is None:
                 wanted[(c, "bytes")] = F.sum(column_bytes(df, c))
@@ -101,7 +102,8 @@ class TableStats:
 
     @cached_property
     def quartiles(self) -> dict[str, list]:
-        return column_quantiles(self.df, {c: [0.25, 0.5, 0.75] for c in self.numeric})
+        counts = {c: self.count(c) for c in self.numeric}
+        return column_quantiles(self.df, {c: [0.25, 0.5, 0.75] for c in self.numeric}, counts=counts)
 
     @cached_property
     def outliers(self) -> dict[str, int]:
@@ -138,9 +140,9 @@ class TableStats:
 
     def is_constant(self, c: str) -> bool:
         """At most one distinct non-null value."""
-        if is_nested(self.types[c]):
-            return self.count(c) == 0
-        return self.basics[(c, "min")] == self.basics[(c, "max")]
+        if c in self.numeric:
+            return self.basics[(c, "min")] == self.basics[(c, "max")]
+        return self.count(c) == 0 or self.distinct(c) == 1
 
     def is_mixed(self, c: str) -> bool:
         """More than one kind of value. Typed storage is never mixed unless it is a variant."""

@@ -418,15 +418,16 @@ def o1(spark, folder):
 @query(
     "o1_iqr_bounds",
     with_messy(
-        "SELECT round_even(lo, 4) AS lower_bound, round_even(hi, 4) AS upper_bound, round_even(q1, 4) AS q1, "
-        "round_even(q3, 4) AS q3, round_even(q3 - q1, 4) AS iqr FROM iqr",
+        "SELECT round(lo, 2) AS lower_bound, round(hi, 2) AS upper_bound, round(q1, 2) AS q1, "
+        "round(q3, 2) AS q3, round(q3 - q1, 2) AS iqr FROM iqr",
         _IQR,
     ),
 )
 def o1_bounds(spark, folder):
     meta = outliers.fit_outliers(_priced(spark, folder), "price", "IQR").meta
     names = ("lower_bound", "upper_bound", "q1", "q3", "iqr")
-    return spark.createDataFrame([tuple(meta[n] for n in names)], ", ".join(f"{n} double" for n in names))
+    bounds = spark.createDataFrame([tuple(meta[n] for n in names)], ", ".join(f"{n} double" for n in names))
+    return bounds.select(*[F.round(n, 2).alias(n) for n in names])
 
 
 @query(
@@ -534,12 +535,13 @@ def o8(spark, folder):
 @query(
     "o9_cap_bounds",
     with_messy(
-        "SELECT row_id, CASE WHEN price IS NOT NULL THEN least(greatest(price, round_even(lo, 4)), round_even(hi, 4)) END AS price FROM messy, iqr",
+        "SELECT row_id, round(CASE WHEN price IS NOT NULL THEN least(greatest(price, lo), hi) END, 2) AS price FROM messy, iqr",
         _IQR,
     ),
 )
 def o9(spark, folder):
-    return outliers.handle_outliers(_priced(spark, folder), "price", "IQR", "Cap")
+    out = outliers.handle_outliers(_priced(spark, folder), "price", "IQR", "Cap")
+    return out.select("row_id", F.round("price", 2).alias("price"))
 
 
 @query(

@@ -186,12 +186,12 @@ _FILLED = (
 )
 
 
-def _scaled(spark, folder, scaler, digits=9):
+def _scaled(spark, folder, scaler, digits=7):
     df = scale.scale_features(messy(spark, folder).select("row_id", "dept", "price", "qty"), ["price", "qty", "dept"], scaler)
     return df.select("row_id", F.round("price", digits).alias("price"), F.round("qty", digits).alias("qty"))
 
 
-def _scale_sql(p: str, q: str, digits: int = 9) -> str:
+def _scale_sql(p: str, q: str, digits: int = 7) -> str:
     return with_messy(f"SELECT row_id, round({p}, {digits}) AS price, round({q}, {digits}) AS qty FROM filled", _FILLED)
 
 

@@ -608,7 +608,7 @@ def l5(spark, folder):
 @query(
     "l2_recipe_features",
     with_messy(
-        "SELECT row_id, price, qty, round(price / CASE WHEN qty <> 0 THEN qty END, 10) AS unit_price FROM messy WHERE price IS NOT NULL"
+        "SELECT row_id, price, qty, round(price / CASE WHEN qty <> 0 THEN qty END, 8) AS unit_price FROM messy WHERE price IS NOT NULL"
     ),
 )
 def l2_features(spark, folder):
@@ -618,4 +618,4 @@ def l2_features(spark, folder):
         .push("math_column", AS_OF, column="price", op="divide", operand="qty", new_name="unit_price")
     )
     out = steps.apply(messy(spark, folder).select("row_id", "price", "qty"))
-    return out.withColumn("unit_price", F.round("unit_price", 10))
+    return out.withColumn("unit_price", F.round("unit_price", 8))
