@@ -47,10 +47,20 @@ def drop_special(c: Column) -> Column:
     return F.regexp_replace(c, f"[^A-Za-z0-9{SPACE}]", "")
 
 
+# a code point that is no character, so texts do not hold it
+MARK = "\ufdd0"
+
+
 def title(c: Column) -> Column:
-    """Capital first letter of every run of letters."""
+    """Capital first letter of every run of letters.
+
+    ``initcap`` starts words at blanks only, so a mark and a blank go before every run and come out again.
+    """
+    marked = F.regexp_replace(c, r"\p{L}+", MARK + " $0")
+    quick = F.replace(F.initcap(marked), F.lit(MARK + " "), F.lit(""))
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    careful = F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(F.contains(c, F.lit(MARK)), careful).otherwise(quick)
 
 
 def is_blank(c: Column) -> Column:

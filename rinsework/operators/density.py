@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rinsework.plans.cut import cut
 from rinsework.plans.onerow import measure
-from rinsework.plans.ordered import BLOCK_ROWS, positions, running_sum, with_halo
+from rinsework.plans.ordered import positions, running_sum, with_halo
 
 
 def _ordered_values(filled: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _ordered_values(filled: DataFrame) -> DataFrame:
 
 
 def noise_values(
-    filled: DataFrame, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS
+    filled: DataFrame, eps: float, min_samples: int, block_rows: int | None = None
 ) -> DataFrame:
     """Values that are noise: not core, and no core value within ``eps`` (in standard deviations).
 
@@ -49,7 +49,7 @@ def noise_values(
     return cut(noise.select("value", "n", F.lit(True).alias("hit")))
 
 
-def local_outlier_factors(filled: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def local_outlier_factors(filled: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """Local outlier factor of every distinct value: columns value, n, lof.
 
     The k nearest rows of a row are its own copies first, then the values beside it; equal distances go
@@ -106,7 +106,7 @@ def local_outlier_factors(filled: DataFrame, k: int, block_rows: int = BLOCK_ROW
 
 
 def local_outlier_values(
-    filled: DataFrame, k: int, contamination: float, block_rows: int = BLOCK_ROWS
+    filled: DataFrame, k: int, contamination: float, block_rows: int | None = None
 ) -> DataFrame:
     """Values whose factor lies above the (1 - contamination) quantile over all rows."""
     # rounding hides the last bits, which depend on the order of summation

@@ -38,7 +38,7 @@ def detect_types(df: DataFrame, order_by: str = ROW_ID, approximate: float | Non
     require_batch(df, "detect_types")
     columns = data_columns(df)
     text = [c for c in columns if is_text(dtype(df, c)) and not is_category(df.schema[c])]
-    dated = {c for c in text if _reads_as_dates(df, c, order_by)}
+    dated = _dated_columns(df, text, order_by)
     rest = [
         c
         for c in columns
@@ -73,18 +73,25 @@ def detect_types(df: DataFrame, order_by: str = ROW_ID, approximate: float | Non
     return df.sparkSession.createDataFrame(labels, "column_name string, logical_type string")
 
 
-def _reads_as_dates(df: DataFrame, name: str, order_by: str) -> bool:
-    """Do the first values all have the format of the very first one?"""
-    present = df.filter(col(name).isNotNull())
-    if order_by in df.columns:
-        present = present.orderBy(col(order_by))
-    probe = [r[0] for r in present.select(col(name)).limit(PROBE_ROWS).collect()]
-    if not probe:
-        return False
-    first = parse.guess_date_format(probe[0])
-    if first is None:
-        return False
-    return all(_has_format(v, first) for v in probe)
+def _dated_columns(df: DataFrame, text: list[str], order_by: str) -> set[str]:
+    """Columns whose first values all have the format of the very first one.
+
+    One aggregate finds every column's first value; only those that look like a date are probed further.
+    """
+    by = col(order_by) if order_by in df.columns else F.monotonically_increasing_id()
+    firsts = measure(df, {c: F.min_by(col(c), F.when(col(c).isNotNull(), by)) for c in text})
+    dated = set()
+    for c in text:
+        guess = parse.guess_date_format(firsts[c]) if firsts[c] is not None else None
+        if guess is None:
+            continue
+        present = df.filter(col(c).isNotNull())
+        if order_by in df.columns:
+            present = present.orderBy(col(order_by))
+        probe = present.select(col(c)).limit(PROBE_ROWS).collect()
+        if all(_has_format(r[0], guess) for r in probe):
+            dated.add(c)
+    return dated
 
 
 def _has_format(text: str, date_format: str) -> bool:

@@ -105,13 +105,13 @@ def random_sample(
     if ROW_ID not in df.columns:
         return df.orderBy(F.rand(seed)).limit(n)
     draw = F.xxhash64(F.lit(seed), col(ROW_ID))
+    # 52 bits, so that the draw survives as a double in the rank search
+    short = F.shiftrightunsigned(draw, 12)
     if n <= top_rows:
-        return df.orderBy(draw, col(ROW_ID)).limit(n)
+        return df.orderBy(short, draw, col(ROW_ID)).limit(n)
     rows = df.count()
     if n >= rows:
         return df
-    # 52 bits, so that the draw survives as a double in the rank search
-    short = F.shiftrightunsigned(draw, 12)
     last = int(rank_value(df, short.cast("double"), n - 1))
     below = measure(df, {"n": F.count_if(short < last)})["n"]
     tied = df.filter(short == last).orderBy(draw, col(ROW_ID)).limit(n - below).select(col(ROW_ID)).collect()

@@ -7,17 +7,25 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.names import col
+
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 2_000
 
 
-def _matches(df: DataFrame, model: DataFrame, keys: dict[str, str]):
-    return reduce(lambda a, b: a & b, [df[f"`{k}`"].eqNullSafe(model[m]) for k, m in keys.items()])
+def _named(model: DataFrame, keys: dict[str, str], payload: list[str]) -> DataFrame:
+    """Key and payload columns under names of their own, so that joins stay unambiguous."""
+    cells = [F.col(m).alias(f"__key{i}") for i, m in enumerate(keys.values())]
+    return model.select(*cells, *[F.col(p).alias(f"__pay{i}") for i, p in enumerate(payload)])
 
 
-def _left(df: DataFrame, model: DataFrame, keys: dict[str, str], payload: list[str]) -> DataFrame:
-    return df.join(model, _matches(df, model, keys), "left").select(
-        *[df[f"`{c}`"] for c in df.columns], *[model[p] for p in payload]
+def _join(df: DataFrame, model: DataFrame, keys: dict[str, str], payload: list[str], how: str) -> DataFrame:
+    matches = [col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    joined = df.join(model, reduce(lambda a, b: a & b, matches), how)
+    if how == "left_anti":
+        return joined
+    return joined.select(
+        *[col(c) for c in df.columns], *[F.col(f"__pay{i}").alias(p) for i, p in enumerate(payload)]
     )
 
 
@@ -39,16 +47,11 @@ def attach(
     """
     size = model.agg(F.count(F.lit(1)), F.sum(weight)).first()
     model_rows, total = size[0], size[1] or 0
-    plain = model.select(*keys.values(), *payload)
     if model_rows <= broadcast_rows:
-        return _left(df, F.broadcast(plain), keys, payload)
+        return _join(df, F.broadcast(_named(model, keys, payload)), keys, payload, "left")
     is_hot = F.col(weight) * hot_keys >= F.lit(total)
-    hot = model.filter(is_hot).select(*keys.values(), *payload)
-    cold = model.filter(~is_hot).select(*keys.values(), *payload)
-    hot = F.broadcast(hot)
-    in_hot = df.join(hot, _matches(df, hot, keys), "inner").select(
-        *[df[f"`{c}`"] for c in df.columns], *[hot[p] for p in payload]
-    )
-    outside = df.join(hot, _matches(df, hot, keys), "left_anti")
-    return in_hot.unionByName(_left(outside, cold, keys, payload))
-
+    hot = F.broadcast(_named(model.filter(is_hot), keys, payload))
+    cold = _named(model.filter(~is_hot), keys, payload)
+    in_hot = _join(df, hot, keys, payload, "inner")
+    outside = _join(df, hot, keys, payload, "left_anti")
+    return in_hot.unionByName(_join(outside, cold, keys, payload, "left"))

@@ -67,21 +67,26 @@ def running_sum(df: DataFrame, order: list[str], what: str, name: str) -> DataFr
     return summed.select(*[col(c) for c in df.columns], (F.col("__before") + F.col("__inside")).alias(name))
 
 
-def with_halo(placed: DataFrame, position: str, halo: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_halo(placed: DataFrame, position: str, halo: int, block_rows: int | None = None) -> DataFrame:
     """Cut positioned rows into equal blocks and copy the ``halo`` rows on either side into each.
 
     Adds ``block`` and ``home``; frames of up to ``halo`` rows inside a block see what they would
-    see in the whole table, for rows with ``home`` true.
+    see in the whole table, for rows with ``home`` true. Blocks are spread over as many tasks.
     """
+    rows = placed.count()
+    parallel = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if block_rows is None:
+        block_rows = min(BLOCK_ROWS, rows // parallel + 1)
+        block_rows = max(block_rows, 16 * halo)
     block_rows = max(block_rows, 4 * halo)
     p = F.col(position)
     own = F.floor(p / block_rows)
     near = F.array_distinct(
         F.array(F.floor((p - halo) / block_rows), own, F.floor((p + halo) / block_rows))
     )
-    return placed.withColumn("__own", own).withColumn("block", F.explode(near)).withColumn(
-        "home", F.col("block") == F.col("__own")
-    ).drop("__own")
+    spread = placed.withColumn("__own", own).withColumn("block", F.explode(near))
+    tasks = max(1, min(MAX_RANGES, rows // block_rows + 1))
+    return spread.withColumn("home", F.col("block") == F.col("__own")).drop("__own").repartition(tasks, "block")
 
 
 def _as_double(df: DataFrame, name: str) -> Column | None:
