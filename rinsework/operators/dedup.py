@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.names import ROW_ID, col, data_columns, dtype, known, value
+from rinsework.plans.cut import cut
+from rinsework.plans.lookup import BROADCAST_ROWS
 from rinsework.streaming.guard import require_batch
 
 
@@ -66,10 +68,24 @@ def remove_duplicates(
     return kept.select(*[place[c].alias(c) for c in df.columns])
 
 
-def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """One row: how many rows repeat an earlier one."""
+def duplicate_count(
+    df: DataFrame, subset: list[str] | None = None, listed: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row: how many rows repeat an earlier one.
+
+    Equal rows have equal hashes, so rows whose hash occurs once need no further look: only 64-bit hashes
+    are shuffled for them. Rows that share a hash are then compared in full. Where more than ``listed``
+    hashes repeat, all rows are compared in full right away.
+    """
     require_batch(df, "duplicate_count")
     keys = data_columns(df) if subset is None else known(df, subset, strict=True)
-    groups = df.groupBy(*[_comparable(df, c).alias(f"k{i}") for i, c in enumerate(keys)])
-    counted = groups.agg(F.count(F.lit(1)).alias("n"))
+    slim = df.select(*[_comparable(df, c).alias(f"k{i}") for i, c in enumerate(keys)])
+    names = [F.col(f"k{i}") for i in range(len(keys))]
+    hashed = slim.withColumn("__hash", F.xxhash64(*names))
+    repeated = cut(
+        hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__hash").alias("__again"))
+    )
+    if repeated.count() <= listed:
+        slim = hashed.join(F.broadcast(repeated), F.col("__hash") == F.col("__again"), "left_semi")
+    counted = slim.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0).cast("bigint")).alias("duplicates"))

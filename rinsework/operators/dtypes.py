@@ -23,7 +23,7 @@ from rinsework.names import (
     value,
 )
 from rinsework.operators.sizes import column_bytes, fixed_width
-from rinsework.plans.counts import distinct_counts, low_cardinality
+from rinsework.plans.counts import decisive_counts
 from rinsework.plans.onerow import measure
 from rinsework.streaming.guard import require_batch
 
@@ -33,7 +33,7 @@ PROBE_ROWS = 100
 CATEGORY = {"logical": "category"}
 
 
-def detect_types(df: DataFrame, order_by: str = ROW_ID, approximate: float | None = None) -> DataFrame:
+def detect_types(df: DataFrame, order_by: str = ROW_ID) -> DataFrame:
     """Logical type label per column."""
     require_batch(df, "detect_types")
     columns = data_columns(df)
@@ -44,8 +44,9 @@ def detect_types(df: DataFrame, order_by: str = ROW_ID, approximate: float | Non
         for c in columns
         if c not in dated and not is_time(dtype(df, c)) and not isinstance(dtype(df, c), T.BooleanType)
     ]
-    distinct = distinct_counts(df, rest, approximate)
-    wanted = {"rows": F.count(F.lit(1))}
+    n = measure(df, {"rows": F.count(F.lit(1))})["rows"]
+    distinct = decisive_counts(df, rest, n, [2, 20, n * 0.1])
+    wanted = {}
     for c in [c for c in rest if distinct.get(c) == 2]:
         v = value(df, c)
         words = parse.BOOLEAN_WORDS if is_text(dtype(df, c)) else (0, 1)
@@ -66,7 +67,7 @@ def detect_types(df: DataFrame, order_by: str = ROW_ID, approximate: float | Non
         elif is_category(df.schema[c]):
             label = "Category"
         elif is_text(t):
-            label = "Category" if 0 < d < 20 or d < got["rows"] * 0.1 else "Text/Object"
+            label = "Category" if 0 < d < 20 or d < n * 0.1 else "Text/Object"
         else:
             label = t.simpleString()
         labels.append((c, label))
@@ -221,7 +222,7 @@ def narrow_types(df: DataFrame, narrow_floats: bool = True) -> tuple[DataFrame,
             wanted[(c, "bytes")] = F.sum(column_bytes(df, c))
     got = measure(df, wanted)
     text = [c for c in columns if is_text(dtype(df, c)) and not is_category(df.schema[c])]
-    distinct = low_cardinality(df, text, 100)
+    distinct = decisive_counts(df, text, got["rows"], [100, got["rows"] * 0.3])
     ranges = {c: (got[(c, "lo")], got[(c, "hi")]) for c in columns if (c, "lo") in got}
     model = narrow_from(df, ranges, distinct, got["rows"], narrow_floats)
     return model.apply(df), _size_report(df, model, got, distinct)

@@ -101,8 +101,8 @@ def _static(s: TableStats):
     for c in s.columns:
         if not s.count(c):
             yield "Column Check", c, s.rows, 100.0, None, "danger", f"{c} is empty", "drop the column"
-        elif s.distinct(c) == 1:
-            only = s.mode(c)
+        elif s.is_constant(c):
+            only = s.only_values[c]
             yield (
                 "Column Check", c, s.rows, 100.0, only, "info",
                 f"{c} holds the single value {only!r}", "drop the column",
@@ -133,6 +133,6 @@ def _reusable(s: TableStats):
     for c in s.text:
         if s.is_reusable_text(c):
             yield (
-                "Optimization", c, s.distinct(c), None, None, "info",
-                f"{c} has only {s.distinct(c)} different texts", "convert to Category",
+                "Optimization", c, s.sizes[c], None, None, "info",
+                f"{c} has only {s.sizes[c]} different texts", "convert to Category",
             )

@@ -28,7 +28,7 @@ from rinsework.names import (
 )
 from rinsework.operators.dedup import duplicate_count
 from rinsework.operators.sizes import column_bytes, fixed_width
-from rinsework.plans.counts import modes
+from rinsework.plans.counts import decisive_counts, modes
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import column_quantiles
 from rinsework.streaming.guard import require_batch
@@ -57,8 +57,8 @@ class TableStats:
         for c in self.columns:
             t, v = self.types[c], value(df, c)
             wanted[(c, "count")] = F.count(v)
-            if c in self.numeric:
-                # numbers only: a text buffer would take the whole aggregate off the hash path
+            if fixed_width(t) is not None:
+                # no text: its buffers would take the whole aggregate off the hash path
                 wanted[(c, "min")], wanted[(c, "max")] = F.min(v), F.max(v)
             if fixed_width(t) is None:
                 wanted[(c, "bytes")] = F.sum(column_bytes(df, c))
@@ -118,14 +118,30 @@ class TableStats:
 
     @cached_property
     def tops(self) -> dict:
+        """Most frequent value, its count and the exact distinct count per column."""
         return modes(self.df, self.columns)
 
     def distinct(self, c: str) -> int:
+        """Exact distinct values."""
         return self.tops[c][2] if c in self.tops else 0
 
     def mode(self, c: str) -> str | None:
         return self.tops[c][0] if c in self.tops else None
 
+    @cached_property
+    def sizes(self) -> dict[str, int]:
+        """Distinct values of the text columns, good enough for the tests on them."""
+        if "tops" in self.__dict__:
+            return {c: self.distinct(c) for c in self.text + self.category}
+        limits = [50, 100, self.rows * 0.3, self.rows * 0.9]
+        return decisive_counts(self.df, self.text + self.category, self.rows, limits)
+
+    @cached_property
+    def only_values(self) -> dict[str, str]:
+        """The single value of each constant column, as text."""
+        constant = [c for c in self.columns if self.count(c) and self.is_constant(c)]
+        return measure(self.df, {c: F.min(value(self.df, c)).cast("string") for c in constant})
+
     @cached_property
     def duplicates(self) -> int:
         return duplicate_count(self.df).first()[0]
@@ -140,9 +156,9 @@ class TableStats:
 
     def is_constant(self, c: str) -> bool:
         """At most one distinct non-null value."""
-        if c in self.numeric:
+        if (c, "min") in self.basics:
             return self.basics[(c, "min")] == self.basics[(c, "max")]
-        return self.count(c) == 0 or self.distinct(c) == 1
+        return self.count(c) == 0 or self.sizes.get(c) == 1
 
     def is_mixed(self, c: str) -> bool:
         """More than one kind of value. Typed storage is never mixed unless it is a variant."""
@@ -151,7 +167,7 @@ class TableStats:
         return len(self.basics.get((c, "kinds")) or ()) > 1
 
     def is_reusable_text(self, c: str) -> bool:
-        return c in self.text and 0 < self.distinct(c) < 100 and self.distinct(c) < self.rows * 0.3
+        return c in self.text and 0 < self.sizes[c] < 100 and self.sizes[c] < self.rows * 0.3
 
 
 def _kind(v):

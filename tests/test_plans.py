@@ -163,3 +163,26 @@ def test_no_single_partition_exchange(spark):
     ]
     for frame in frames:
         assert "SinglePartition" not in plan(frame)
+
+
+def test_decisive_counts_agree_with_exact_ones(spark):
+    from rinsework.plans.counts import decisive_counts, distinct_counts
+
+    df = spark.range(6000).selectExpr(
+        "cast(id % 3 as string) as few", "cast(id % 2000 as string) as near", "cast(id as string) as wide", "'k' as one"
+    )
+    exact = distinct_counts(df, df.columns)
+    got = decisive_counts(df, df.columns, 6000, [100, 1800], direct_rows=10)
+    assert {c: got[c] for c in ("few", "near", "one")} == {"few": 3, "near": 2000, "one": 1}
+    assert abs(got["wide"] - exact["wide"]) < 0.1 * exact["wide"]
+    assert decisive_counts(df, df.columns, 6000, [100, 1800]) == exact
+
+
+@pytest.mark.parametrize("listed", [100_000, 0])
+def test_duplicates_by_hash_and_in_full(spark, listed):
+    from rinsework.operators.dedup import duplicate_count
+
+    df = spark.range(3000).selectExpr("id as row_id", "case when id % 3 = 0 then 'hot' else cast(id % 1500 as string) end as s")
+    assert duplicate_count(df, listed=listed).first()[0] == 3000 - 1001
+    unique = spark.range(100).selectExpr("id as row_id", "id * 2 as v")
+    assert duplicate_count(unique, listed=listed).first()[0] == 0
