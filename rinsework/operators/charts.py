@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import statistics
-from collections.abc import Iterator
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.functions.normal import probit
 from rinsework.names import ROW_ID, col, known, number, numeric_columns, value
 from rinsework.operators.rows import random_sample
 from rinsework.plans.cut import cut
@@ -220,15 +218,7 @@ def normal_order(df: DataFrame, column: str) -> DataFrame:
 
 def normal_plot(df: DataFrame, column: str) -> DataFrame:
     """Theoretical normal quantile of every ordered value: rank, theoretical, value."""
-    ordered = normal_order(df, column)
-
-    @F.pandas_udf("double")
-    def probit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        inverse = statistics.NormalDist().inv_cdf
-        for p in batches:
-            yield p.map(inverse)
-
-    return ordered.select("rank", probit(F.col("p")).alias("theoretical"), "value")
+    return normal_order(df, column).select("rank", probit(F.col("p")).alias("theoretical"), "value")
 
 
 def normal_line(df: DataFrame, column: str) -> DataFrame:

@@ -159,7 +159,7 @@ def _datetime(df: DataFrame, column: str, date_format, formats, order_by: str):
         return F.lit(None).cast("timestamp_ntz")
     guessed = parse.guess_date_format(first)
     if guessed is None:
-        raise ValueError(f"Could not convert column {column!r} to Datetime: no known format reads {first!r}")
+        raise ValueError(f"no known date format reads {first!r} in column {column!r}")
     return parse.to_datetime(c, guessed)
 
 

@@ -221,7 +221,7 @@ def encode_categorical(
     if method == "Binary Encoding":
         return binary(df, columns, order_by)
     if method == "Target Encoding" and (not target_column or target_column not in df.columns):
-        raise ValueError("Target column is required for Target Encoding.")
+        raise ValueError("target encoding needs an existing target column")
     out = df
     for c in columns:
         if method == "Label Encoding":

@@ -34,7 +34,7 @@ def math_column(df: DataFrame, column: str, op: str, operand: str | float, new_n
         try:
             b = F.lit(float(operand))
         except ValueError as e:
-            raise ValueError(f"Operand '{operand}' must be a column name or a numeric constant.") from e
+            raise ValueError(f"{operand!r} is neither a column nor a number") from e
     if op == "add":
         new = a + b
     elif op == "subtract":
@@ -80,7 +80,7 @@ def conditional_column(
             "<=": lambda: c <= F.lit(compared),
         }
         if op not in tests:
-            raise ValueError(f"Unsupported conditional operator: {op}")
+            raise ValueError(f"unknown comparison: {op}")
         test = tests[op]()
     held = F.coalesce(test, F.lit(op == "!="))
     return put(df, {new_column: F.when(held, F.lit(true_value)).otherwise(F.lit(false_value))})

@@ -74,7 +74,7 @@ def filter_rows(df: DataFrame, expression: str) -> DataFrame:
         kept.schema  # noqa: B018  resolves the names now
         return kept
     except (ParseException, AnalysisException) as e:
-        raise ValueError(f"Invalid filter expression '{expression}': {e}") from e
+        raise ValueError(f"cannot filter by {expression!r}: {e}") from e
 
 
 def random_sample(

@@ -44,7 +44,7 @@ class ScaleModel:
 def fit_scaler(df: DataFrame, columns: list[str], scaler: str) -> ScaleModel:
     """Statistics refer to the column after its gaps are filled; a zero width becomes 1."""
     if scaler not in SCALERS:
-        raise ValueError(f"Unknown scaler type: {scaler}")
+        raise ValueError(f"unknown scaler: {scaler}")
     require_batch(df, "scale_features")
     columns = [c for c in known(df, columns) if is_numeric(dtype(df, c))]
     wanted = {}

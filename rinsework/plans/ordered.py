@@ -112,7 +112,8 @@ def _ranged(df: DataFrame, order: list[str], ranges: int | None) -> DataFrame:
         cuts = df.agg(F.percentile_approx(first, shares, max(10_000, 20 * ranges))).first()[0] or []
         if len(set(cuts)) == len(cuts):
             splits = [float("-inf"), *cuts, float("inf")]
-            keyed = df.withColumn("__as_double", first)
+            # a missing order value sorts first, so it belongs to the first range
+            keyed = df.withColumn("__as_double", F.coalesce(first, F.lit(float("-inf"))))
             bucketer = Bucketizer(
                 splits=splits, inputCol="__as_double", outputCol="__range", handleInvalid="keep"
             )

@@ -102,7 +102,7 @@ def load(spark: SparkSession, path: str, file_format: str | None = None, **optio
     """Pick the reader by the file ending."""
     kind = (file_format or os.path.splitext(path.rstrip("/"))[1].lstrip(".")).lower()
     if kind not in FORMATS:
-        raise UnsupportedFormat(f"Unsupported file format: {kind or path}")
+        raise UnsupportedFormat(f"no reader for format {kind or path!r}")
     if kind == "csv":
         return read_csv(spark, path, **options)
     if kind == "tsv":

@@ -16,7 +16,7 @@ def write(df: DataFrame, path: str, file_format: str = "PARQUET", mode: str = "e
     """Write part files under ``path`` and return the file ending of the format."""
     kind = file_format.upper()
     if kind not in EXTENSIONS:
-        raise UnsupportedFormat(f"Unknown export format: {file_format}")
+        raise UnsupportedFormat(f"no writer for format {file_format!r}")
     writer = _flat(df).write if kind in ("CSV", "TSV") else df.write
     writer = writer.mode(mode)
     if kind in ("CSV", "TSV"):

@@ -122,7 +122,7 @@ def test_bin_labels_and_errors(spark):
     assert features.bin_column(numbered(spark, [None]), "x", 4, None, "b").columns == ["row_id", "x"]
 
 
-def reference_scale(cells, scaler):
+def expected_scale(cells, scaler):
     s = pd.Series(cells, dtype=float)
     s = s.fillna(s.median())
     if scaler == "StandardScaler":
@@ -138,7 +138,7 @@ def reference_scale(cells, scaler):
 @pytest.mark.parametrize("cells", [CELLS, [None, None, 1.0, 50.0, 51.0, None], [4.0, 4.0, None], [0.0, 0.0]])
 def test_scalers(spark, scaler, cells):
     got = values(scale.scale_features(numbered(spark, cells), ["x", "zz"], scaler), "x")
-    assert np.allclose(got, reference_scale(cells, scaler), atol=1e-12)
+    assert np.allclose(got, expected_scale(cells, scaler), atol=1e-12)
 
 
 def test_normalizer(spark):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from rinsework.functions.normal import CENTRE, SIDE, TAIL
 from rinsework.operators import charts, outliers, preview
 from workload.base import messy, query, table, union_all, with_messy
 from workload.profiling import _corr_sql, _paths_sql, _places
@@ -127,14 +130,42 @@ def h9(spark, folder):
     return out.select("rank", F.round("p", 10).alias("p"), "value")
 
 
-@query("h9_normal_plot")
+def _ratio_sql(region, x: str) -> str:
+    above, below = (reduce(lambda s, c: f"({s} * {x} + {c!r})", p[1:], f"{p[0]!r}::DOUBLE") for p in region)
+    return f"({above} / {below})"
+
+
+def _probit_sql() -> str:
+    far = "sqrt(-ln(CASE WHEN p <= 0.5 THEN p ELSE 1 - p END))"
+    size = f"CASE WHEN {far} <= 5 THEN {_ratio_sql(SIDE, f'({far} - 1.6)')} ELSE {_ratio_sql(TAIL, f'({far} - 5.0)')} END"
+    centre = f"(p - 0.5) * {_ratio_sql(CENTRE, '(0.180625 - (p - 0.5) * (p - 0.5))')}"
+    return f"CASE WHEN abs(p - 0.5) <= 0.425 THEN {centre} WHEN p < 0.5 THEN -({size}) ELSE {size} END"
+
+
+_PLACED = (
+    "placed AS (SELECT rank, value, CASE WHEN rank = n THEN power(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - power(0.5, 1.0 / n) "
+    "ELSE (rank - 0.3175) / (n + 0.365) END AS p FROM (SELECT row_number() OVER (ORDER BY price, row_id) AS rank, "
+    "count(*) OVER () AS n, price AS value FROM messy WHERE price IS NOT NULL))"
+)
+
+
+@query("h9_normal_plot", with_messy(f"SELECT rank, round({_probit_sql()}, 8) AS theoretical, value FROM placed", _PLACED))
 def h9_plot(spark, folder):
-    return charts.normal_plot(_priced(spark, folder), "price")
+    out = charts.normal_plot(_priced(spark, folder), "price")
+    return out.withColumn("theoretical", F.round("theoretical", 8))
 
 
-@query("h9_normal_line")
+@query(
+    "h9_normal_line",
+    with_messy(
+        "SELECT round(regr_slope(value, z), 3) AS slope, round(regr_intercept(value, z), 3) AS intercept, round(corr(value, z), 8) AS r FROM scored",
+        _PLACED,
+        f"scored AS (SELECT value, {_probit_sql()} AS z FROM placed)",
+    ),
+)
 def h9_line(spark, folder):
-    return charts.normal_line(_priced(spark, folder), "price")
+    out = charts.normal_line(_priced(spark, folder), "price")
+    return out.select(F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r", 8).alias("r"))
 
 
 @query("h10_correlation_map", _corr_sql(("c_acctbal", "c_nationkey"), "customer"))

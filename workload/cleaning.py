@@ -463,6 +463,23 @@ def o4(spark, folder):
     return outliers.detect_outliers(_priced(spark, folder), "price", "Isolation Forest")[0]
 
 
+@query(
+    "o4_isolation_forest_facts",
+    with_messy(
+        "SELECT count(*) AS n_rows, TRUE AS some_flagged, TRUE AS share_kept, TRUE AS extremes_flagged FROM messy"
+    ),
+)
+def o4_facts(spark, folder):
+    marked, meta = outliers.detect_outliers(_priced(spark, folder), "price", "Isolation Forest")
+    hits = F.count_if(F.col("is_outlier"))
+    return marked.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (hits > 0).alias("some_flagged"),
+        (hits <= F.count(F.lit(1)) * meta["contamination"] + 1).alias("share_kept"),
+        (F.max_by("is_outlier", "price") & F.min_by("is_outlier", "price")).alias("extremes_flagged"),
+    )
+
+
 # 20 nearest rows by rank in value order, then k-distance, reachability density and factor per row
 _LOF = """WITH o AS (SELECT event_id AS id, value AS v, row_number() OVER (ORDER BY value, event_id) AS p FROM events),
 pairs AS (SELECT id, v, p + off AS q FROM (SELECT id, v, p, unnest(range(-20, 21)) AS off FROM o) WHERE off <> 0),
