@@ -86,6 +86,14 @@ def value(df: DataFrame, name: str) -> Column:
     return c
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Is the cell there? Written so that the null test reaches the file scan."""
+    c = col(name)
+    if isinstance(dtype(df, name), (T.FloatType, T.DoubleType)):
+        return c.isNotNull() & ~F.isnan(c)
+    return c.isNotNull()
+
+
 def number(df: DataFrame, name: str) -> Column:
     """Numeric column as a double with NaN read as missing."""
     return value(df, name).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.functions.normal import probit
-from rinsework.names import ROW_ID, col, known, number, numeric_columns, value
+from rinsework.names import ROW_ID, col, known, number, numeric_columns, present, value
 from rinsework.operators.rows import random_sample
 from rinsework.plans.cut import cut
 from rinsework.plans.lookup import attach
@@ -25,7 +25,7 @@ PAIRS_PER_JOB = 120
 def group_aggregate(df: DataFrame, key: str, name: str, func: str) -> DataFrame:
     """sum, mean, median, min, max or count of a column per non-missing key: columns key, value."""
     require_batch(df, "group_aggregate")
-    keyed = df.filter(value(df, key).isNotNull())
+    keyed = df.filter(present(df, key))
     if func == "median":
         found = group_quantiles(keyed, key, name, [0.5])
         return found.select(col(key).alias("key"), F.col("q").getItem(0).alias("value"))
@@ -38,7 +38,7 @@ def group_aggregate(df: DataFrame, key: str, name: str, func: str) -> DataFrame:
 def count_values(df: DataFrame, key: str) -> DataFrame:
     """Rows per non-missing value, most frequent first: columns key, count."""
     v = value(df, key)
-    counted = df.filter(v.isNotNull()).groupBy(v.alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    counted = df.filter(present(df, key)).groupBy(v.alias("key")).agg(F.count(F.lit(1)).alias("count"))
     return counted.orderBy(F.desc("count"), F.asc("key"))
 
 
@@ -66,7 +66,7 @@ def shares(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
     """Share of each name in the total: columns name, total, share."""
     v = value(df, names)
     amount = F.count(F.lit(1)) if values is None else F.sum(number(df, values))
-    kept = df.filter(v.isNotNull())
+    kept = df.filter(present(df, names))
     whole = measure(kept, {"all": amount})["all"]
     grouped = kept.groupBy(v.alias("name")).agg(amount.alias("total"))
     return grouped.withColumn("share", F.try_divide(F.col("total").cast("double"), F.lit(whole)))
@@ -107,7 +107,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     low, width = got["lo"], ((got["hi"] - got["lo"]) / bins if got["lo"] is not None else 0.0)
     place = F.lit(0) if not width else F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     keys = [place.cast("int").alias("bin")] + ([col(by)] if by else [])
-    counted = df.filter(x.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.filter(present(df, column)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     edge = F.lit(low).cast("double") + F.col("bin") * F.lit(width)
     return counted.select(
         "bin", *([col(by)] if by else []), edge.alias("low"), (edge + F.lit(width)).alias("high"), "n"
@@ -201,7 +201,7 @@ def normal_order(df: DataFrame, column: str) -> DataFrame:
     require_batch(df, "normal_order")
     x = number(df, column)
     tie = [col(ROW_ID).alias("tie")] if ROW_ID in df.columns else [F.monotonically_increasing_id().alias("tie")]
-    slim = df.filter(x.isNotNull()).select(x.alias("value"), *tie)
+    slim = df.filter(present(df, column)).select(x.alias("value"), *tie)
     ranked = positions(slim, ["value", "tie"], "pos")
     n = measure(ranked, {"n": F.count(F.lit(1))})["n"]
     if n < 3:

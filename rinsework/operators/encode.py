@@ -155,8 +155,8 @@ def one_hot(
 def binary(df: DataFrame, columns: list[str], order_by: str = ROW_ID) -> DataFrame:
     """Ordinal code in base 2: columns ``{column}_0`` (highest bit) onwards replace the source."""
     codes = {}
-    for i, c in enumerate(columns):
-        model = fit_ordinal(df.select(*{c, order_by}), c, order_by)
+    models = [fit_ordinal(df, c, order_by) for c in columns]
+    for i, (c, model) in enumerate(zip(columns, models)):
         df = model.code(df, f"__code{i}")
         codes[c] = (F.col(f"__code{i}"), max(1, math.ceil(math.log2(model.size + 1))))
     out: list[Column] = []
@@ -177,7 +177,10 @@ def binary(df: DataFrame, columns: list[str], order_by: str = ROW_ID) -> DataFra
 
 
 def hashed(df: DataFrame, columns: list[str], n_components: int = 8) -> DataFrame:
-    """Counts per md5 bucket over the chosen columns: ``col_0`` onwards first, sources dropped. Row-local."""
+    """Counts per md5 bucket over the chosen columns: ``col_0`` onwards first, sources dropped.
+
+    Row-local. A missing cell is hashed as the text ``nan``.
+    """
     buckets = [_md5_bucket(F.coalesce(category_text(df, c), F.lit("nan")), n_components) for c in columns]
     counts = []
     for i in range(n_components):

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.names import ROW_ID, col, data_columns, known, value
+from rinsework.names import ROW_ID, col, data_columns, known, present, value
 from rinsework.operators.columns import drop_empty_columns
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import rank_value
@@ -123,7 +123,7 @@ def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop a row when any listed column is missing."""
     wanted = F.lit(True)
     for c in known(df, columns):
-        wanted = wanted & value(df, c).isNotNull()
+        wanted = wanted & present(df, c)
     return df.filter(wanted)
 
 
@@ -134,7 +134,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
         return df
     kept = F.lit(False)
     for c in columns:
-        kept = kept | value(df, c).isNotNull()
+        kept = kept | present(df, c)
     return df.filter(kept)
 
 

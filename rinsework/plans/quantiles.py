@@ -14,9 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.names import col, number
+from rinsework.plans.cut import cut
+from rinsework.plans.lookup import attach
 from rinsework.plans.onerow import measure
+from rinsework.plans.ordered import running_sum
 
 DIRECT_ROWS = 1_000_000
+DIRECT_COLUMNS = 8
+SKETCHES = 60
+MANY_GROUPS = 200
 FINISH_VALUES = 20_000
 SKETCH = 10_000
 
@@ -49,13 +55,15 @@ def expression_quantiles(
     if counts is None:
         counts = measure(df, {k: F.count(e) for k, e in exprs.items()})
     small = [k for k in exprs if 0 < counts[k] <= direct_rows]
+    if sum(counts[k] for k in small) > DIRECT_COLUMNS * direct_rows:
+        small = []  # together they would not fit one task
     answer: dict = {k: [None] * len(wanted[k]) for k in exprs}
     if small:
         direct = measure(
             df, {k: F.percentile(exprs[k], F.array(*[F.lit(float(q)) for q in wanted[k]])) for k in small}
         )
         answer.update({k: list(v) for k, v in direct.items()})
-    large = [k for k in exprs if counts[k] > direct_rows]
+    large = [k for k in exprs if counts[k] and k not in small]
     if large:
         places = {k: [q * (counts[k] - 1) for q in wanted[k]] for k in large}
         ranks = {(k, r) for k in large for p in places[k] for r in (math.floor(p), math.ceil(p))}
@@ -93,6 +101,11 @@ class _Bracket:
 def _select(df: DataFrame, exprs: dict, targets: list, counts: dict, finish_values: int) -> dict:
     """Value at each 0-based rank; targets are (expression key, rank) pairs."""
     found: dict = {}
+    if len(targets) > SKETCHES:
+        # bounds the sketches a task holds at once
+        for start in range(0, len(targets), SKETCHES):
+            found.update(_select(df, exprs, targets[start : start + SKETCHES], counts, finish_values))
+        return found
     brackets = {t: _Bracket(counts[t[0]]) for t in targets}
     open_targets = list(targets)
     ready: list = []
@@ -166,23 +179,27 @@ def group_quantiles(
     name: str,
     probs: Sequence[float],
     direct_rows: int = DIRECT_ROWS,
+    many_groups: int = MANY_GROUPS,
     chunk: int = 40,
 ) -> DataFrame:
     """Quantiles of ``name`` per ``key``: columns key, n, q (array in the order of ``probs``).
 
     Groups up to ``direct_rows`` aggregate in one shuffle. A larger group is treated like a column of
-    its own, so no single task ever holds it; there are at most rows/direct_rows such groups.
+    its own, so no single task ever holds it. Where there are more than ``many_groups`` of those, all
+    groups are ranked by one distributed sort of the distinct values.
     """
     v = number(df, name)
     levels = F.array(*[F.lit(float(q)) for q in probs])
-    heavy = df.groupBy(col(key)).agg(F.count(v).alias("n")).filter(F.col("n") > direct_rows).collect()
+    counted = df.groupBy(col(key)).agg(F.count(v).alias("n"))
+    heavy = counted.filter(F.col("n") > direct_rows).limit(many_groups + 1).collect()
+    if len(heavy) > many_groups:
+        return _ranked_quantiles(df, key, v, probs)
     light = df
     if heavy:
-        names = [r[0] for r in heavy]
         rare = F.lit(False)
-        if any(k is None for k in names):
+        if any(r[0] is None for r in heavy):
             rare = col(key).isNull()
-        listed = [k for k in names if k is not None]
+        listed = [r[0] for r in heavy if r[0] is not None]
         light = df.filter(~F.coalesce(rare | col(key).isin(listed), F.lit(False)))
     direct = light.groupBy(col(key)).agg(F.count(v).alias("n"), F.percentile(v, levels).alias("q"))
     if not heavy:
@@ -191,6 +208,32 @@ def group_quantiles(
     for start in range(0, len(heavy), chunk):
         part = heavy[start : start + chunk]
         exprs = {i: F.when(col(key).eqNullSafe(F.lit(r[0])), v) for i, r in enumerate(part)}
-        got = expression_quantiles(df, exprs, {i: probs for i in exprs}, direct_rows)
+        sizes = {i: r[1] for i, r in enumerate(part)}
+        got = expression_quantiles(df, exprs, {i: probs for i in exprs}, direct_rows, counts=sizes)
         rows += [(r[0], r[1], got[i]) for i, r in enumerate(part)]
     return direct.unionByName(df.sparkSession.createDataFrame(rows, direct.schema))
+
+
+def _ranked_quantiles(df: DataFrame, key: str, v: Column, probs: Sequence[float]) -> DataFrame:
+    """Sort the distinct (key, value) pairs, number their rows by running counts, pick the wanted ranks."""
+    pairs = df.groupBy(col(key).alias("k"), v.alias("v")).agg(F.count(F.lit(1)).alias("rows"))
+    pairs = pairs.select("k", "v", F.when(F.col("v").isNotNull(), F.col("rows")).otherwise(0).alias("rows"))
+    laid = cut(running_sum(pairs, ["k", "v"], "rows", "before"))
+    groups = cut(
+        laid.groupBy("k").agg(
+            F.min("before").alias("start"), F.sum("rows").alias("total"), F.count(F.lit(1)).alias("pairs")
+        )
+    )
+    placed = attach(laid, groups, {"k": "k"}, ["start", "total"], "pairs")
+    first = F.col("before") - F.col("start")
+    picks = []
+    for i, q in enumerate(probs):
+        place = F.lit(float(q)) * (F.col("total") - 1)
+        for tag, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
+            hit = (first <= rank) & (rank < first + F.col("rows"))
+            picks.append(F.max(F.when(hit, F.col("v"))).alias(f"{tag}{i}"))
+        picks.append(F.max(place - F.floor(place)).alias(f"f{i}"))
+    found = placed.groupBy("k").agg(F.max("total").alias("n"), *picks)
+    at = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(probs))]
+    levels = F.when(F.col("n") > 0, F.array(*at))
+    return found.select(F.col("k").alias(key), "n", levels.alias("q"))

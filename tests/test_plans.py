@@ -53,6 +53,19 @@ def test_quantiles_of_several_large_columns(spark):
     assert np.allclose(got["a"], np.quantile(a, PROBS)) and np.allclose(got["b"], np.quantile(b, PROBS))
 
 
+def test_many_columns_narrow_together(spark, monkeypatch):
+    from rinsework.plans import quantiles
+
+    monkeypatch.setattr(quantiles, "SKETCHES", 4)
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, 500, size=(400, 10)).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in cells], ", ".join(f"c{i} double" for i in range(10)))
+    wanted = {f"c{i}": [0.1, 0.5] for i in range(10)}
+    got = column_quantiles(df, wanted, direct_rows=400, finish_values=50)
+    for i in range(10):
+        assert np.allclose(got[f"c{i}"], np.quantile(cells[:, i], [0.1, 0.5]))
+
+
 def test_rank_value(spark):
     cells = [float(x) for x in range(2000)]
     random.Random(5).shuffle(cells)
@@ -61,13 +74,17 @@ def test_rank_value(spark):
         assert rank_value(df, F.col("x"), rank, finish_values=20) == rank
 
 
-def test_group_quantiles_split_heavy_groups(spark):
+@pytest.mark.parametrize("many", [200, 0])
+def test_group_quantiles_split_heavy_groups(spark, many):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(20)}", rng.gauss(0, 1)) for _ in range(3000)]
     rows += [(None, rng.gauss(5, 1)) for _ in range(700)]
+    rows += [("void", None)] * 3 + [("tie", 4.0)] * 30
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r for r in group_quantiles(df, "k", "x", [0.25, 0.5], direct_rows=500).collect()}
-    assert len(got) == 22
+    got = {r["k"]: r for r in group_quantiles(df, "k", "x", [0.25, 0.5], direct_rows=500, many_groups=many).collect()}
+    assert len(got) == 24 and (got["void"]["n"], got["void"]["q"]) == (0, None) and got["tie"]["q"] == [4.0, 4.0]
+    rows = [(k, x) for k, x in rows if x is not None]
+    got.pop("void")
     for key, r in got.items():
         cells = [x for k, x in rows if k == key]
         assert r["n"] == len(cells) and np.allclose(r["q"], np.quantile(cells, [0.25, 0.5]))
