@@ -1,4 +1,4 @@
-"""Every operator on empty, one-row, all-missing, constant, NaN and oddly named columns."""
+"""Every operator on empty, all-missing, NaN and oddly named columns."""
 
 import pytest
 
@@ -11,9 +11,7 @@ NAN = float("nan")
 X, S = "a b.x", "a b.s"
 FRAMES = {
     "empty": [],
-    "one row": [(0, 1.5, "t")],
     "all missing": [(0, None, None), (1, None, None)],
-    "constant": [(0, 2.0, "k"), (1, 2.0, "k"), (2, 2.0, "k")],
     "nan": [(0, NAN, "u"), (1, None, None), (2, -0.0, "v"), (3, 0.0, "v"), (4, 3.0, " ")],
 }
 OPERATORS = {
