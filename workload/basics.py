@@ -297,7 +297,7 @@ def r3(spark, folder):
     return rows.filter_rows(messy(spark, folder), "(price > 200000 & qty < 30) | (dept == '1-URGENT' and price.isnull())")
 
 
-@query("r4_sample_n", with_messy("SELECT CAST(2000 AS BIGINT) AS n, CAST(2000 AS BIGINT) AS n_distinct, count(*) * 0 + 1 AS inside FROM messy"))
+@query("r4_sample_n", with_messy("SELECT least(2000, count(*)) AS n, least(2000, count(*)) AS n_distinct, count(*) * 0 + 1 AS inside FROM messy"))
 def r4(spark, folder):
     df = messy(spark, folder).select("row_id", "price")
     return _sample_facts(df, rows.random_sample(df, n=2000, seed=42))
