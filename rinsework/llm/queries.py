@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinsework.llm import bpe
+from rinsework.llm import bpe, simple8b
+from rinsework.llm.contamination import contaminated, contamination
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,46 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+WINDOWS_OF_ITEMS = """
+    items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n,
+        array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS words
+        FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0)"""
+
+OP5_SQL = f"""
+    WITH {WINDOWS_OF_ITEMS},
+    docs AS (SELECT doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+    found AS (SELECT doc_id, i, t.n, item_id FROM
+        (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS words
+         FROM docs, (SELECT DISTINCT n FROM windows) AS lengths, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS u(i)) AS t
+        JOIN windows ON t.n = windows.n AND t.words = windows.words),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM
+        (SELECT DISTINCT doc_id, i, n FROM found) AS f, unnest(range(i, i + n)) AS u(p) GROUP BY doc_id),
+    ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS list FROM
+        (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) AS f GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+@query("op5_benchmark_decontamination", OP5_SQL)
+def op5(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = contamination(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
 @query("op6_bpe_trie")
 def op6(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -43,3 +84,10 @@ def op6(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_simple8b")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    files = simple8b.write(docs, simple8b.new_folder(spark, "simple8b"), WORD_BPE, end_id=1)
+    return simple8b.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
