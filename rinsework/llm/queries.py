@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rinsework.llm import bpe, simple8b
 from rinsework.llm.contamination import contaminated, contamination
+from rinsework.llm.repeats import repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,25 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+OP1_SQL = """
+    WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS words
+        FROM docs, unnest(range(1, greatest(len(w) - 34, 0) + 1)) AS u(i)),
+    again AS (SELECT words FROM windows GROUP BY words HAVING count(*) > 1),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM
+        (SELECT doc_id, i FROM windows SEMI JOIN again USING (words)) AS t, unnest(range(i, i + 35)) AS u(p) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+        sha256(array_to_string([w[p] FOR p IN range(1, len(w) + 1) IF NOT list_contains(coalesce(places, []), p)], ' '))
+            AS kept_sha256
+    FROM docs LEFT JOIN gone USING (doc_id)"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark, folder):
+    found = repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 WINDOWS_OF_ITEMS = """
     items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
