@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinsework.llm import bpe, simple8b
+from rinsework.llm import bpe, divergence, simple8b
 from rinsework.llm.contamination import contaminated, contamination
+from rinsework.llm.lines import drop_shared_lines
 from rinsework.llm.repeats import repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,82 @@ def op1(spark, folder):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _common(lang: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in divergence.COMMON_WORDS[lang]) + "]"
+
+
+def _distance_sql(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists of counts, null where either is empty or missing."""
+    p, q = f"({counts}[i] / list_sum({counts}))", f"({reference}[i] / list_sum({reference}))"
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0.0 END"
+    cells = f"[{part(p)} + {part(q)} FOR i IN range(1, len({counts}) + 1)]"
+    return f"CASE WHEN list_sum({counts}) > 0 AND list_sum({reference}) > 0 THEN sqrt(greatest(list_sum({cells}) / 2, 0.0)) END"
+
+
+OP2_SQL = f"""
+    WITH words AS (SELECT doc_id, lang, coalesce(text, '') AS body,
+        coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w,
+        CASE lang {" ".join(f"WHEN '{k}' THEN {_common(k)}" for k in divergence.COMMON_WORDS)} END AS list FROM documents),
+    solid AS (SELECT *, array_to_string(w, '') AS s,
+        [lower(x) FOR x IN w IF strlen(x) <= 5 AND list_contains(list, lower(x))] AS hits FROM words),
+    hist AS (SELECT *, length(s) AS word_chars, length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+        [length(regexp_replace(s, '[^a-z]+', '', 'g')), length(regexp_replace(s, '[^A-Z]+', '', 'g')),
+         length(regexp_replace(s, '[^0-9]+', '', 'g')), length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')),
+         length(regexp_replace(s, '[a-zA-Z0-9#*$%&|<>]+|[^\\x00-\\x7F]+', '', 'g')),
+         length(regexp_replace(s, '[\\x00-\\x7F]+', '', 'g'))] AS classes,
+        CASE WHEN list IS NOT NULL THEN list_append([len([h FOR h IN hits IF h = c]) FOR c IN list], len(w) - len(hits)) END
+            AS common,
+        [x FOR x IN string_split(body, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM solid),
+    cells AS (SELECT lang, i, sum(classes[i]) AS n FROM hist, unnest(range(1, 7)) AS u(i) WHERE len(w) >= 50 GROUP BY lang, i),
+    class_refs AS (SELECT lang, list(n ORDER BY i) AS r FROM cells WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang),
+    pooled AS (SELECT list(n ORDER BY i) AS r FROM (SELECT i, sum(n) AS n FROM cells GROUP BY i) AS t),
+    word_refs AS (SELECT lang, list(n ORDER BY i) AS r FROM
+        (SELECT lang, i, sum(common[i]) AS n FROM hist, unnest(range(1, 22)) AS u(i)
+         WHERE len(w) >= 100 AND list IS NOT NULL GROUP BY lang, i) AS t GROUP BY lang),
+    windows AS (SELECT doc_id, i, w[i : i + 2] AS x FROM words, unnest(range(1, greatest(len(w) - 2, 0) + 1)) AS u(i)),
+    twice AS (SELECT doc_id, x FROM windows GROUP BY doc_id, x HAVING count(*) > 1),
+    repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM
+        (SELECT doc_id, i FROM windows SEMI JOIN twice USING (doc_id, x)) AS t, unnest(range(i, i + 3)) AS u(p) GROUP BY doc_id),
+    measured AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, word_chars, n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+        CASE WHEN len(w) >= 50 THEN {_distance_sql("classes", "coalesce(class_refs.r, pooled.r)")} END AS class_distance,
+        CASE WHEN len(w) >= 100 THEN {_distance_sql("common", "word_refs.r")} END AS word_distance
+        FROM hist LEFT JOIN repeated USING (doc_id) LEFT JOIN class_refs USING (lang) LEFT JOIN word_refs USING (lang), pooled)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+            AND coalesce(class_distance, 0) <= 0.3 AND coalesce(word_distance, 0) <= 0.33 AS kept
+    FROM measured"""
+
+
+@query("op2_distribution_divergence", OP2_SQL)
+def op2(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    judged = divergence.judge(docs, divergence.fit_references(docs))
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP4_SQL = """
+    WITH docs AS (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i,
+        unnest(string_split(text, chr(10))) AS raw FROM documents),
+    lines AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM docs),
+    shared AS (SELECT line, min(doc_id) AS first FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+    marked AS (SELECT lines.*, shared.line IS NOT NULL AND doc_id <> first AS gone FROM lines LEFT JOIN shared USING (line))
+    SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+        sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id"""
+
+
+@query("op4_line_site_spread", OP4_SQL)
+def op4(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
+    marked = drop_shared_lines(docs)
+    return marked.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 WINDOWS_OF_ITEMS = """
     items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
