@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-#: Documents handled at a time inside a batch, so that a worker's memory follows a few texts and not a batch.
-DOCS_AT_ONCE = 256
+#: Bytes and documents handled at a time inside a batch, so that a worker's memory follows these and not the batch.
+SLICE_BYTES = 8 << 20
+SLICE_ROWS = 4096
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,15 +103,30 @@ def inside_documents(word_offsets: np.ndarray, n: int) -> np.ndarray:
     return left >= n
 
 
-def slices(batch: pa.RecordBatch, size: int = DOCS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
+def of_worker(key: tuple, make: Callable):
+    """What ``make`` gives, made once in the life of a Python worker: vocabularies and caches outlive a task."""
+    shelf = sys.modules.setdefault("rinsework_worker_shelf", types.ModuleType("rinsework_worker_shelf")).__dict__
+    if key not in shelf:
+        shelf[key] = make()
+    return shelf[key]
+
+
+def slices(batch: pa.RecordBatch, at: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of a bounded number of rows and bytes of its column ``at``; one text is never cut."""
+    begin = 0
+    ends = strings(batch.column(at))[1] if at is not None and pa.types.is_string(batch.column(at).type) else None
+    while begin < batch.num_rows:
+        stop = min(begin + SLICE_ROWS, batch.num_rows)
+        if ends is not None:
+            stop = min(stop, max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
 
 
 def with_columns(
-    df: DataFrame, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]
+    df: DataFrame, at: int, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]
 ) -> DataFrame:
-    """Append columns that a worker computes from slices of Arrow batches.
+    """Append columns that a worker computes from slices of Arrow batches; column ``at`` is the one to slice by.
 
     ``make`` runs once a task and returns the function of a slice. Existing columns of the same names are replaced.
     """
@@ -121,7 +139,7 @@ def with_columns(
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, at):
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + work(part), names=out)
 
     return df.mapInArrow(run, schema)

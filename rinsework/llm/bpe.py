@@ -8,19 +8,20 @@ Walking down the trie depth first, each node finds that token once, whatever num
 
 from __future__ import annotations
 
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from rinsework.llm.arrow import with_columns
-from rinsework.llm.clip import Splitter, Vocabulary
+from rinsework.llm.arrow import of_worker, with_columns
+from rinsework.llm.clip import TextEncoder, Vocabulary
 
-#: Nodes and words a worker keeps at most before it starts a new trie. They bound memory only, never results.
+#: Nodes of a worker's trie before it starts a new one: a bound on memory, not on results.
 MAX_NODES = 400_000
-MAX_WORDS = 300_000
 
 
 class WordTrie:
@@ -30,8 +31,7 @@ class WordTrie:
         self.inner, self.final, self.merges = vocabulary.inner, vocabulary.final, vocabulary.merges
         self.bytes_of = {i: (t, False) for t, i in self.inner.items()} | {i: (t, True) for t, i in self.final.items()}
         self.longest = max(map(len, chain(self.inner, self.final)), default=1)
-        self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.parts = {made: (rank, a, b) for (a, b), (rank, made) in self.merges.items()}
         built = {made: rank for made, (rank, _, _) in self.parts.items()}
@@ -57,12 +57,6 @@ class WordTrie:
             i = min(ranks)[1]
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
 
-    def stands(self, token: int) -> bool:
-        """Whether a token encodes to itself."""
-        if token not in self.whole:
-            self.whole[token] = self.merged(*self.bytes_of[token]) == [token]
-        return self.whole[token]
-
     def edge(self, token: int, right: bool) -> list[tuple[int, float]]:
         """The tokens that lie at one edge while a token is built up, each with the rank of the merge that ends it."""
         key = (token, right)
@@ -78,30 +72,30 @@ class WordTrie:
         return self.edges[key]
 
     def agree(self, left: int, right: int) -> bool:
-        """Whether two tokens side by side encode to themselves: no merge across the border comes in its turn."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is not None:
-            return found
-        if not self.ordered:
-            (a, _), (b, ends) = self.bytes_of[left], self.bytes_of[right]
-            self.pairs[key] = self.merged(a + b, ends) == [left, right]
-            return self.pairs[key]
-        lefts, rights, i, j, good = self.edge(left, True), self.edge(right, False), 0, 0, True
+        """Whether two tokens side by side encode to themselves; left -1 is the begin of the word."""
+        if left < 0 or not self.ordered:
+            first, (second, ends) = self.bytes_of[left][0] if left >= 0 else b"", self.bytes_of[right]
+            return self.merged(first + second, ends) == ([left, right] if left >= 0 else [right])
+        # no merge across the border may come in its turn
+        lefts, rights, i, j = self.edge(left, True), self.edge(right, False), 0, 0
         while True:
             (a, until_a), (b, until_b) = lefts[i], rights[j]
             across = self.merges.get((a, b))
             if across is not None and across[0] < until_a and across[0] <= until_b:
-                good = False
-                break
+                return False
             if until_a == until_b == float("inf"):
-                break
+                return self.fits(-1, right)
             if until_a <= until_b:
                 i += 1
             else:
                 j += 1
-        self.pairs[key] = good
-        return good
+
+    def fits(self, left: int, right: int) -> bool:
+        key = left << 20 | right
+        found = self.pairs.get(key)
+        if found is None:
+            found = self.pairs[key] = self.agree(left, right)
+        return found
 
     def ending(self, path: list[int], cells: bytes, tokens: dict[bytes, int]) -> tuple[int, int]:
         """The last token of the encoding of ``cells`` and where it begins; path[i] is the node of the first i bytes.
@@ -109,13 +103,14 @@ class WordTrie:
         Just one token fits, so the order of trying is free: first the last token so far, longer by a byte, then
         the shortest.
         """
-        n, last = len(cells), self.last
+        n, last, pairs = len(cells), self.last, self.pairs
         for begin in (self.start[path[-1]], *range(n - 1, max(-1, n - self.longest - 1), -1)):
             token = tokens.get(cells[begin:])
-            if token is None or not self.stands(token):
-                continue
-            if begin == 0 or self.agree(last[path[begin]], token):
-                return token, begin
+            if token is not None:
+                left = last[path[begin]]
+                found = pairs.get(left << 20 | token)
+                if self.fits(left, token) if found is None else found:
+                    return token, begin
         raise ValueError(f"no token ends {cells!r}")
 
     def encode(self, cells: bytes) -> list[int]:
@@ -140,41 +135,21 @@ class WordTrie:
         return ids[::-1]
 
 
-class Encoder:
-    """Whole texts to ids. Words seen before are looked up; new ones go through the trie in sorted order."""
+class Encoder(TextEncoder):
+    """Distinct words go through the trie in sorted order."""
 
     def __init__(self, path: str):
         vocabulary = Vocabulary(path)
-        self.split, self.trie = Splitter(path, vocabulary.special), WordTrie(vocabulary)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str | bytes | int, bytes] = {i: np.int32(i).tobytes() for i in self.split.special.values()}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.split(t) for t in texts]
-        distinct = set(chain.from_iterable(parts))
-        new = distinct.difference(self.words)
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.forget()
-            new = distinct.difference(self.words)
-        pieces = {p for w in new for p in self.split.cells(w)}
-        ids = {}
-        for piece in sorted(pieces):
+        super().__init__(path, vocabulary.special)
+        self.trie = WordTrie(vocabulary)
+
+    def ids_of(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        for piece in pieces:
             if len(self.trie.last) > MAX_NODES:
                 self.trie.clear()
-            ids[piece] = np.array(self.trie.encode(piece), np.int32).tobytes()
-        for word in new:
-            self.words[word] = b"".join([ids[p] for p in self.split.cells(word)])
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
-
-
-def list_array(values: list[np.ndarray], kind: np.dtype = np.int32) -> pa.Array:
-    """One list per array; lists never are null."""
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, kind)]).astype(kind)))
+            out[piece] = array("i", self.trie.encode(piece)).tobytes()
+        return out
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -188,10 +163,15 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     at = df.columns.index(text)
 
     def make():
-        encoder = Encoder(path)
-        return lambda part: [list_array(encoder(part.column(at).to_pylist()))]
+        encoder = of_worker(("trie", path), lambda: Encoder(path))
+
+        def work(part):
+            values, offsets = encoder(part.column(at))
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))]
+
+        return work
 
-    return with_columns(df, [StructField(ids, ArrayType(IntegerType(), False))], make)
+    return with_columns(df, at, [StructField(ids, ArrayType(IntegerType(), False))], make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -203,12 +183,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     at = df.columns.index(ids)
 
     def make():
-        names = Vocabulary(path).text
+        names = of_worker(("names", path), lambda: Vocabulary(path, merges=False).text)
+        known = pa.array([names.get(i) for i in range(max(names, default=0) + 1)], pa.string())
 
         def work(part):
-            out = [" ".join([names[i] for i in row or () if i in names]) for row in part.column(at).to_pylist()]
-            return [pa.array(out, pa.string())]
+            column = part.column(at)
+            column = pc.if_else(column.is_null(), pa.scalar([], column.type), column)
+            values = column.flatten()
+            inside = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(known)))
+            found = known.take(pc.if_else(inside, values, None))
+            offsets = column.offsets.to_numpy()
+            if found.null_count:  # unknown ids are passed over
+                gone = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])
+                offsets = offsets - offsets[0]
+                offsets, found = offsets - gone[offsets], found.drop_null()
+            lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found)
+            return [pc.binary_join(lists, " ").fill_null("")]
 
         return work
 
-    return with_columns(df, [StructField(text, StringType())], make)
+    return with_columns(df, at, [StructField(text, StringType())], make)

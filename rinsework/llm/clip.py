@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-import unicodedata
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -13,10 +16,14 @@ SPACE = r"\t-\r \x85\p{Z}"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-#: Characters whose class, case and composition are the same in every Unicode version; others are left to the library.
-SETTLED = (
-    r"[\x00-\x1B\x20-\u024F\u0400-\u045F\u2010-\u2027\u2030-\u205E\u20AC\u3041-\u3093\u30A1-\u30F6\u4E00-\u9FA5\uAC00-\uD7A3]*"
+#: Characters whose class, case and composition are the same in every Unicode version, and each a lower case of one
+#: character; texts with others are left to the library.
+UNSETTLED = (
+    r"[^\x00-\x1B\x20-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}"
+    r"\x{3041}-\x{3093}\x{30A1}-\x{30F6}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}]"
 )
+#: Words a worker remembers, in each of two generations: a bound on memory, not on results.
+REMEMBERED = 200_000
 
 
 def byte_names() -> dict[int, str]:
@@ -31,13 +38,15 @@ def byte_names() -> dict[int, str]:
 class Vocabulary:
     """Tokens, merges and special tokens of a vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = True):
         with open(path, encoding="utf-8") as f:
             content = json.load(f)
         model = content["model"]
         self.names: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.text = {i: t for t, i in self.names.items()} | {i: t for t, i in self.special.items()}
+        if not merges:
+            return
         back = {c: b for b, c in byte_names().items()}
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
@@ -53,45 +62,93 @@ class Vocabulary:
             self.merges[self.names[left], self.names[right]] = (rank, self.names[left + right])
 
 
-class Splitter:
-    """Texts to words between white space, lower-cased, and words to pre-tokens; pre-tokens never hold white space.
+class TextEncoder:
+    """Whole texts to ids, word by word: what stands between white space is split and encoded once and remembered.
 
-    Special tokens written out in a text come as their ids; words with rare characters as the bytes of pre-tokens.
+    Pre-tokens never hold white space, so a text is lower-cased and cut at white space by Arrow, and its distinct
+    words are looked up. Texts with rare characters or with special tokens written out take the library's own
+    normaliser and splitter. Subclasses say how the bytes of one pre-token become ids.
     """
 
     def __init__(self, path: str, special: dict[str, int]):
-        self.path, self.special = path, special
+        self.path, self.special, self.library = path, special, None
         self.pieces = regex.compile(PIECES).findall
-        self.settled = regex.compile(SETTLED).fullmatch
-        self.borders = regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")") if special else None
-        self.library = None
+        self.borders = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.marks = frozenset(".,;:!?")
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def rare(self, text: str) -> list[bytes]:
-        """By the library's own normaliser and splitter, for characters that Unicode versions differ on."""
+    def ids_of(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """For pre-tokens in UTF-8 their ids, as bytes of 32-bit integers."""
+        raise NotImplementedError
+
+    def rare(self, text: str) -> np.ndarray:
+        """A text through the library's normaliser and splitter, piece by piece."""
         if self.library is None:
             self.library = Tokenizer.from_file(self.path)
             self.back = {c: b for b, c in byte_names().items()}
-        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(self.back[c] for c in p) for p, _ in found]
-
-    def plain(self, text: str) -> list[str | bytes]:
-        if not self.settled(text):
-            return self.rare(text)
-        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-
-    def __call__(self, text: str | None) -> list[str | bytes | int]:
-        if not text:
-            return []
-        if self.borders is None or not any(s in text for s in self.special):
-            return self.plain(text)
-        out: list[str | bytes | int] = []
-        for part in self.borders.split(text):
+        out = []
+        for part in self.borders.split(text) if self.borders else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
+                continue
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+            cells = [bytes(self.back[c] for c in p) for p, _ in found]
+            known = self.ids_of(sorted(set(cells)))
+            out += [known[c] for c in cells]
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def cells(self, word: str) -> list[bytes]:
+        """The pre-tokens of a word in UTF-8; letters, with or without one of the commonest marks behind, need no pattern."""
+        if word.isalpha():
+            return [word.encode()]
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return [word[:-1].encode(), word[-1:].encode()]
+        return [p.encode() for p in self.pieces(word)]
+
+    def words(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct words. A full cache becomes the older one, so frequent words stay."""
+        if len(self.recent) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        out = list(map(recent.get, distinct))
+        missing = [i for i, known in enumerate(out) if known is None]
+        new = []
+        for i in missing:
+            known = older.get(distinct[i])
+            if known is None:
+                new.append(i)
             else:
-                out += self.plain(part)
+                out[i] = recent[distinct[i]] = known
+        cells = [self.cells(distinct[i]) for i in new]
+        known = self.ids_of(sorted(set(chain.from_iterable(cells))))
+        for i, own in zip(new, cells):
+            out[i] = recent[distinct[i]] = known[own[0]] if len(own) == 1 else b"".join([known[c] for c in own])
         return out
 
-    def cells(self, word: str | bytes) -> list[bytes]:
-        """The pre-tokens of a word, in UTF-8."""
-        return [word] if isinstance(word, bytes) else [p.encode("utf-8") for p in self.pieces(word)]
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts one after another, and the n + 1 offsets of the texts; null is empty."""
+        column = column.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(column, UNSETTLED)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, token))
+        plain = pc.if_else(odd, "", column) if odd.true_count else column
+        words = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        codes = words.flatten().dictionary_encode()
+        known = self.words(codes.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), np.int32)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(sizes) - sizes
+        index = codes.indices.to_numpy()
+        counts = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(first[index] - ends[:-1], counts) + np.arange(ends[-1])]
+        borders = words.offsets.to_numpy()
+        offsets = ends[borders - borders[0]]
+        if odd.true_count:
+            rows = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+                rows[i] = self.rare(column[int(i)].as_py())
+            ids = np.concatenate(rows)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        return ids, offsets

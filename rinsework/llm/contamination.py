@@ -166,7 +166,7 @@ def _scan(df: DataFrame, index: dict, text: str, again: bool) -> DataFrame:
         StructField("items", ArrayType(StringType())),
         StructField("cleaned", StringType()),
     ]
-    return with_columns(df, fields, make)
+    return with_columns(df, at, fields, make)
 
 
 def contamination(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from pyspark.sql.types import (
 )
 from tokenizers import Tokenizer
 
-from rinsework.llm.arrow import slices
-from rinsework.llm.clip import Splitter, byte_names
+from rinsework.llm.arrow import of_worker, slices
+from rinsework.llm.clip import TextEncoder, byte_names
 from rinsework.plans.cut import working_folder
 
 #: Ids and bits per selector, fixed by the format. Selector 1 is an escape: its payload counts into the escape list.
@@ -29,9 +29,8 @@ BITS = np.array([0, 60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int6
 ESCAPE = 1
 #: Ids per block: each block begins with a fresh word, so blocks decode side by side.
 BLOCK = 256
-#: Ids a segment holds, if its documents are not larger themselves; words a worker remembers. Both bound memory only.
+#: Ids a segment holds, if its documents are not larger themselves.
 SEGMENT = 1 << 20
-MAX_WORDS = 300_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,32 +106,19 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return out
 
 
-class LibraryEncoder:
-    """Whole texts to ids by the tokenizers library, which sees each distinct pre-token once."""
+class LibraryEncoder(TextEncoder):
+    """Ids by the tokenizers library, which sees each distinct pre-token once."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.split, self.names = Splitter(path, special), byte_names()
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = {i: np.uint32(i).tobytes() for i in self.split.special.values()}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in texts]
-        distinct = set(chain.from_iterable(parts))
-        new = distinct.difference(self.words)
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.forget()
-            new = distinct.difference(self.words)
-        merge, names = self.library.model.tokenize, self.names
-        for word in new:
-            tokens = [t.id for p in self.split.cells(word) for t in merge("".join([names[b] for b in p]))]
-            self.words[word] = np.array(tokens, np.uint32).tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        library = Tokenizer.from_file(path)
+        super().__init__(path, {t.content: i for i, t in library.get_added_tokens_decoder().items()})
+        self.merge, self.names = library.model.tokenize, byte_names()
+
+    def ids_of(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        names = self.names
+        return {
+            p: array("i", [t.id for t in self.merge("".join([names[b] for b in p]))]).tobytes() for p in pieces
+        }
 
 
 #: One row per segment: whole documents in order, their lengths, and the packed ids.
@@ -171,27 +157,28 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc
     ordered = ordered.select(F.spark_partition_id().alias("p"), "d", "t")
 
     def run(batches):
-        encoder, end = LibraryEncoder(path), np.uint32(end_id).tobytes()
+        encoder, end = of_worker(("library", path), lambda: LibraryEncoder(path)), np.array([end_id], np.int32)
         part, segment, before, docs, codes, size = 0, 0, 0, [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(codes), np.uint32)
+            ids = np.concatenate(codes).view(np.uint32)
             words, offsets, escapes = pack(ids)
             cells = [
                 part, segment, before, len(ids), np.array(docs, np.int64).tobytes(),
-                np.array([len(c) // 4 for c in codes], np.int64).tobytes(),
+                np.array([len(c) for c in codes], np.int64).tobytes(),
                 words.tobytes(), offsets.tobytes(), escapes.tobytes(),
             ]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 5
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=FILE.names)
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 2):
                 part = piece.column(0)[0].as_py()
-                for d, code in zip(piece.column(1).to_pylist(), encoder(piece.column(2).to_pylist())):
+                ids, borders = encoder(piece.column(2))
+                for d, a, b in zip(piece.column(1).to_pylist(), borders[:-1], borders[1:]):
                     docs.append(d)
-                    codes.append(code + end)
-                    size += len(code) // 4 + 1
+                    codes.append(np.concatenate([ids[a:b], end]))
+                    size += int(b - a) + 1
                     if size >= SEGMENT:
                         yield flush()
                         segment, before, docs, codes, size = segment + 1, before + size, [], [], 0
@@ -224,7 +211,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in chain.from_iterable(piece.to_pylist() for piece in slices(batch, 1)):
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = unpack(
                     np.frombuffer(row["words"], np.uint64), np.frombuffer(row["offsets"], np.uint32),
                     np.frombuffer(row["escapes"], np.uint64), row["n_ids"],
