@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rinsework.llm import bpe, divergence, simple8b
 from rinsework.llm.contamination import contaminated, contamination
 from rinsework.llm.lines import drop_shared_lines
+from rinsework.llm.neardup import near_duplicates
 from rinsework.llm.repeats import repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +189,8 @@ def op7(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
     files = simple8b.write(docs, simple8b.new_folder(spark, "simple8b"), WORD_BPE, end_id=1)
     return simple8b.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op10_chosen_path")
+def op10(spark, folder):
+    return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
