@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinsework.llm import bpe, divergence, simple8b
+from rinsework.llm.cascade import host_path, judge_urls
 from rinsework.llm.contamination import contaminated, contamination
 from rinsework.llm.lines import drop_shared_lines
 from rinsework.llm.neardup import near_duplicates
@@ -191,6 +192,34 @@ def op7(spark, folder):
     return simple8b.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: A host is listed if one of its labels joins two words of which one is listed here.
+LISTED_TERMS = ("spam", "pills", "casino", "adult", "bets", "ads")
+LISTED_HOST = r"(^|\.)(([a-z]+-)?(" + "|".join(LISTED_TERMS) + r")-[a-z]+|[a-z]+-(" + "|".join(LISTED_TERMS) + r"))(\.|$)"
+
+OP9_SQL = f"""
+    WITH parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages),
+    urls AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+        ('allow', 'org', '/fr/')) AS t(action, h, p)),
+    fitting AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+        FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(action,
+        CASE WHEN regexp_matches(host, '{LISTED_HOST}') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM urls LEFT JOIN fitting USING (page_id)"""
+
+
+@query("op9_bloom_cascade", OP9_SQL)
+def op9(spark, folder):
+    pages = table(spark, folder, "pages", "page_id", "url")
+    host, _ = host_path(F.col("url"))
+    listed = pages.select(host.alias("host")).filter(F.col("host").rlike(LISTED_HOST)).distinct()
+    judged = judge_urls(pages, listed, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op10_chosen_path")
 def op10(spark, folder):
     return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
