@@ -13,6 +13,7 @@ from rinsework.llm.cascade import host_path, judge_urls
 from rinsework.llm.contamination import contaminated, contamination
 from rinsework.llm.lines import drop_shared_lines
 from rinsework.llm.neardup import near_duplicates
+from rinsework.llm.perspectives import rotate
 from rinsework.llm.repeats import repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +116,31 @@ def op2(spark, folder):
     )
 
 
+OP3_SQL = """
+    WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text
+        FROM conversations),
+    speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+    cells AS (SELECT conv_id, perspective, CAST(floor(turn / 512) AS BIGINT) AS part, turn, role, text, role = perspective AS own,
+        '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+            ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body
+        FROM turns JOIN speakers USING (conv_id)),
+    placed AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part
+        ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS after FROM cells)
+    SELECT conv_id, perspective, part, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+        coalesce(string_agg(CAST(after - length(body) AS BIGINT) || ':' || CAST(after - 1 AS BIGINT), ',' ORDER BY turn, role, text)
+            FILTER (own), '') AS targets,
+        count(*) AS n_turns, count(*) FILTER (own) AS n_targets,
+        CAST(coalesce(sum(length(body) - 1) FILTER (own), 0) AS BIGINT) AS n_target_chars
+    FROM placed GROUP BY conv_id, perspective, part"""
+
+
+@query("op3_perspective_rotation", OP3_SQL)
+def op3(spark, folder):
+    rendered = rotate(table(spark, folder, "conversations"))
+    spans = F.transform("targets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rendered.withColumn("targets", F.array_join(spans, ","))
+
+
 OP4_SQL = """
     WITH docs AS (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i,
         unnest(string_split(text, chr(10))) AS raw FROM documents),
