@@ -15,12 +15,14 @@ from rinsework.llm.lines import drop_shared_lines
 from rinsework.llm.neardup import near_duplicates
 from rinsework.llm.perspectives import rotate
 from rinsework.llm.repeats import repeats
+from rinsework.llm.unigram import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -218,6 +220,12 @@ def op7(spark, folder):
     return simple8b.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op8_trie_counts")
+def op8(spark, folder):
+    counted = count_tokens(table(spark, folder, "documents", "doc_id", "text"), PIECE_BPE)
+    return counted.select("doc_id", "n_words", "n_tokens")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: A host is listed if one of its labels joins two words of which one is listed here.
 LISTED_TERMS = ("spam", "pills", "casino", "adult", "bets", "ads")
