@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes and documents handled at a time inside a batch, so that a worker's memory follows these and not the batch.
-SLICE_BYTES = 8 << 20
-SLICE_ROWS = 4096
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 2048
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +112,19 @@ def of_worker(key: tuple, make: Callable):
     return shelf[key]
 
 
-def slices(batch: pa.RecordBatch, at: int | None = None) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of a bounded number of rows and bytes of its column ``at``; one text is never cut."""
-    begin = 0
-    ends = strings(batch.column(at))[1] if at is not None and pa.types.is_string(batch.column(at).type) else None
+def sizes(column: pa.Array) -> np.ndarray:
+    """The n + 1 offsets, in bytes, of a column of texts or of lists of numbers."""
+    if pa.types.is_list(column.type):
+        return column.offsets.to_numpy().astype(np.int64) * 4
+    return np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(), dtype=np.int64)])
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of a bounded number of rows and bytes of its column ``at``; one value is never cut."""
+    begin, ends = 0, sizes(batch.column(at))
     while begin < batch.num_rows:
-        stop = min(begin + SLICE_ROWS, batch.num_rows)
-        if ends is not None:
-            stop = min(stop, max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1))
+        fits = int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1
+        stop = min(begin + SLICE_ROWS, max(begin + 1, fits), batch.num_rows)
         yield batch.slice(begin, stop - begin)
         begin = stop
 

@@ -20,8 +20,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 from rinsework.llm.arrow import of_worker, with_columns
 from rinsework.llm.clip import TextEncoder, Vocabulary
 
-#: Nodes of a worker's trie before it starts a new one: a bound on memory, not on results.
-MAX_NODES = 400_000
+#: Nodes of a worker's trie, and pairs of tokens whose agreement it remembers: bounds on memory, not on results.
+MAX_NODES, MAX_PAIRS = 200_000, 200_000
 
 
 class WordTrie:
@@ -31,8 +31,6 @@ class WordTrie:
         self.inner, self.final, self.merges = vocabulary.inner, vocabulary.final, vocabulary.merges
         self.bytes_of = {i: (t, False) for t, i in self.inner.items()} | {i: (t, True) for t, i in self.final.items()}
         self.longest = max(map(len, chain(self.inner, self.final)), default=1)
-        self.pairs: dict[int, bool] = {}
-        self.edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.parts = {made: (rank, a, b) for (a, b), (rank, made) in self.merges.items()}
         built = {made: rank for made, (rank, _, _) in self.parts.items()}
         #: Each token has one merge, after those of its halves; then merges come in the order of their ranks.
@@ -42,6 +40,8 @@ class WordTrie:
         self.clear()
 
     def clear(self) -> None:
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.child: dict[int, int] = {}
         self.last, self.start = [-1], [0]
 
@@ -146,7 +146,7 @@ class Encoder(TextEncoder):
     def ids_of(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         out = {}
         for piece in pieces:
-            if len(self.trie.last) > MAX_NODES:
+            if len(self.trie.last) > MAX_NODES or len(self.trie.pairs) > MAX_PAIRS:
                 self.trie.clear()
             out[piece] = array("i", self.trie.encode(piece)).tobytes()
         return out

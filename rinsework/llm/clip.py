@@ -23,7 +23,7 @@ UNSETTLED = (
     r"\x{3041}-\x{3093}\x{30A1}-\x{30F6}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}]"
 )
 #: Words a worker remembers, in each of two generations: a bound on memory, not on results.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def byte_names() -> dict[int, str]:

@@ -26,7 +26,7 @@ RANK_OFFSET, BYTE_PENALTY = 2.7, 10.0
 #: Log probabilities are kept as integers of this many parts, so sums and ties are exact.
 PARTS = 1_000_000
 #: Nodes of a worker's trie and words it remembers: bounds on memory, not on results.
-MAX_NODES, REMEMBERED = 200_000, 200_000
+MAX_NODES, REMEMBERED = 150_000, 120_000
 
 
 def piece_scores(path: str) -> dict[str, int]:
