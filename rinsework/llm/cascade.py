@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField
 
-from rinsework.llm.arrow import with_columns
+from rinsework.llm.arrow import fresh, with_columns
 from rinsework.plans.cut import cut
 
 #: Bytes of one shard's levels that may be broadcast. More keys make more shards, not larger ones.
@@ -175,8 +175,9 @@ def mark(df: DataFrame, cascade: Cascade, key: str, out: str = "listed") -> Data
     column = F.col(f"`{key}`")
     h1, h2 = (hash_key(column, s) for s in SEEDS)
     n = len(cascade.levels)
-    hashed = df.withColumn("__firsts", F.array(*[F.xxhash64(h1, F.lit(i)) for i in range(n)]))
-    hashed = hashed.withColumn("__steps", F.array(*[F.xxhash64(h2, F.lit(i)) for i in range(n)]))
+    firsts, steps = fresh("firsts", [*df.columns, out]), fresh("steps", [*df.columns, out])
+    hashed = df.withColumn(firsts, F.array(*[F.xxhash64(h1, F.lit(i)) for i in range(n)]))
+    hashed = hashed.withColumn(steps, F.array(*[F.xxhash64(h2, F.lit(i)) for i in range(n)]))
     at = df.columns.index(key)
     done = None
     for k in range(cascade.shards):
@@ -195,7 +196,7 @@ def mark(df: DataFrame, cascade: Cascade, key: str, out: str = "listed") -> Data
 
             return work
 
-        marked = with_columns(own, at, [StructField(out, BooleanType())], make).drop("__firsts", "__steps")
+        marked = with_columns(own, at, [StructField(out, BooleanType())], make).drop(firsts, steps)
         done = marked if done is None else done.unionByName(marked)
     return done
 
@@ -211,8 +212,9 @@ def judge_urls(
     ``://`` have an empty host and path. Columns of the four names are replaced, others kept; rows are not moved.
     """
     host, path = host_path(F.col(f"`{url}`"))
-    rows = df.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    marked = mark(rows, build(rows.select("host"), listed, shard_bytes), "host", "__listed")
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
+    marked = mark(rows, build(rows.select("host"), listed, shard_bytes), "host")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(action, F.when(F.col("__listed"), "block").otherwise("allow"))
-    return marked.withColumn("rule", rule).withColumn("verdict", verdict).drop("__listed")
+    verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
+    return marked.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "host", "path", rule.alias("rule"), verdict.alias("verdict"))

@@ -107,13 +107,14 @@ def fit_references(df: DataFrame, text: str = "text", lang: str = "lang", rules:
     """Sum the histograms of all documents that reach the guards, by language: one job, a handful of rows back."""
     rows = _word_counts(_class_counts(_words(_packed(df), text)), lang)
     language = F.when(F.col(f"row.`{lang}`").isin(*COMMON_WORDS), F.col(f"row.`{lang}`"))
-    enough = F.size("w") >= rules.word_guard
+    n = F.size("w")
     size = 1 + max(map(len, COMMON_WORDS.values()))
-    sums = rows.filter(F.size("w") >= rules.class_guard).groupBy(language.alias("k")).agg(
-        *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))],
-        *[F.sum(F.when(enough, F.get("common", F.lit(i)))).alias(f"w{i}") for i in range(size)],
+    # guards inside the sums: as a filter they would be moved down and every text cut into words twice
+    sums = rows.groupBy(language.alias("k")).agg(
+        *[F.sum(F.when(n >= rules.class_guard, F.get("classes", F.lit(i)))).alias(f"c{i}") for i in range(len(CLASSES))],
+        *[F.sum(F.when(n >= rules.word_guard, F.get("common", F.lit(i)))).alias(f"w{i}") for i in range(size)],
     )
-    found = {r.k: r for r in sums.collect()}
+    found = {r.k: r for r in sums.collect() if r.c0 is not None}
     classes = {k: [r[f"c{i}"] for i in range(len(CLASSES))] for k, r in found.items()}
     words = {
         k: [r[f"w{i}"] for i in range(1 + len(COMMON_WORDS[k]))] for k, r in found.items() if k and r.w0 is not None
@@ -201,4 +202,6 @@ def judge(df: DataFrame, references: References, text: str = "text", lang: str =
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, in their own columns. References come from ``df`` itself."""
     judged = judge(df, fit_references(df, text, lang, rules), text, lang, rules)
-    return judged.filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    # an exploded array instead of a filter, which would be moved down with all measures inside its condition
+    good = judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return good.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

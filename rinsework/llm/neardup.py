@@ -25,7 +25,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from rinsework.llm.arrow import inside_documents, mixed, slices, strings, window_hashes, word_hashes, word_spans
+from rinsework.llm.arrow import fresh, inside_documents, mixed, slices, strings, window_hashes, word_hashes, word_spans
 from rinsework.llm.graph import components
 from rinsework.plans.cut import cut
 
@@ -368,5 +368,6 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     Rows that share a doc_id stay or go together.
     """
-    gone = near_duplicates(df, text, doc_id, **more).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return df.join(gone, F.col(f"`{doc_id}`") == F.col("gone"), "left_anti")
+    name = fresh("gone", df.columns)
+    gone = near_duplicates(df, text, doc_id, **more).filter(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return df.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")
