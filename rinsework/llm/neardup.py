@@ -250,16 +250,16 @@ def _confirm_leaders(rows: DataFrame, leaders: DataFrame, percent: int) -> DataF
             return empty
         sets = [np.frombuffer(t, np.uint64) for t in members["tokens"].to_pylist()]
         vs, whole, out = members["v"].to_numpy(), _Sets(sets), []
-        for v, tokens in zip(visitors["v"].to_pylist(), visitors["tokens"].to_pylist()):
+        for v, tokens in zip(visitors["visitor"].to_pylist(), visitors["set"].to_pylist()):
             tokens = np.frombuffer(tokens, np.uint64)
             linked = _similar(whole.shared_with(tokens), len(tokens), whole.sizes, percent)
             out += [(int(u), v) for u in vs[linked] if u != v]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
-    groups = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
-    visits = leaders.select("cluster", groups, "v", "tokens")
+    groups = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")
+    visits = leaders.select(F.col("cluster").alias("c"), groups, F.col("v").alias("visitor"), F.col("tokens").alias("set"))
     members = rows.select("cluster", "group", "v", "tokens")
-    return members.groupBy("cluster", "group").cogroup(visits.groupBy("cluster", "group")).applyInArrow(confirm, "u bigint, v bigint")
+    return members.groupBy("cluster", "group").cogroup(visits.groupBy("c", "g")).applyInArrow(confirm, "u bigint, v bigint")
 
 
 def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size: int, percent: int, group: int) -> DataFrame:
