@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes and documents handled at a time inside a batch, so that a worker's memory follows these and not the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2048
 
 

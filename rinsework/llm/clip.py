@@ -70,6 +70,8 @@ class TextEncoder:
     normaliser and splitter. Subclasses say how the bytes of one pre-token become ids.
     """
 
+    remembered = REMEMBERED
+
     def __init__(self, path: str, special: dict[str, int]):
         self.path, self.special, self.library = path, special, None
         self.pieces = regex.compile(PIECES).findall
@@ -108,7 +110,7 @@ class TextEncoder:
 
     def words(self, distinct: list[str]) -> list[bytes]:
         """The ids of distinct words. A full cache becomes the older one, so frequent words stay."""
-        if len(self.recent) > REMEMBERED:
+        if len(self.recent) > self.remembered:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
         out = list(map(recent.get, distinct))

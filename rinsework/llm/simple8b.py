@@ -27,6 +27,8 @@ from rinsework.plans.cut import working_folder
 COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 1
+#: The first id too large for each selector but the escape.
+LIMITS = np.array([1 << int(b) for s, b in enumerate(BITS) if s != ESCAPE], np.uint64)
 #: Ids per block: each block begins with a fresh word, so blocks decode side by side.
 BLOCK = 256
 #: Ids a segment holds, if its documents are not larger themselves.
@@ -40,46 +42,52 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     n = len(ids)
     ids = ids.astype(np.uint64)
-    escapes = ids[ids >> np.uint64(60) > 0]
+    large = ids >> np.uint64(60) > 0
+    escapes = ids[large]
     small = ids.copy()
-    small[ids >> np.uint64(60) > 0] = np.arange(len(escapes), dtype=np.uint64)
-    escaped = ids >> np.uint64(60) > 0
+    small[large] = np.arange(len(escapes), dtype=np.uint64)
     starts = np.arange(0, n, BLOCK)
     limit = np.minimum(starts + BLOCK, n)
-    ends = np.repeat(limit, limit - starts)
-    place = np.arange(n)
-    best = np.full(n, len(COUNTS) - 1, np.int8)
-    best[escaped] = ESCAPE
-    taken = np.zeros(n, bool) | escaped
-    for s in (0, *range(2, len(COUNTS) - 1)):
-        if taken.all():
-            break
-        high = (ids >> np.uint64(BITS[s])) > 0
-        bad = np.where(high | escaped, place, n)
-        after = np.minimum(np.minimum.accumulate(bad[::-1])[::-1], ends)  # how far ids of so few bits go
-        fits = ~taken & ((after - place >= COUNTS[s]) | (after == ends) & (after > place))
-        best[fits] = s
-        taken |= fits
+    # a row per block, small numbers throughout: how many sizes an id is too large for, and how far a size goes on
+    sizes = np.full(len(starts) * BLOCK, len(LIMITS) + 1, np.uint8)
+    sizes[:n] = np.searchsorted(LIMITS, ids, "right")
+    sizes[:n][large] = len(LIMITS) + 1
+    sizes, ends = sizes.reshape(-1, BLOCK), (limit - starts).astype(np.int16)[:, None]
+    place = np.arange(BLOCK, dtype=np.int16)
+    best = np.full(sizes.shape, ESCAPE, np.int8)
+    taken = sizes > len(LIMITS)
+    for order, s in enumerate((0, *range(2, len(COUNTS)))):
+        low = sizes <= order
+        # only blocks with enough such ids, or with one at their end, can hold a run of them
+        own = np.flatnonzero((low.sum(axis=1) >= COUNTS[s]) | low[np.arange(len(low)), ends[:, 0] - 1])
+        stop = ends[own]
+        after = np.minimum.accumulate(np.where(low[own], stop, place)[:, ::-1], axis=1)[:, ::-1]
+        after = np.minimum(after, stop)  # how far ids of so few bits go
+        fits = ~taken[own] & ((after - place >= COUNTS[s]) | (after == stop) & (after > place))
+        best[own] = np.where(fits, np.int8(s), best[own])
+        taken[own] |= fits
+    best = best.reshape(-1)
+    # where words begin: all blocks step from word to word side by side
     at, row, rounds = starts.copy(), np.arange(len(starts)), []
     while len(row):
-        s = best[at].astype(np.int64)
-        count = np.where(s == ESCAPE, 1, np.minimum(COUNTS[s], limit[row] - at))
-        word = s.astype(np.uint64) << np.uint64(60)
-        for k in range(int(count.max())):
-            has = (k < count) & (BITS[s] > 0)
-            if not has.any():
-                break
-            shift = (k * BITS[s[has]]).astype(np.uint64)
-            word[has] |= small[at[has] + k] << shift
-        rounds.append((row, word))
-        at = at + count
+        rounds.append((row, at))
+        at = at + COUNTS[best[at]]
         left = at < limit[row]
         at, row = at[left], row[left]
     owner = np.concatenate([r for r, _ in rounds]) if rounds else np.zeros(0, np.int64)
-    words = np.concatenate([w for _, w in rounds]) if rounds else np.zeros(0, np.uint64)
+    begins = np.concatenate([x for _, x in rounds]) if rounds else np.zeros(0, np.int64)
     order = np.argsort(owner, kind="stable")
-    offsets = np.searchsorted(owner[order], np.arange(len(starts)))
-    return words[order], offsets.astype(np.uint32), escapes
+    owner, begins = owner[order], begins[order]
+    words = best[begins].astype(np.uint64) << np.uint64(60)
+    padded = np.concatenate([small, np.zeros(COUNTS.max(), np.uint64)])
+    for s in np.unique(best[begins]):
+        if BITS[s]:
+            own = np.flatnonzero(best[begins] == s)
+            steps = np.arange(COUNTS[s])
+            places = begins[own][:, None] + steps
+            cells = padded[places] * (places < limit[owner[own]][:, None])
+            words[own] |= np.bitwise_or.reduce(cells << (steps * BITS[s]).astype(np.uint64), axis=1)
+    return words, np.searchsorted(owner, np.arange(len(starts))).astype(np.uint32), escapes
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -109,16 +117,21 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 class LibraryEncoder(TextEncoder):
     """Ids by the tokenizers library, which sees each distinct pre-token once."""
 
+    remembered = 250_000
+
     def __init__(self, path: str):
         library = Tokenizer.from_file(path)
         super().__init__(path, {t.content: i for i, t in library.get_added_tokens_decoder().items()})
         self.merge, self.names = library.model.tokenize, byte_names()
 
     def ids_of(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        names = self.names
-        return {
-            p: array("i", [t.id for t in self.merge("".join([names[b] for b in p]))]).tobytes() for p in pieces
-        }
+        merge, names, out = self.merge, self.names, {}
+        for piece in pieces:
+            text = piece.decode("latin-1")
+            if not (text.isascii() and text.isprintable()):  # other bytes have names of their own
+                text = text.translate(names)
+            out[piece] = array("i", [t.id for t in merge(text)]).tobytes()
+        return out
 
 
 #: One row per segment: whole documents in order, their lengths, and the packed ids.

@@ -41,7 +41,7 @@ def test_encoders_agree_with_the_library(kind, library):
 def test_bounded_caches_change_nothing(library, monkeypatch):
     texts = random_texts(120)
     monkeypatch.setattr(bpe, "MAX_NODES", 50)
-    monkeypatch.setattr("rinsework.llm.clip.REMEMBERED", 20)
+    monkeypatch.setattr(bpe.Encoder, "remembered", 20)
     encoder = bpe.Encoder(WORD_BPE)
     got = [row for i in range(0, len(texts), 7) for row in encoded(encoder, texts[i : i + 7])]
     assert got == library(texts)
