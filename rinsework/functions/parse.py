@@ -33,6 +33,15 @@ DATE_FORMATS = (
     "%d %B %Y",
     "%b %d, %Y",
     "%B %d, %Y",
+    "%b %d %Y",
+    "%B %d %Y",
+    "%Y-%m-%d %H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S%z",
+    "%Y-%m-%d %H:%M:%S%z",
+    "%Y-%m-%dT%H:%M:%S.%f%z",
+    "%Y-%m-%d %H:%M:%S.%f%z",
+    "%Y%m%d",
 )
 SPARK_PATTERN = {
     "%Y": "yyyy",
@@ -49,6 +58,8 @@ SPARK_PATTERN = {
     "%a": "EEE",
     "%A": "EEEE",
 }
+# parts that come in several lengths: one to six digits of a second, offsets with or without a colon
+LENIENT_PATTERN = {"%f": "[SSSSSS][SSSSS][SSSS][SSS][SS][S]", "%z": "[XXX][XX]"}
 
 
 def to_number(c: Column, t: T.DataType) -> Column:
@@ -79,8 +90,8 @@ def spark_date_pattern(date_format: str) -> str:
             out += flush(quoted) + SPARK_PATTERN[token]
             quoted = ""
             i += 2
-        elif token == "%f":
-            out += flush(quoted) + "[SSSSSS]"
+        elif token in LENIENT_PATTERN:
+            out += flush(quoted) + LENIENT_PATTERN[token]
             quoted = ""
             i += 2
         elif token.startswith("%"):
@@ -96,7 +107,9 @@ def spark_date_pattern(date_format: str) -> str:
 
 
 def to_datetime(c: Column, date_format: str) -> Column:
-    """Zone-free timestamp, or null where the text does not have the format."""
+    """Zone-free timestamp, or null where the text does not have the format; offsets are turned to session time."""
+    if date_format == "%Y%m%d":  # digits without marks between them need fixed widths
+        return F.when(strip(c).rlike("^[0-9]{8}$"), F.try_to_timestamp(strip(c), F.lit("yyyyMMdd"))).cast("timestamp_ntz")
     return F.try_to_timestamp(strip(c), F.lit(spark_date_pattern(date_format))).cast("timestamp_ntz")
 
 

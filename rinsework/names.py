@@ -57,6 +57,14 @@ def is_category(field: T.StructField) -> bool:
     return field.metadata.get("logical") == "category"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not among ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def data_columns(df: DataFrame) -> list[str]:
     """All columns but the row identity."""
     return [c for c in df.columns if c != ROW_ID]

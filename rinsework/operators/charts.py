@@ -23,7 +23,10 @@ PAIRS_PER_JOB = 120
 
 
 def group_aggregate(df: DataFrame, key: str, name: str, func: str) -> DataFrame:
-    """sum, mean, median, min, max or count of a column per non-missing key: columns key, value."""
+    """sum, mean, median, min, max or count of a column per non-missing key: columns key, value.
+
+    ``count`` counts the rows of a key, whatever the column holds; the sum of no values is 0.
+    """
     require_batch(df, "group_aggregate")
     keyed = df.filter(present(df, key))
     if func == "median":
@@ -31,7 +34,9 @@ def group_aggregate(df: DataFrame, key: str, name: str, func: str) -> DataFrame:
         return found.select(col(key).alias("key"), F.col("q").getItem(0).alias("value"))
     if func not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {func}")
-    result = AGGREGATES[func](value(df, name))
+    result = F.count(F.lit(1)) if func == "count" else AGGREGATES[func](value(df, name))
+    if func == "sum":
+        result = F.coalesce(result, F.lit(0))
     return keyed.groupBy(value(df, key).alias("key")).agg(result.alias("value"))
 
 

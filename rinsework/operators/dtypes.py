@@ -27,9 +27,8 @@ from rinsework.plans.counts import decisive_counts
 from rinsework.plans.onerow import measure
 from rinsework.streaming.guard import require_batch
 
-# fixed values: type labels, and how many values are tried as dates
+# fixed values: type labels
 TARGETS = ("Integer", "Float", "Boolean", "Category", "Object", "Datetime")
-PROBE_ROWS = 100
 CATEGORY = {"logical": "category"}
 
 
@@ -75,32 +74,19 @@ def detect_types(df: DataFrame, order_by: str = ROW_ID) -> DataFrame:
 
 
 def _dated_columns(df: DataFrame, text: list[str], order_by: str) -> set[str]:
-    """Columns whose first values all have the format of the very first one.
+    """Columns of which every value has the format of the very first one.
 
-    One aggregate finds every column's first value; only those that look like a date are probed further.
+    One aggregate finds every column's first value, a second one holds all values of the columns that may
+    be dates to it.
     """
     by = col(order_by) if order_by in df.columns else F.monotonically_increasing_id()
     firsts = measure(df, {c: F.min_by(col(c), F.when(col(c).isNotNull(), by)) for c in text})
-    dated = set()
-    for c in text:
-        guess = parse.guess_date_format(firsts[c]) if firsts[c] is not None else None
-        if guess is None:
-            continue
-        present = df.filter(col(c).isNotNull())
-        if order_by in df.columns:
-            present = present.orderBy(col(order_by))
-        probe = present.select(col(c)).limit(PROBE_ROWS).collect()
-        if all(_has_format(r[0], guess) for r in probe):
-            dated.add(c)
-    return dated
-
-
-def _has_format(text: str, date_format: str) -> bool:
-    try:
-        parse.datetime.strptime(text.strip(), date_format)
-        return True
-    except ValueError:
-        return False
+    guesses = {c: parse.guess_date_format(firsts[c]) for c in text if firsts[c] is not None}
+    guesses = {c: guess for c, guess in guesses.items() if guess is not None}
+    unread = measure(
+        df, {c: F.count_if(col(c).isNotNull() & parse.to_datetime(col(c), f).isNull()) for c, f in guesses.items()}
+    )
+    return {c for c in guesses if unread[c] == 0}
 
 
 def convert_type(
@@ -114,7 +100,8 @@ def convert_type(
     """Convert one column; what cannot be read becomes null.
 
     ``Datetime`` without a format takes the format of the first value in table order and holds all
-    rows to it; ``formats`` tries several per row instead and stays row-local.
+    rows to it; if that value is no known date, every row is tried with all known formats. ``formats``
+    tries several per row from the start and stays row-local.
     """
     if column not in df.columns:
         return df
@@ -159,7 +146,7 @@ def _datetime(df: DataFrame, column: str, date_format, formats, order_by: str):
         return F.lit(None).cast("timestamp_ntz")
     guessed = parse.guess_date_format(first)
     if guessed is None:
-        raise ValueError(f"no known date format reads {first!r} in column {column!r}")
+        return F.coalesce(*[parse.to_datetime(c, f) for f in parse.DATE_FORMATS])
     return parse.to_datetime(c, guessed)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.functions.pytext import python_text
-from rinsework.names import ROW_ID, col, dtype, known, number, put, value
+from rinsework.names import ROW_ID, col, dtype, fresh, known, number, put, value
 from rinsework.plans.cut import cut
 from rinsework.plans.lookup import BROADCAST_ROWS, attach
 from rinsework.plans.onerow import measure
@@ -32,7 +32,6 @@ METHODS = (
     "Hash Encoding",
     "Target Encoding",
 )
-MAX_CATEGORIES = 1_000
 
 
 @dataclass(frozen=True)
@@ -48,17 +47,20 @@ class CatalogModel:
 
     def code(self, df: DataFrame, name: str) -> DataFrame:
         """Append the encoded column."""
-        keyed = df.withColumn("__k", category_text(df, self.column))
-        found = attach(keyed, self.table.withColumn("__hit", F.lit(True)), {"__k": "key"}, ["code", "__hit"], "n")
-        missing = F.when(F.col("__k").isNull(), F.lit(self.unseen_null)).otherwise(F.lit(self.unseen))
-        coded = F.when(F.col("__hit"), F.col("code")).otherwise(missing.cast(self.result))
+        key, hit, code = (fresh(n, df.columns) for n in ("key", "hit", "code"))
+        keyed = df.withColumn(key, category_text(df, self.column))
+        model = self.table.select("key", "n", F.col("code").alias(code), F.lit(True).alias(hit))
+        found = attach(keyed, model, {key: "key"}, [code, hit], "n")
+        missing = F.when(col(key).isNull(), F.lit(self.unseen_null)).otherwise(F.lit(self.unseen))
+        coded = F.when(col(hit), col(code)).otherwise(missing.cast(self.result))
         return found.select(*[col(c) for c in df.columns], coded.cast(self.result).alias(name))
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.column not in df.columns:
             return df
-        coded = self.code(df, "__new")
-        return coded.select(*[F.col("__new").alias(c) if c == self.column else col(c) for c in df.columns])
+        new = fresh("new", df.columns)
+        coded = self.code(df, new)
+        return coded.select(*[col(new).alias(c) if c == self.column else col(c) for c in df.columns])
 
 
 def category_text(df: DataFrame, name: str) -> Column:
@@ -128,24 +130,27 @@ def fit_target(
     return CatalogModel(column, table, "double", prior, prior, size)
 
 
-def one_hot(
-    df: DataFrame, columns: list[str], order_by: str = ROW_ID, max_categories: int = MAX_CATEGORIES
-) -> DataFrame:
-    """Columns ``{column}_{value}`` in order of appearance in place of each source column."""
+def one_hot(df: DataFrame, columns: list[str], order_by: str = ROW_ID, max_categories: int | None = None) -> DataFrame:
+    """Columns ``{column}_{value}`` in order of appearance in place of each source column.
+
+    Every value gets a column, so the result is as wide as there are values; ``max_categories`` refuses more
+    than that. For columns with very many values take ``fit_label``: the same information as one number. A name
+    that is taken already, as by a text ``nan`` beside a missing value, gets underscores behind it.
+    """
+    taken = [c for c in df.columns if c not in columns]
     indicators: dict[str, list[Column]] = {}
     for c in columns:
-        firsts = (
-            _catalog(df, c, seen=col(order_by)).agg(F.min("seen").alias("first")).limit(max_categories + 1).collect()
-        )
-        if len(firsts) > max_categories:
+        found = _catalog(df, c, seen=col(order_by)).agg(F.min("seen").alias("first"))
+        firsts = (found if max_categories is None else found.limit(max_categories + 1)).collect()
+        if max_categories is not None and len(firsts) > max_categories:
             raise ValueError(f"column {c!r} has more than {max_categories} categories")
         key = category_text(df, c)
-        indicators[c] = [
-            key.eqNullSafe(F.lit(r["key"]).cast("string"))
-            .cast("bigint")
-            .alias(f"{c}_{'nan' if r['key'] is None else r['key']}")
-            for r in sorted(firsts, key=lambda r: r["first"])
-        ]
+        indicators[c] = []
+        for r in sorted(firsts, key=lambda r: r["first"]):
+            name = fresh(f"{c}_{'nan' if r['key'] is None else r['key']}", taken)
+            taken.append(name)
+            hit = key.eqNullSafe(F.lit(r["key"]).cast("string"))
+            indicators[c].append(hit.cast("bigint").alias(name))
     out: list[Column] = []
     for c in df.columns:
         out += indicators.get(c, [col(c)])
@@ -153,26 +158,29 @@ def one_hot(
 
 
 def binary(df: DataFrame, columns: list[str], order_by: str = ROW_ID) -> DataFrame:
-    """Ordinal code in base 2: columns ``{column}_0`` (highest bit) onwards replace the source."""
-    codes = {}
+    """Ordinal code in base 2: columns ``{column}_0`` (highest bit) onwards replace the source.
+
+    All other columns stay; a digit column whose name is taken gets underscores behind its name.
+    """
+    sources, codes = df.columns, {}
     models = [fit_ordinal(df, c, order_by) for c in columns]
-    for i, (c, model) in enumerate(zip(columns, models)):
-        df = model.code(df, f"__code{i}")
-        codes[c] = (F.col(f"__code{i}"), max(1, math.ceil(math.log2(model.size + 1))))
+    for c, model in zip(columns, models):
+        name = fresh("code", df.columns)
+        df = model.code(df, name)
+        codes[c] = (col(name), max(1, math.ceil(math.log2(model.size + 1))))
+    taken = [c for c in sources if c not in codes]
     out: list[Column] = []
-    for c in df.columns:
-        if c in codes:
-            code, digits = codes[c]
-            # unseen codes are negative and have no bits
-            out += [
-                F.when(code > 0, F.shiftright(code, digits - 1 - d).bitwiseAND(F.lit(1)))
-                .otherwise(0)
-                .cast("bigint")
-                .alias(f"{c}_{d}")
-                for d in range(digits)
-            ]
-        elif not c.startswith("__code"):
+    for c in sources:
+        if c not in codes:
             out.append(col(c))
+            continue
+        code, digits = codes[c]
+        for d in range(digits):
+            name = fresh(f"{c}_{d}", taken)
+            taken.append(name)
+            # unseen codes are negative and have no bits
+            bit = F.shiftright(code, digits - 1 - d).bitwiseAND(F.lit(1))
+            out.append(F.when(code > 0, bit).otherwise(0).cast("bigint").alias(name))
     return df.select(*out)
 
 
@@ -208,7 +216,7 @@ def encode_categorical(
     target_column: str | None = None,
     n_components: int = 8,
     order_by: str = ROW_ID,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> DataFrame:
     """Encode the known columns with one of the seven methods."""
     if method not in METHODS:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.names import ROW_ID, col, dtype, is_numeric, number, put
+from rinsework.names import ROW_ID, col, dtype, fresh, is_numeric, number, put
 from rinsework.operators import density, forest
 from rinsework.plans.lookup import attach
 from rinsework.plans.onerow import measure
@@ -50,11 +50,10 @@ class OutlierModel:
         if self.fill is not None:
             x = F.coalesce(x, F.lit(self.fill))
         if self.flagged_values is not None and self.any_flagged:
-            keyed = df.withColumn("__x", x)
-            found = attach(keyed, self.flagged_values, {"__x": "value"}, ["hit"], "n")
-            return found.select(
-                *[col(c) for c in df.columns], F.coalesce(F.col("hit"), F.lit(False)).alias(name)
-            )
+            key, hit = fresh("x", df.columns), fresh("hit", df.columns)
+            flagged = self.flagged_values.withColumnRenamed("hit", hit)
+            found = attach(df.withColumn(key, x), flagged, {key: "value"}, [hit], "n")
+            return found.select(*[col(c) for c in df.columns], F.coalesce(col(hit), F.lit(False)).alias(name))
         mark = F.lit(False) if self.test is None else F.coalesce(self.test(x), F.lit(False))
         return df.select(*[col(c) for c in df.columns], mark.alias(name))
 

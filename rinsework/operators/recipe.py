@@ -10,12 +10,13 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.names import col, data_columns, dtype, is_integral, numeric_columns, text_columns, value
 from rinsework.operators import columns, dedup, dtypes, encode, features, impute, outliers, rows, scale, text
 from rinsework.plans.counts import modes
+from rinsework.plans.cut import cut
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import column_quantiles
 
@@ -96,6 +97,15 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: Steps after which the number of rows may be another.
+ROW_STEPS = frozenset(
+    (
+        "drop_empty_rows_columns", "delete_rows", "filter_rows", "random_sample", "drop_missing_rows",
+        "remove_duplicates", "handle_outliers", "smart_clean",
+    )
+)
+
+
 @dataclass(frozen=True)
 class Step:
     operator: str
@@ -149,28 +159,21 @@ class Recipe:
     def audit(self, df: DataFrame, sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Run the recipe and log the shape after every step.
 
-        Row counts are observed while the result is written, so no step is scanned again for its count.
+        A step that can change the number of rows is cut and counted, so nothing before it runs again; the
+        others keep the count they get.
         """
-        seen, log = [], []
+        log = []
         for i, step in enumerate((None, *self.done)):
             if step is not None:
                 df = step.run(df)
-            mark = Observation(f"after step {i}")
-            df = df.observe(mark, F.count(F.lit(1)).alias("rows"))
-            seen.append((mark, len(data_columns(df))))
+            if step is None:
+                rows = df.count()
+            elif step.operator in ROW_STEPS:
+                df = cut(df)
+                rows = df.count()
+            name, params, at = (step.operator, str(step.params), step.at) if step else (LOADED, "", self.loaded_at)
+            log.append((i, name, params, at, rows, len(data_columns(df))))
         (sink or (lambda out: out.write.format("noop").mode("overwrite").save()))(df)
-        for i, (mark, width) in enumerate(seen):
-            step = self.done[i - 1] if i else None
-            log.append(
-                (
-                    i,
-                    step.operator if step else LOADED,
-                    str(step.params) if step else "",
-                    step.at if step else self.loaded_at,
-                    mark.get["rows"],
-                    width,
-                )
-            )
         return df.sparkSession.createDataFrame(
             log, "step int, action string, params string, at timestamp_ntz, n_rows bigint, n_cols bigint"
         )

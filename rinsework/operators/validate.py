@@ -6,16 +6,15 @@ from collections import defaultdict
 from datetime import datetime
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rinsework.names import ROW_ID, col, value
+from rinsework.names import ROW_ID, col, dtype, value
+from rinsework.plans.counts import hashes
 from rinsework.plans.onerow import measure
 from rinsework.plans.tablestats import TableStats, gather
 
 ISSUE = "column_name string, issue_type string, affected_rows bigint, severity string, description string"
-MANY_VALUES = 50
 
 
 def duplicate_columns(s: TableStats) -> list[tuple[str, str]]:
@@ -25,18 +24,28 @@ def duplicate_columns(s: TableStats) -> list[tuple[str, str]]:
     aggregate.
     """
     df, place = s.df, [col(ROW_ID)] if ROW_ID in s.df.columns else []
-    simple = [c for c in s.columns if not isinstance(s.types[c], (T.MapType, T.VariantType))]
     # xor of row hashes cannot overflow, and a position in the hash makes it depend on the order
-    prints = measure(df, {c: F.bit_xor(F.xxhash64(value(df, c), *place)) for c in simple})
+    prints = measure(df, {c: F.bit_xor(F.xxhash64(hashes(df, c)[0], *place)) for c in s.columns})
     alike = defaultdict(list)
-    for c in simple:
+    for c in s.columns:
         alike[(s.types[c].simpleString(), prints[c])].append(c)
     pairs = [p for group in alike.values() for p in combinations(group, 2)]
-    same = measure(df, {(a, b): F.bool_and(value(df, a).eqNullSafe(value(df, b))) for a, b in pairs})
+    same = measure(df, {(a, b): F.bool_and(_equal(df, a, b)) for a, b in pairs})
     order = {c: i for i, c in enumerate(s.columns)}
     return sorted((p for p in pairs if same[p]), key=lambda p: (order[p[0]], order[p[1]]))
 
 
+def _equal(df: DataFrame, a: str, b: str) -> Column:
+    """Equal cells; types without an equality of their own are held together by both of their hashes."""
+    t = dtype(df, a).simpleString()
+    if "map<" in t or "variant" in t:
+        both = F.lit(True)
+        for x, y in zip(hashes(df, a), hashes(df, b)):
+            both = both & (x == y)
+        return both & (col(a).isNull() == col(b).isNull())
+    return value(df, a).eqNullSafe(value(df, b))
+
+
 def validate(
     table: DataFrame | TableStats, as_of: datetime | None = None, mixed: str = "storage"
 ) -> DataFrame:
@@ -65,8 +74,8 @@ def _column_issues(s: TableStats, c: str):
             yield c, "Blank Strings", b[(c, "blank")], "info", f"{c} has texts of white space only"
         if b[(c, "untrimmed")]:
             yield c, "Untrimmed Spaces", b[(c, "untrimmed")], "warning", f"{c} has white space at the ends"
-        if MANY_VALUES < s.sizes[c] < s.rows * 0.9:
-            yield c, "High Cardinality", None, "info", f"{c} has about {s.sizes[c]} different texts"
+        if s.is_wide(c):
+            yield c, "High Cardinality", None, "info", f"{c} has {s.reported[c]} different texts"
     if b.get((c, "future")):
         n = b[(c, "future")]
         yield c, "Future Dates", n, "danger", f"{n} dates lie in the future"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: float | None
     if approximate is not None:
         row = df.agg(*[F.approx_count_distinct(value(df, c), approximate) for c in columns]).first()
         return dict(zip(columns, row))
-    seen = dict(value_counts(df, columns).groupBy("i").count().collect())
-    return {c: seen.get(i, 0) for i, c in enumerate(columns)}
+    return exact_counts(df, columns)
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, int, int]]:
@@ -51,6 +50,29 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, int, int]]:
     return {columns[r["i"]]: (r["top"]["txt"], -r["top"]["k"], r["d"]) for r in rows}
 
 
+def hashes(df: DataFrame, name: str) -> list[Column]:
+    """Two independent 64-bit hashes of a column of any type; maps count as sets of entries, variants as JSON."""
+    v, t = value(df, name), dtype(df, name)
+    if isinstance(t, T.VariantType):
+        v = F.to_json(v)
+    elif "map<" in t.simpleString():
+        v = F.array_sort(F.transform(F.map_entries(v), lambda e: F.to_json(e))) if isinstance(t, T.MapType) else F.to_json(F.struct(v))
+    return [F.xxhash64(v, F.lit(seed)) for seed in (1, 2)]
+
+
+def exact_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact distinct non-null values of columns of any type: pairs of hashes are shuffled, never the values."""
+    if not columns:
+        return {}
+    cells = []
+    for i, c in enumerate(columns):
+        h1, h2 = hashes(df, c)
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(value(df, c).isNotNull(), h1).alias("h1"), h2.alias("h2")))
+    long = df.select(F.inline(F.array(*cells))).filter("h1 is not null").distinct()
+    seen = dict(long.groupBy("i").count().collect())
+    return {c: seen.get(i, 0) for i, c in enumerate(columns)}
+
+
 DIRECT_ROWS = 1_000_000
 FEW = 1_000
 NEAR = 0.25

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from rinsework.names import col
 
 BROADCAST_ROWS = 100_000
-HOT_KEYS = 2_000
+BROADCAST_BYTES = 64 << 20
+HOT_KEYS = 20_000
+#: Longest text of a key, in bytes, that may be broadcast as a frequent one.
+HOT_BYTES = 1_024
 
 
 def _named(model: DataFrame, keys: dict[str, str], payload: list[str]) -> DataFrame:
@@ -41,15 +44,19 @@ def attach(
     """Left join ``df`` with a table of distinct keys, nulls equal.
 
     ``model`` must be cut already. ``weight`` names its column with the number of rows
-    per key. Up to ``broadcast_rows`` keys are broadcast. Beyond that, keys that hold
-    more than 1/hot_keys of all rows (so at most ``hot_keys`` of them) are broadcast
-    and their rows never shuffle; the remaining keys are all small and join by shuffle.
+    per key. Up to ``broadcast_rows`` keys of together up to BROADCAST_BYTES are broadcast.
+    Beyond that, keys that hold more than 1/hot_keys of all rows (so at most ``hot_keys``
+    of them, each up to HOT_BYTES long) are broadcast and their rows never shuffle; the
+    remaining keys join by shuffle, where adaptive execution splits those that still weigh.
     """
-    size = model.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    model_rows, total = size[0], size[1] or 0
-    if model_rows <= broadcast_rows:
+    length = F.lit(0)
+    for k in keys.values():
+        length = length + F.coalesce(F.octet_length(col(k).cast("string")), F.lit(0))
+    size = model.agg(F.count(F.lit(1)), F.sum(weight), F.sum(length)).first()
+    model_rows, total, model_bytes = size[0], size[1] or 0, size[2] or 0
+    if model_rows <= broadcast_rows and model_bytes <= BROADCAST_BYTES:
         return _join(df, F.broadcast(_named(model, keys, payload)), keys, payload, "left")
-    is_hot = F.col(weight) * hot_keys >= F.lit(total)
+    is_hot = (F.col(weight) * hot_keys >= F.lit(total)) & (length <= HOT_BYTES)
     hot = F.broadcast(_named(model.filter(is_hot), keys, payload))
     cold = _named(model.filter(~is_hot), keys, payload)
     in_hot = _join(df, hot, keys, payload, "inner")

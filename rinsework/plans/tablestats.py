@@ -28,7 +28,7 @@ from rinsework.names import (
 )
 from rinsework.operators.dedup import duplicate_count
 from rinsework.operators.sizes import column_bytes, fixed_width
-from rinsework.plans.counts import decisive_counts, modes
+from rinsework.plans.counts import countable, decisive_counts, exact_counts, modes
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import column_quantiles
 from rinsework.streaming.guard import require_batch
@@ -122,8 +122,26 @@ class TableStats:
         return modes(self.df, self.columns)
 
     def distinct(self, c: str) -> int:
-        """Exact distinct values."""
-        return self.tops[c][2] if c in self.tops else 0
+        """Exact distinct values, of nested and binary columns too."""
+        return self.tops[c][2] if c in self.tops else self.others.get(c, 0)
+
+    @cached_property
+    def others(self) -> dict[str, int]:
+        """Exact distinct values of the columns that have no text to compare: nested and binary ones."""
+        comparable = set(countable(self.df, self.columns))
+        return exact_counts(self.df, [c for c in self.columns if c not in comparable])
+
+    @cached_property
+    def reported(self) -> dict[str, int]:
+        """Exact distinct values of the text columns with very many of them, for what is said about them."""
+        many = [c for c in self.text + self.category if self.is_wide(c)]
+        if "tops" in self.__dict__:
+            return {c: self.distinct(c) for c in many}
+        return exact_counts(self.df, many)
+
+    def is_wide(self, c: str) -> bool:
+        """More than 50 texts, but not nearly a text of its own for each row."""
+        return 50 < self.sizes[c] < self.rows * 0.9
 
     def mode(self, c: str) -> str | None:
         return self.tops[c][0] if c in self.tops else None
@@ -140,7 +158,7 @@ class TableStats:
     def only_values(self) -> dict[str, str]:
         """The single value of each constant column, as text."""
         constant = [c for c in self.columns if self.count(c) and self.is_constant(c)]
-        return measure(self.df, {c: F.min(value(self.df, c)).cast("string") for c in constant})
+        return measure(self.df, {c: F.any_value(value(self.df, c), True).cast("string") for c in constant})
 
     @cached_property
     def duplicates(self) -> int:
@@ -158,7 +176,7 @@ class TableStats:
         """At most one distinct non-null value."""
         if (c, "min") in self.basics:
             return self.basics[(c, "min")] == self.basics[(c, "max")]
-        return self.count(c) == 0 or self.sizes.get(c) == 1
+        return self.count(c) == 0 or (self.sizes[c] if c in self.sizes else self.others.get(c)) == 1
 
     def is_mixed(self, c: str) -> bool:
         """More than one kind of value. Typed storage is never mixed unless it is a variant."""

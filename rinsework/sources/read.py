@@ -16,6 +16,7 @@ MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+CORRUPT = "_corrupt_record"
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "parquet": "parquet"}
 
 
@@ -29,33 +30,53 @@ def read_csv(
     sep: str = ",",
     missing: Sequence[str] = MISSING_TOKENS,
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
+    malformed: str = "fail",
+    misfits: str = "fail",
 ) -> DataFrame:
     """Header row, missing tokens to null, then inferred types.
 
     Without a schema the text is read once more to choose the types, after tokens such as ``N/A`` are
-    out of the way; give a schema for very large inputs. ``multi_line`` reads line breaks inside quotes,
-    at the price of one task per file.
+    out of the way; give a schema for very large inputs. Line breaks inside quotes are read, so a file is
+    the unit of parallel reading and large data should come as many files; ``multi_line=False`` splits
+    files too, for data without such breaks. A record with more or fewer fields than the header fails the
+    job, or with ``malformed="keep"`` stands as text in a column CORRUPT. A value that its given type
+    cannot hold fails the job, or with ``misfits="null"`` is missing.
     """
+    if malformed not in ("fail", "keep") or misfits not in ("fail", "null"):
+        raise ValueError("malformed must be 'fail' or 'keep', misfits 'fail' or 'null'")
     options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
-    raw = spark.read.options(**options).csv(path)
-    if not raw.columns:
-        return raw
+    reader = spark.read.options(**options)
+    names = reader.csv(path)
+    if not names.columns:
+        return names
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in names.columns])
+    if malformed == "fail":
+        # every field is parsed, whatever columns are asked for, so that no bad record passes unseen
+        raw = reader.options(mode="FAILFAST", columnPruning=False).schema(texts).csv(path)
+    else:
+        kept = T.StructType([*texts.fields, T.StructField(CORRUPT, T.StringType())])
+        raw = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(kept).csv(path)
     raw = normalise_missing(raw, missing)
     if schema is not None:
         wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         types = {f.name: f.dataType for f in wanted}
     else:
         types = infer_types(raw)
-    return raw.select(*[_typed(c, types.get(c, T.StringType())).alias(c) for c in raw.columns])
+    strict = misfits == "fail"
+    return raw.select(*[_typed(c, types.get(c, T.StringType()), strict).alias(c) for c in raw.columns])
 
 
-def _typed(name: str, t: T.DataType):
+def _typed(name: str, t: T.DataType, strict: bool):
     if isinstance(t, T.StringType):
         return col(name)
+    text = F.trim(col(name))
     if isinstance(t, T.BooleanType):
-        return F.lower(F.trim(col(name))).try_cast(t)
-    return F.trim(col(name)).try_cast(t)
+        text = F.lower(text)
+    if not strict:
+        return text.try_cast(t)
+    problem = F.concat(F.lit(f"column {name!r} cannot hold as {t.simpleString()}: "), text)
+    return F.coalesce(text.try_cast(t), F.when(text.isNotNull(), F.raise_error(problem).cast(t)))
 
 
 def infer_types(raw: DataFrame) -> dict[str, T.DataType]:

@@ -12,6 +12,10 @@ from rinsework.sources.read import UnsupportedFormat
 EXTENSIONS = {"CSV": "csv", "TSV": "tsv", "JSON": "json", "PARQUET": "parquet"}
 
 
+#: Records per delimited file, as a file is what one task reads back.
+FILE_RECORDS = 1_000_000
+
+
 def write(df: DataFrame, path: str, file_format: str = "PARQUET", mode: str = "errorifexists") -> str:
     """Write part files under ``path`` and return the file ending of the format."""
     kind = file_format.upper()
@@ -23,6 +27,7 @@ def write(df: DataFrame, path: str, file_format: str = "PARQUET", mode: str = "e
         sep = "\t" if kind == "TSV" else ","
         writer.options(
             header=True,
+            maxRecordsPerFile=FILE_RECORDS,
             sep=sep,
             quote='"',
             escape='"',

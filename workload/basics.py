@@ -94,14 +94,21 @@ def s7_key(spark, folder):
 
 @query(
     "k1_write_csv",
-    with_messy("SELECT row_id, id, name, price, qty, dept, active_txt, const_col FROM messy"),
+    with_messy(f"SELECT row_id, {ALL} FROM messy"),
 )
 def k1(spark, folder):
-    df = messy(spark, folder).select("row_id", "id", "name", "price", "qty", "dept", "active_txt", "const_col")
-    schema = "row_id bigint, id string, name string, price double, qty bigint, dept string, active_txt string, const_col string"
+    df = messy(spark, folder)
+    texts = ("id", "name", "order_date_txt", "dept", "active_txt", "const_col", "empty_col")
+    schema = "row_id bigint, price double, qty bigint, qty_copy bigint, " + ", ".join(f"{c} string" for c in texts)
     return read_csv(spark, _written(spark, df, "CSV"), missing=[""], schema=schema)
 
 
+@query("s1_read_csv_multiline", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def s1_lines(spark, folder):
+    """Texts with line breaks, quotes and separators, read back with all options as they come."""
+    return read_csv(spark, _written(spark, table(spark, folder, "documents"), "CSV"), missing=[])
+
+
 @query("k1_write_csv_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def k1_text(spark, folder):
     path = _written(spark, table(spark, folder, "documents"), "CSV")

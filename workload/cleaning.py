@@ -258,6 +258,20 @@ def y1_dates(spark, folder):
     return dtypes.detect_types(df)
 
 
+@query(
+    "y1_detect_types_late_text",
+    "SELECT * FROM (VALUES ('day', 'Datetime'), ('late', 'Text/Object')) AS t(column_name, logical_type)",
+)
+def y1_late(spark, folder):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    df = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.concat(day, F.lit("T00:00:00.5")).alias("day"),
+        F.when(F.col("o_orderkey") < 500, day).otherwise(F.concat(F.lit("order "), F.col("o_orderkey"))).alias("late"),
+    )
+    return dtypes.detect_types(df)
+
+
 @query(
     "y2_boolean_vocabulary",
     "SELECT * FROM (VALUES ('quality', 'Boolean'), ('toxic', 'Boolean'), ('doc_id', 'Integer')) AS t(column_name, logical_type)",
@@ -353,6 +367,23 @@ def y9(spark, folder):
     return dtypes.convert_type(df, "d", "Datetime")
 
 
+@query(
+    "y9_to_datetime_junk_first",
+    "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 5 > 0 THEN date_trunc('day', o_orderdate) + INTERVAL 90 MINUTE END AS d FROM orders",
+)
+def y9_junk(spark, folder):
+    day, kind = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    text = (
+        F.when(kind == 0, "unknown")
+        .when(kind == 1, F.date_format(day, "yyyy-MM-dd 01:30:00.0"))
+        .when(kind == 2, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T01:30:00Z")))
+        .when(kind == 3, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T03:30:00.000+02:00")))
+        .otherwise(F.date_format(day, "yyyy-MM-dd 01:30"))
+    )
+    df = table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), text.alias("d"))
+    return dtypes.convert_type(df, "d", "Datetime")
+
+
 @query(
     "y9_to_datetime_any",
     with_messy(

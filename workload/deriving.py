@@ -288,6 +288,20 @@ def n2_missing(spark, folder):
     return encode.encode_categorical(messy(spark, folder).select("row_id", "active_txt"), ["active_txt"], "One Hot Encoding")
 
 
+@query(
+    "n2_one_hot_wide",
+    "SELECT row_id, hits, code FROM (SELECT o_orderkey AS row_id, CAST(1 AS BIGINT) AS hits, "
+    "CAST(o_orderkey % 1200 AS BIGINT) AS code FROM orders)",
+)
+def n2_wide(spark, folder):
+    df = _orders(spark, folder).withColumn("k", (F.col("row_id") % 1200).cast("string"))
+    wide = encode.encode_categorical(df, ["k"], "One Hot Encoding")
+    flags = F.array(*[F.col(f"`{c}`") for c in wide.columns if c != "row_id"])
+    names = F.array(*[F.lit(int(c[2:])) for c in wide.columns if c != "row_id"])
+    hits = F.aggregate(flags, F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return wide.select("row_id", hits.alias("hits"), F.get(names, F.array_position(flags, 1).cast("int") - 1).cast("bigint").alias("code"))
+
+
 @query(
     "n3_ordinal_encoding",
     with_messy(
@@ -321,6 +335,19 @@ def n5(spark, folder):
     return encode.encode_categorical(messy(spark, folder).select("row_id", "active_txt"), ["active_txt"], "Binary Encoding")
 
 
+@query(
+    "n5_binary_other_columns",
+    "SELECT o_orderkey AS row_id, o_totalprice AS __code, o_orderkey AS code, o_orderstatus AS k_0, "
+    "(o_orderkey % 3 + 1) // 2 AS k_0_, (o_orderkey % 3 + 1) % 2 AS k_1 FROM orders",
+)
+def n5_others(spark, folder):
+    df = _orders(
+        spark, folder, F.col("o_totalprice").alias("__code"), F.col("o_orderkey").alias("code"),
+        F.col("o_orderstatus").alias("k_0"), (F.col("o_orderkey") % 3).cast("string").alias("k"),
+    )
+    return encode.encode_categorical(df, ["k"], "Binary Encoding")
+
+
 def _bucket(c: str) -> str:
     # the last hexadecimal digit decides the digest modulo 8
     return f"(position(substr(md5(coalesce({c}, 'nan')), 32, 1) IN '0123456789abcdef') - 1) % 8"

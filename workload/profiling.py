@@ -136,7 +136,10 @@ def a8(spark, folder):
     return profile.profile_columns(messy(spark, folder)).drop("mode", "var")
 
 
-_AGG_SQL = {"sum": "sum", "mean": "avg", "median": "median", "min": "min", "max": "max", "count": "count"}
+_AGG_SQL = {
+    "sum": "coalesce(sum(price), 0)", "mean": "avg(price)", "median": "median(price)", "min": "min(price)",
+    "max": "max(price)", "count": "count(*)",
+}
 
 
 @query(
@@ -144,7 +147,7 @@ _AGG_SQL = {"sum": "sum", "mean": "avg", "median": "median", "min": "min", "max"
     with_messy(
         union_all(
             [
-                f"SELECT '{n}' AS func, dept AS key, round(CAST({f}(price) AS DOUBLE), 4) AS value FROM messy WHERE dept IS NOT NULL GROUP BY dept"
+                f"SELECT '{n}' AS func, dept AS key, round(CAST({f} AS DOUBLE), 4) AS value FROM messy WHERE dept IS NOT NULL GROUP BY dept"
                 for n, f in _AGG_SQL.items()
             ]
         )
@@ -581,6 +584,54 @@ def l4(spark, folder):
     return _recipe().undo().audit(messy(spark, folder)).select("step", "action", "n_rows", "n_cols")
 
 
+@query(
+    "l4_audit_log_row_steps",
+    with_messy(
+        "SELECT 0 AS step, 'Dataset Loaded' AS action, count(*) AS n_rows, 10 AS n_cols FROM messy "
+        "UNION ALL SELECT 1, 'remove_duplicates', count(DISTINCT id), 10 FROM messy "
+        "UNION ALL SELECT 2, 'impute_missing', count(DISTINCT id), 10 FROM messy "
+        "UNION ALL SELECT 3, 'sort_rows', count(DISTINCT id), 10 FROM messy "
+        "UNION ALL SELECT 4, 'random_sample', least(count(DISTINCT id), 100), 10 FROM messy "
+        "UNION ALL SELECT 5, 'sort_rows', least(count(DISTINCT id), 100), 10 FROM messy"
+    ),
+)
+def l4_rows(spark, folder):
+    at = datetime(2024, 1, 1)
+    steps = (
+        recipe.Recipe(at)
+        .push("remove_duplicates", at)
+        .push("impute_missing", at, columns=["qty"], strategy="ffill")
+        .push("sort_rows", at, columns=["price"])
+        .push("random_sample", at, n=100)
+        .push("sort_rows", at, columns=["name"])
+    )
+    return steps.audit(messy(spark, folder)).select("step", "action", "n_rows", "n_cols")
+
+
+@query(
+    "v_nested_columns",
+    """SELECT 'embedding & again' AS column_name, 'Duplicate Columns' AS issue_type FROM embeddings HAVING count(*) > 0
+    UNION ALL SELECT c, 'Constant Column' FROM (VALUES ('same'), ('same_map')) AS t(c)
+    UNION ALL SELECT 'entry & entry_again', 'Duplicate Columns'
+    UNION ALL SELECT c, 'distinct ' || n FROM (
+        SELECT 'embedding' AS c, count(DISTINCT embedding) AS n FROM embeddings
+        UNION ALL SELECT 'label_bytes', count(DISTINCT label) FROM embeddings
+        UNION ALL SELECT 'entry', count(DISTINCT label) FROM embeddings) AS d""",
+)
+def v_nested(spark, folder):
+    label = F.col("label").cast("string")
+    df = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("row_id"), "embedding", F.col("embedding").alias("again"),
+        F.array(F.lit(1), F.lit(2)).alias("same"), F.create_map(F.lit("a"), F.lit(1)).alias("same_map"),
+        label.cast("binary").alias("label_bytes"), F.create_map(F.lit("l"), label).alias("entry"),
+        F.create_map(F.lit("l"), label).alias("entry_again"),
+    )
+    issues = validate.validate(df).filter("issue_type in ('Duplicate Columns', 'Constant Column')")
+    counts = profile.profile_columns(df).filter(F.col("column_name").isin("embedding", "label_bytes", "entry"))
+    distinct = counts.select("column_name", F.concat(F.lit("distinct "), "n_distinct").alias("issue_type"))
+    return issues.select("column_name", "issue_type").unionByName(distinct)
+
+
 def _report_rows(parts: list[str]) -> str:
     return union_all(parts)
 
