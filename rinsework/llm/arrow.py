@@ -104,14 +104,6 @@ def inside_documents(word_offsets: np.ndarray, n: int) -> np.ndarray:
     return left >= n
 
 
-def fresh(name: str, columns: list[str]) -> str:
-    """A column name that is not among ``columns``."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def of_worker(key: tuple, make: Callable):
     """What ``make`` gives, made once in the life of a Python worker: vocabularies and caches outlive a task."""
     shelf = sys.modules.setdefault("rinsework_worker_shelf", types.ModuleType("rinsework_worker_shelf")).__dict__

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField
 
-from rinsework.llm.arrow import fresh, with_columns
+from rinsework.llm.arrow import with_columns
+from rinsework.names import fresh
 from rinsework.plans.cut import cut
 
 #: Bytes of one shard's levels that may be broadcast. More keys make more shards, not larger ones.

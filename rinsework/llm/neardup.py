@@ -6,8 +6,10 @@ of similarity 0.8 share a child with probability 0.96; that is more than two chi
 goes, a pair is lost in it with probability below 1/16 and in all six trees below 1e-7.
 
 Small nodes are compared exhaustively, by the share of equal minwise tokens; pairs that may be similar make rough
-clusters. Inside these, links are confirmed on the full sets. A node that stays large to the last level joins a
-rough cluster whole, and clusters of any size are confirmed in bounded groups, so no pair is given up for skew.
+clusters. Inside these, links are confirmed on the full sets. In a large node, members that are much like its
+leader join the leader's rough cluster and go no deeper, so a crowd of near copies does not multiply on its way
+down; a node that stays large to the last level joins a rough cluster whole. Clusters of any size are confirmed in
+bounded groups, so no pair is given up for skew.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from rinsework.llm.arrow import fresh, inside_documents, mixed, slices, strings, window_hashes, word_hashes, word_spans
+from rinsework.llm.arrow import inside_documents, mixed, slices, strings, window_hashes, word_hashes, word_spans
 from rinsework.llm.graph import components
+from rinsework.names import fresh
 from rinsework.plans.cut import cut
 
 SHINGLE, PERCENT = 4, 80
@@ -35,6 +38,10 @@ TREES, LEVELS, CHILDREN = 6, 5, 2
 TOKENS = TREES * LEVELS * CHILDREN
 #: Equal tokens a pair needs to be looked at on its sets: five standard deviations below what similarity 0.8 gives.
 ENOUGH = 32
+#: Equal tokens with the leader of a large node from which a member joins the leader's cluster, and from which it
+#: goes no deeper. Unequal tokens are a metric: who shares 36 tokens with a member that shares 48 with the leader
+#: shares at least 24 with the leader, so both are in its cluster.
+JOIN, RETIRE = 24, 48
 #: Members of a node that is compared exhaustively; documents of a cluster confirmed in one group.
 SMALL_NODE = 512
 GROUP = 128
@@ -168,6 +175,14 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
     return bundled.applyInArrow(compare, "u bigint, v bigint").filter("u <> v").distinct()
 
 
+def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of large nodes with ``equal``, the number of minwise tokens they share with the least member."""
+    leaders = large.select("least").distinct().join(sets.select(F.col("v").alias("least"), F.col("tokens").alias("theirs")), "least")
+    rows = large.join(sets.select("v", "tokens"), "v").join(leaders, "least")
+    equal = F.size(F.filter(F.zip_with("tokens", "theirs", lambda a, b: a == b), lambda same: same))
+    return rows.select("v", "tree", "node", "least", equal.alias("equal"))
+
+
 def _rough_links(sets: DataFrame, enough: int, small_node: int) -> DataFrame:
     """Links between sets that may be similar, from all trees."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
@@ -178,12 +193,16 @@ def _rough_links(sets: DataFrame, enough: int, small_node: int) -> DataFrame:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
         members = cut(rows.join(sizes, "node"))
         found.append(_small_nodes(members.filter(F.col("size") <= small_node), sets, enough))
-        large = members.filter(F.col("size") > small_node)
+        large = members.filter(F.col("size") > small_node).drop("size")
         if large.isEmpty():
             break
         if level == LEVELS - 1:
             found.append(large.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct())
-        rows = large.select("v", "tree", "node").join(sets.select("v", "tokens"), "v")
+            break
+        large = cut(_with_leaders(large, sets))
+        joined = large.filter((F.col("equal") >= JOIN) & (F.col("v") != F.col("least")))
+        found.append(joined.select(F.col("v").alias("u"), F.col("least").alias("v")).distinct())
+        rows = large.filter(F.col("equal") < RETIRE).join(sets.select("v", "tokens"), "v")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
