@@ -139,7 +139,7 @@ def test_group_aggregates(spark):
         return {r["key"]: r["value"] for r in charts.group_aggregate(df, "k", "x", func).collect()}
 
     assert got("mean") == {"a": 2.0, "b": None} and got("median") == {"a": 2.0, "b": None}
-    assert got("count") == {"a": 2, "b": 0} and got("sum") == {"a": 4.0, "b": None}
+    assert got("count") == {"a": 2, "b": 1} and got("sum") == {"a": 4.0, "b": 0.0}
     with pytest.raises(ValueError):
         got("mad")
 
