@@ -204,7 +204,7 @@ def op5(spark, folder):
 @query("op6_bpe_trie")
 def op6(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
-    back = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
+    back = bpe.decode(bpe.encode(docs, WORD_BPE).select("doc_id", "ids"), WORD_BPE)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
