@@ -119,13 +119,19 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     )
 
 
-def _fences(df: DataFrame, column: str, by: str | None) -> tuple[DataFrame, DataFrame, str]:
-    """Rows with a group column, and the quartile table per group with its row counts."""
+def _fences(df: DataFrame, column: str, by: str | None, color: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """Rows with a group column, and the quartile table per group with its row counts.
+
+    Groups of two columns are named by a JSON list of both.
+    """
     require_batch(df, "box_summary")
     key = "__group"
-    grouped = df.withColumn(key, F.lit("all") if by is None else value(df, by).cast("string"))
-    if by is not None:
-        grouped = grouped.filter(F.col(key).isNotNull())
+    names = [value(df, c).cast("string") for c in (by, color) if c is not None]
+    name = F.lit("all") if not names else names[0] if len(names) == 1 else F.to_json(F.array(*names))
+    there = F.lit(True)
+    for n in names:
+        there = there & n.isNotNull()
+    grouped = df.filter(there).withColumn(key, name)
     q = group_quantiles(grouped, key, column, [0.25, 0.5, 0.75])
     found = cut(
         q.filter("n > 0").select(
@@ -143,18 +149,26 @@ def _fences(df: DataFrame, column: str, by: str | None) -> tuple[DataFrame, Data
     return joined, fenced, key
 
 
-def box_summary(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """Quartiles, whiskers at the last value inside 1.5 interquartile ranges, and outlier count per group."""
-    joined, _, key = _fences(df, column, by)
+def box_summary(df: DataFrame, column: str, by: str | None = None, color: str | None = None) -> DataFrame:
+    """Quartiles, whiskers at the last value inside 1.5 interquartile ranges, and outlier count per group.
+
+    ``by`` and ``color`` group by two columns: columns name and color. Rows without a group are left out.
+    """
+    joined, _, key = _fences(df, column, by, color)
     x = F.col("__x")
     inside = (x >= F.col("floor")) & (x <= F.col("ceiling"))
-    return joined.groupBy(F.col(key).alias("name"), "n", "q1", "q2", "q3").agg(
+    found = joined.groupBy(F.col(key).alias("name"), "n", "q1", "q2", "q3").agg(
         F.min(F.when(inside, x)).alias("low_whisker"),
         F.max(F.when(inside, x)).alias("high_whisker"),
         F.count_if(~inside).alias("n_outliers"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     )
+    if by is None or color is None:
+        return found
+    both = F.from_json("name", "array<string>")
+    rest = [c for c in found.columns if c != "name"]
+    return found.select(F.get(both, F.lit(0)).alias("name"), F.get(both, F.lit(1)).alias("color"), *rest)
 
 
 def box_outliers(df: DataFrame, column: str, by: str | None = None) -> DataFrame:

@@ -60,6 +60,19 @@ def h3(spark, folder):
     return out.withColumns({q: F.round(q, 6) for q in ("q1", "q2", "q3")})
 
 
+@query(
+    "h3_box_by_two",
+    with_messy(
+        _BOX,
+        "points AS (SELECT dept || '|' || active_txt AS name, price AS v FROM messy WHERE dept IS NOT NULL AND active_txt IS NOT NULL AND price IS NOT NULL)",
+    ),
+)
+def h3_two(spark, folder):
+    out = charts.box_summary(messy(spark, folder), "price", "dept", "active_txt")
+    out = out.withColumns({q: F.round(q, 6) for q in ("q1", "q2", "q3")})
+    return out.withColumn("name", F.concat_ws("|", "name", "color")).drop("color")
+
+
 @query("h3_box_overall", with_messy(_BOX, "points AS (SELECT 'all' AS name, price AS v FROM messy WHERE price IS NOT NULL)"))
 def h3_all(spark, folder):
     out = charts.box_summary(_priced(spark, folder), "price")
