@@ -22,6 +22,8 @@ from rinsework.plans.cut import cut
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
 
+#: The columns that are added.
+ADDED = ("n_words", "n_hit", "spans", "items", "cleaned")
 #: Bits of the table that most windows of clean text fail at.
 SIEVE_BITS = 24
 
@@ -210,10 +212,15 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, action: str = "documents"
     """Remove contaminated documents, or (``action="spans"``) the hit spans of all documents. Columns stay as they were."""
     if action not in ("documents", "spans"):
         raise ValueError(f"unknown action {action!r}")
-    own = [F.col(f"row.`{c}`").alias(c) for c in df.columns]
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    marked = contamination(packed, benchmark, "text", **more)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    if {c.lower() for c in df.columns} & set(ADDED):  # columns of the names that are added are kept aside
+        own = [F.col(f"row.`{c}`").alias(c) for c in df.columns]
+        body = F.col(f"`{text}`").alias("text")
+        df, columns, text_now = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), body), df.columns, "text"
+    else:
+        columns, text_now = df.columns, text
+    marked = contamination(df, benchmark, text_now, **more)
     if action == "documents":
         return marked.filter(~contaminated()).select(*own)
-    cleaned = F.when(F.col("text").isNull(), None).otherwise(F.col("cleaned"))
-    return marked.select(*[cleaned.alias(c) if c == text else o for c, o in zip(df.columns, own)])
+    cleaned = F.when(F.col(f"`{text_now}`").isNull(), None).otherwise(F.col("cleaned"))
+    return marked.select(*[cleaned.alias(c) if c == text else o for c, o in zip(columns, own)])

@@ -26,9 +26,9 @@ def _normal(line: Column) -> Column:
     return F.btrim(line, F.lit(EDGES))
 
 
-def _lines(df: DataFrame) -> DataFrame:
+def _lines(df: DataFrame, text: Column) -> DataFrame:
     """A row per line that is not blank: its document, place, site and hash."""
-    cells = df.select("d", "key", "site", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    cells = df.select("d", "key", "site", F.posexplode(F.split(text, "\n")).alias("place", "line"))
     return cells.filter(_normal(F.col("line")) != "").select("d", "key", "site", "place", F.xxhash64(_normal(F.col("line"))).alias("line"))
 
 
@@ -67,22 +67,22 @@ def drop_shared_lines(
         F.col(f"`{doc_id}`").alias("d"),
         F.xxhash64(F.col(f"`{text}`")).alias("key"),
         F.col(f"`{site}`").alias("site"),
-        F.col(f"`{text}`").alias("text"),
     )
-    lines = _lines(rows)
+    body = F.col(f"row.`{text}`")  # inside the row only, so that the join ships it once
+    lines = _lines(rows, body)
     shared = shared_lines(lines, min_sites)
     hits = lines.join(shared, "line").filter(~F.col("d").eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("d").alias("d2"), F.col("key").alias("key2")).agg(F.collect_set("place").alias("gone"))
     rows = rows.join(gone, F.col("d").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("key2")), "left")
-    rows = rows.withColumn("all", F.split("text", "\n"))
+    rows = rows.withColumn("all", F.split(body, "\n"))
     all_ = F.col("all")
     places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone")
     kept = F.array_join(F.transform(places, lambda i: F.get(all_, i)), "\n")
     return rows.select(
         "row",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter("all", lambda x: _normal(x) != ""))).cast("long").alias("n_lines"),
+        F.when(body.isNull(), 0).otherwise(F.size(F.filter("all", lambda x: _normal(x) != ""))).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"),
+        F.when(F.col("gone").isNull(), body).otherwise(kept).alias("kept"),
     )
 
 

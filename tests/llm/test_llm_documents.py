@@ -111,6 +111,10 @@ def test_decontaminate(spark):
     assert clean.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in plain)
     cut = {r.text for r in contamination.decontaminate(docs, items, action="spans").collect()}
     assert "start " * 500 + "\n! end" in cut and None in cut
+    clash = docs.withColumnsRenamed({"row": "spans", "d": "Items", "w": "text_"})
+    again = contamination.decontaminate(clash, items, action="spans")
+    assert again.columns == clash.columns and {r.text for r in again.collect()} == cut
+    assert Counter(r.spans for r in again.collect()) == Counter(r.row for r in docs.collect())
     with pytest.raises(ValueError):
         contamination.decontaminate(docs, items, action="other")
 
