@@ -9,8 +9,9 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.names import ROW_ID, col, data_columns, known, present, value
+from rinsework.names import ROW_ID, col, data_columns, fresh, known, present, value
 from rinsework.operators.columns import drop_empty_columns
+from rinsework.plans.cut import cut
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import rank_value
 from rinsework.streaming.guard import require_batch
@@ -77,6 +78,20 @@ def filter_rows(df: DataFrame, expression: str) -> DataFrame:
         raise ValueError(f"cannot filter by {expression!r}: {e}") from e
 
 
+def _sample_unnumbered(df: DataFrame, n: int, seed: int, top_rows: int) -> DataFrame:
+    """Rows without identity draw a number once; beyond a small sample the n-th smallest is a threshold."""
+    if n <= top_rows:
+        return df.orderBy(F.rand(seed)).limit(n)
+    name = fresh("draw", df.columns)
+    drawn = cut(df.withColumn(name, F.floor(F.rand(seed) * F.lit(float(1 << 52)))))
+    if n >= drawn.count():
+        return df
+    last = int(rank_value(drawn, col(name).cast("double"), n - 1))
+    below = drawn.filter(col(name) < last)
+    tied = drawn.filter(col(name) == last).limit(n - below.count())
+    return below.unionByName(tied).drop(name)
+
+
 def random_sample(
     df: DataFrame,
     n: int | None = None,
@@ -103,7 +118,7 @@ def random_sample(
     if n < 0:
         raise ValueError("n must not be negative")
     if ROW_ID not in df.columns:
-        return df.orderBy(F.rand(seed)).limit(n)
+        return _sample_unnumbered(df, n, seed, top_rows)
     draw = F.xxhash64(F.lit(seed), col(ROW_ID))
     # 52 bits, so that the draw survives as a double in the rank search
     short = F.shiftrightunsigned(draw, 12)

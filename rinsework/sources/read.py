@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.names import ROW_ID, col, dtype, is_text
+from rinsework.plans.cut import cut
 
 # fixed values: texts read as missing, and file endings with their formats
 MISSING_TOKENS = (
@@ -17,6 +18,7 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 CORRUPT = "_corrupt_record"
+BROADCAST_SPLITS = 100_000
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "parquet": "parquet"}
 
 
@@ -183,6 +185,9 @@ def attach_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
         & (F.col("__block") == F.col("__b"))
         & (F.shiftright("__seat", 33) == F.col("__p"))
     )
-    return seated.join(F.broadcast(starts), at, "inner").select(
+    # a table of some splits goes to all tasks; a very large one meets its rows by shuffle
+    starts = cut(starts)
+    small = starts.count() <= BROADCAST_SPLITS
+    return seated.join(F.broadcast(starts) if small else starts, at, "inner").select(
         (F.col("__seat") + F.col("__shift")).alias(ROW_ID), *[col(c) for c in df.columns]
     )

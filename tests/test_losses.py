@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rinsework.operators import dtypes, encode, outliers, recipe, validate
 from rinsework.operators.profile import profile_columns
+from rinsework.operators.rows import random_sample
 from rinsework.plans import lookup
 from rinsework.plans.counts import exact_counts
 from rinsework.plans.cut import cut
@@ -122,3 +123,9 @@ def test_lookup_checks_bytes(spark, monkeypatch):
     model = cut(df.groupBy("k").count().select("k", F.col("count").alias("n"), F.length("k").alias("code")))
     got = lookup.attach(df, model, {"k": "k"}, ["code"], "n")
     assert got.count() == 100 and got.filter("code is null or code <> length(k)").count() == 0
+
+
+def test_samples_without_row_id(spark):
+    df = spark.range(1000).select((F.col("id") % 50).alias("x"))
+    for n in (5, 300, 2000):
+        assert random_sample(df, n=n, top_rows=10).count() == min(n, 1000)
