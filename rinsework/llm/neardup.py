@@ -135,17 +135,20 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Two children of each row's node; rows have ``tree``, ``node`` and the document's tokens."""
-    first = (F.col("tree") * LEVELS + level) * CHILDREN
+    """Two children of each row's node; a node's last three bits name its tree."""
+    tree = F.col("node").bitwiseAND(7)
+    first = (tree * LEVELS + level) * CHILDREN
     child = F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))).alias("c")
-    return rows.select("v", "tree", "node", "tokens", child).select(
-        "v", "tree", F.xxhash64("node", "tree", "c", F.get("tokens", first.cast("int") + F.col("c"))).alias("node")
-    )
+    token = F.get("tokens", first.cast("int") + F.col("c"))
+    name = F.xxhash64("node", "c", token).bitwiseAND(~7).bitwiseOR(tree)
+    return rows.select("v", "node", "tokens", child).select("v", name.alias("node"))
 
 
 def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
     """Links that may be similar, from exhaustive comparison inside small nodes: a star for each bundle of them."""
-    rows = members.select("node", "v").join(sets.select("v", "n", "tokens"), "v")
+    # a byte of each token is enough here: bytes of equal tokens are equal, others rarely are
+    low = F.transform("tokens", lambda t: (F.pmod(t, F.lit(256)) - 128).cast("tinyint"))
+    rows = members.select("node", "v").join(sets.select("v", "n", low.alias("tokens")), "v")
     size = members.count()
     parts = F.pmod(F.xxhash64("node"), F.lit(max(LEAST, -(-size // AT_ONCE))))
 
@@ -180,20 +183,20 @@ def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
     leaders = large.select("least").distinct().join(sets.select(F.col("v").alias("least"), F.col("tokens").alias("theirs")), "least")
     rows = large.join(sets.select("v", "tokens"), "v").join(leaders, "least")
     equal = F.size(F.filter(F.zip_with("tokens", "theirs", lambda a, b: a == b), lambda same: same))
-    return rows.select("v", "tree", "node", "least", equal.alias("equal"))
+    return rows.select("v", "node", "least", equal.alias("equal"))
 
 
 def _rough_links(sets: DataFrame, enough: int, small_node: int) -> DataFrame:
     """Links between sets that may be similar, from all trees."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = sets.select("v", "tokens", F.lit(0).cast("bigint").alias("node"), trees)
+    rows = sets.select("v", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)).cast("array<bigint>")).alias("node"))
     found = []
     for level in range(LEVELS):
         rows = _children(rows, level)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
-        members = cut(rows.join(sizes, "node"))
-        found.append(_small_nodes(members.filter(F.col("size") <= small_node), sets, enough))
-        large = members.filter(F.col("size") > small_node).drop("size")
+        leader = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
+        members = cut(rows.join(sizes, "node").select("v", "node", leader))
+        found.append(_small_nodes(members.filter("least is null"), sets, enough))
+        large = members.filter("least is not null")
         if large.isEmpty():
             break
         if level == LEVELS - 1:
@@ -212,6 +215,31 @@ def _rough_links(sets: DataFrame, enough: int, small_node: int) -> DataFrame:
 CONFIRMED = "v bigint, root bigint, degree bigint"
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """Texts as bytes: their length and their Zstandard form, a third of what is shuffled otherwise."""
+    schema = StructType([docs.schema["d"], StructField("body", BinaryType())])
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            for part in slices(batch, 1):
+                texts = [t.encode("utf-8") for t in part.column(1).fill_null("").to_pylist()]
+                bodies = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bodies, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _texts(bodies: list[bytes]) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True).decode("utf-8") for b in bodies], pa.string())
+
+
+def _sets_of(bodies: list[bytes], size: int) -> list[np.ndarray]:
+    hashes, offsets = shingles(_texts(bodies), size)
+    return [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def _similar(inter: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
     return inter * 100 >= percent * (n + sizes - inter)
 
@@ -231,18 +259,18 @@ class _Sets:
         return np.add.reduceat(marks[self.numbers], self.starts)
 
 
-def _confirm_groups(rows: DataFrame, percent: int) -> DataFrame:
+def _confirm_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Inside each group of a cluster, all pairs on the full sets: each member's root in its group and its links."""
     key = F.pmod(F.xxhash64("cluster", "group"), F.lit(max(LEAST, -(-rows.count() // (4 * GROUP)))))
 
     def confirm(table):
-        rows = sorted(zip(table["cluster"].to_pylist(), table["group"].to_pylist(), table["v"].to_pylist(), table["tokens"].to_pylist()), key=lambda r: r[:3])
+        rows = sorted(zip(table["cluster"].to_pylist(), table["group"].to_pylist(), table["v"].to_pylist(), table["body"].to_pylist()), key=lambda r: r[:3])
         out, at = [], 0
         while at < len(rows):
             stop = at
             while stop < len(rows) and rows[stop][:2] == rows[at][:2]:
                 stop += 1
-            vs, sets = [r[2] for r in rows[at:stop]], [np.frombuffer(r[3], np.uint64) for r in rows[at:stop]]
+            vs, sets = [r[2] for r in rows[at:stop]], _sets_of([r[3] for r in rows[at:stop]], size)
             at = stop
             if len(vs) == 1:
                 out.append((vs[0], vs[0], 0))
@@ -260,24 +288,23 @@ def _confirm_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("part", key).groupBy("part").applyInArrow(confirm, CONFIRMED)
 
 
-def _confirm_leaders(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+def _confirm_leaders(rows: DataFrame, leaders: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between some leaders of a cluster and all its members: leaders visit every group of their cluster."""
 
     def confirm(members, visitors):
         empty = pa.table([pa.array([], pa.int64())] * 2, names=["u", "v"])
         if members.num_rows == 0 or visitors.num_rows == 0:
             return empty
-        sets = [np.frombuffer(t, np.uint64) for t in members["tokens"].to_pylist()]
-        vs, whole, out = members["v"].to_numpy(), _Sets(sets), []
-        for v, tokens in zip(visitors["visitor"].to_pylist(), visitors["set"].to_pylist()):
-            tokens = np.frombuffer(tokens, np.uint64)
+        whole = _Sets(_sets_of(members["body"].to_pylist(), size))
+        vs, out = members["v"].to_numpy(), []
+        for v, tokens in zip(visitors["visitor"].to_pylist(), _sets_of(visitors["theirs"].to_pylist(), size)):
             linked = _similar(whole.shared_with(tokens), len(tokens), whole.sizes, percent)
             out += [(int(u), v) for u in vs[linked] if u != v]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
     groups = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")
-    visits = leaders.select(F.col("cluster").alias("c"), groups, F.col("v").alias("visitor"), F.col("tokens").alias("set"))
-    members = rows.select("cluster", "group", "v", "tokens")
+    visits = leaders.select(F.col("cluster").alias("c"), groups, F.col("v").alias("visitor"), F.col("body").alias("theirs"))
+    members = rows.select("cluster", "group", "v", "body")
     return members.groupBy("cluster", "group").cogroup(visits.groupBy("c", "g")).applyInArrow(confirm, "u bigint, v bigint")
 
 
@@ -296,21 +323,19 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
     )
     members = members.withColumn("group", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int"))
     members = members.join(sets.select("v", "a", "b"), "v")
-    texts = members.join(docs, F.col("d") == F.col("v")).select("v", "cluster", "groups", "group", "a", "b", "t")
-    schema = StructType([texts.schema[c] for c in ("v", "cluster", "groups", "group")] + [StructField("tokens", BinaryType())])
+    texts = members.join(_compressed(docs), F.col("d") == F.col("v")).select("v", "cluster", "groups", "group", "body", "a", "b")
+    schema = StructType(texts.schema.fields[:5])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 6):
-                hashes, offsets = shingles(part.column(6), size)
-                a, b = digests(hashes, offsets)
-                same = (a == part.column(4).to_numpy()) & (b == part.column(5).to_numpy())
-                cells = [hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
-                table = pa.RecordBatch.from_arrays([part.column(k) for k in range(4)] + [pa.array(cells, pa.binary())], names=schema.names)
+            for part in slices(batch, 4):  # of rows that share a doc_id, only those of the very text
+                a, b = digests(*shingles(_texts(part.column(4).to_pylist()), size))
+                same = (a == part.column(5).to_numpy()) & (b == part.column(6).to_numpy())
+                table = pa.RecordBatch.from_arrays([part.column(k) for k in range(5)], names=schema.names)
                 yield table.filter(pa.array(same))
 
     rows = cut(texts.mapInArrow(run, schema))
-    inside = cut(_confirm_groups(rows, percent))
+    inside = cut(_confirm_groups(rows, size, percent))
     links = inside.select(F.col("v").alias("u"), F.col("root").alias("v"))
     several = rows.filter("groups > 1")
     if several.isEmpty():
@@ -335,7 +360,7 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
             return links
         leaders = several.join(chosen.select("v"), "v", "left_semi")
         active = several.join(chosen.select("cluster").distinct(), "cluster", "left_semi")
-        links = cut(links.unionByName(_confirm_leaders(active, leaders, percent)).distinct())
+        links = cut(links.unionByName(_confirm_leaders(active, leaders, size, percent)).distinct())
         visited = chosen.select("v") if visited is None else cut(visited.unionByName(chosen.select("v")))
         leaders_at_once = min(4 * leaders_at_once, MOST_LEADERS)
 
