@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from rinsework.plans.cut import cut
 
 
+#: Narrow rows a task takes at least, and the tasks that even little data is spread over.
+ROWS_PER_TASK, LEAST_TASKS = 250_000, 12
+
+
+def tasks(rows: int, per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks suit so many rows. Rounds over little data would else leave files by the square of all partitions."""
+    return max(LEAST_TASKS, -(-rows // per_task))
+
+
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Larger neighbours of a vertex are tied to the least vertex it knows."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least_neighbour(both).withColumn("m", F.least("u", "m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    larger = both.filter(F.col("v") > F.col("u")).join(least, "u")
+    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A vertex and its smaller neighbours are tied to the least of them. Edges run from larger to smaller."""
     least = _least_neighbour(edges)
     rest = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v"))
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).coalesce(n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,6 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = now
         if now.n:
-            stars = cut(_small_star(_large_star(stars).distinct()).distinct())
+            n = tasks(now.n)
+            stars = cut(_small_star(_large_star(stars.coalesce(n), n), n).distinct().coalesce(n))
     roots = stars.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()
     return stars.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)

@@ -28,7 +28,7 @@ from pyspark.sql.types import (
 )
 
 from rinsework.llm.arrow import inside_documents, mixed, slices, strings, window_hashes, word_hashes, word_spans
-from rinsework.llm.graph import components
+from rinsework.llm.graph import components, tasks
 from rinsework.names import fresh
 from rinsework.plans.cut import cut
 
@@ -148,8 +148,8 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
     """Links that may be similar, from exhaustive comparison inside small nodes: a star for each bundle of them."""
     # a byte of each token is enough here: bytes of equal tokens are equal, others rarely are
     low = F.transform("tokens", lambda t: (F.pmod(t, F.lit(256)) - 128).cast("tinyint"))
-    rows = members.select("node", "v").join(sets.select("v", "n", low.alias("tokens")), "v")
     size = members.count()
+    rows = members.select("node", "v").join(sets.select("v", "n", low.alias("tokens")), "v").coalesce(tasks(size))
     parts = F.pmod(F.xxhash64("node"), F.lit(max(LEAST, -(-size // AT_ONCE))))
 
     def compare(table):
@@ -175,7 +175,7 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     bundled = rows.withColumn("part", parts).groupBy("part")
-    return bundled.applyInArrow(compare, "u bigint, v bigint").filter("u <> v").distinct()
+    return bundled.applyInArrow(compare, "u bigint, v bigint").filter("u <> v")
 
 
 def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,25 +186,26 @@ def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("v", "node", "least", equal.alias("equal"))
 
 
-def _rough_links(sets: DataFrame, enough: int, small_node: int) -> DataFrame:
+def _rough_links(sets: DataFrame, n_sets: int, enough: int, small_node: int) -> DataFrame:
     """Links between sets that may be similar, from all trees."""
+    n = tasks(TREES * CHILDREN * n_sets)
     rows = sets.select("v", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)).cast("array<bigint>")).alias("node"))
     found = []
     for level in range(LEVELS):
         rows = _children(rows, level)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
         leader = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
-        members = cut(rows.join(sizes, "node").select("v", "node", leader))
+        members = cut(rows.join(sizes, "node").select("v", "node", leader).coalesce(n))
         found.append(_small_nodes(members.filter("least is null"), sets, enough))
         large = members.filter("least is not null")
         if large.isEmpty():
             break
         if level == LEVELS - 1:
-            found.append(large.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct())
+            found.append(large.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v"))
             break
-        large = cut(_with_leaders(large, sets))
+        large = cut(_with_leaders(large, sets).coalesce(n))
         joined = large.filter((F.col("equal") >= JOIN) & (F.col("v") != F.col("least")))
-        found.append(joined.select(F.col("v").alias("u"), F.col("least").alias("v")).distinct())
+        found.append(joined.select(F.col("v").alias("u"), F.col("least").alias("v")))
         rows = large.filter(F.col("equal") < RETIRE).join(sets.select("v", "tokens"), "v")
     links = found[0]
     for more in found[1:]:
@@ -334,8 +335,9 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
                 table = pa.RecordBatch.from_arrays([part.column(k) for k in range(5)], names=schema.names)
                 yield table.filter(pa.array(same))
 
-    rows = cut(texts.mapInArrow(run, schema))
-    inside = cut(_confirm_groups(rows, size, percent))
+    rows = cut(texts.coalesce(tasks(clusters.count(), 4 * GROUP)).mapInArrow(run, schema))
+    inside = _confirm_groups(rows, size, percent)
+    inside = cut(inside.coalesce(tasks(rows.count())))
     links = inside.select(F.col("v").alias("u"), F.col("root").alias("v"))
     several = rows.filter("groups > 1")
     if several.isEmpty():
@@ -393,7 +395,9 @@ def near_duplicates(
     named = full.groupBy("a", "b").agg(F.min("d").alias("v"))
     sets = named.join(full.select(F.col("d").alias("v"), "a", "b", "n", "tokens"), ["a", "b", "v"])
     sets = cut(sets.dropDuplicates(["a", "b", "v"]).select("v", "a", "b", "n", "tokens"))
-    clusters = components(_rough_links(sets, enough, small_node))
+    n_sets = sets.count()
+    sets = sets.coalesce(tasks(n_sets, AT_ONCE))
+    clusters = components(_rough_links(sets, n_sets, enough, small_node))
     links = _confirmed_links(docs, sets, clusters, shingle, percent, group)
     roots = components(links)
     classes = named.join(roots, named.v == roots.vertex, "left").select("a", "b", F.coalesce("root", "v").alias("component"))
