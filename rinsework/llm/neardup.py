@@ -154,7 +154,7 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
 
     def compare(table):
         node = table["node"].to_numpy()
-        order = np.argsort(node, kind="stable")
+        order = np.lexsort((table["v"].to_numpy(), node))  # the least member is the root, in most nodes the same
         node, v, n = node[order], table["v"].to_numpy()[order], table["n"].to_numpy()[order]
         tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)[order]
         edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
@@ -297,15 +297,15 @@ def _confirm_leaders(rows: DataFrame, leaders: DataFrame, size: int, percent: in
         if members.num_rows == 0 or visitors.num_rows == 0:
             return empty
         whole = _Sets(_sets_of(members["body"].to_pylist(), size))
-        vs, out = members["v"].to_numpy(), []
+        roots, out = members["own"].to_numpy(), []  # members of one root are linked already: one link to it is enough
         for v, tokens in zip(visitors["visitor"].to_pylist(), _sets_of(visitors["theirs"].to_pylist(), size)):
             linked = _similar(whole.shared_with(tokens), len(tokens), whole.sizes, percent)
-            out += [(int(u), v) for u in vs[linked] if u != v]
+            out += [(int(u), v) for u in np.unique(roots[linked]) if u != v]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
     groups = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")
     visits = leaders.select(F.col("cluster").alias("c"), groups, F.col("v").alias("visitor"), F.col("body").alias("theirs"))
-    members = rows.select("cluster", "group", "v", "body")
+    members = rows.select("cluster", "group", "own", "body")
     return members.groupBy("cluster", "group").cogroup(visits.groupBy("c", "g")).applyInArrow(confirm, "u bigint, v bigint")
 
 
@@ -342,6 +342,7 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
     several = rows.filter("groups > 1")
     if several.isEmpty():
         return links
+    several = cut(several.join(inside.select("v", F.col("root").alias("own")).distinct(), "v"))
     several_members = several.select("cluster", "v").distinct()
     degrees = inside.groupBy("v").agg(F.max("degree").alias("degree"))
     visited, leaders_at_once = None, FIRST_LEADERS
