@@ -1,12 +1,13 @@
 """Quality rules by distribution divergence: character classes and common words against language references.
 
-A reference is what the corpus itself shows for a language: the summed histograms of all its documents that are
-long enough. A document is rejected where its own histogram lies too far from its language's, measured by the
+A reference is what the corpus itself shows for a language: the summed histograms of its documents that are long
+enough and pass the base rule. A document is rejected where its own histogram lies too far from its language's, measured by the
 Jensen-Shannon distance (base 2, from 0 to 1). Everything is expressions; the model holds a few dozen numbers.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,11 +28,19 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", "[" + SYMBOLS + "]+", r"[\x00-\x7F]+", None)
 #: Bytes of the longest common word: no longer word needs a look.
 LONGEST = max(len(w.encode()) for words in COMMON_WORDS.values() for w in words)
+#: Share of common words in the references of sf0.1 (0.213 to 0.216), at which max_word_distance holds as it is.
+USUAL_SHARE = 0.215
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Guards and limits. A test is only made on texts of at least as many words as its guard says."""
+    """Guards and limits. A test is only made on texts of at least as many words as its guard says.
+
+    ``relative``: references leave out documents that fail the base rule, and for texts with fewer common words
+    than their reference ``max_word_distance`` is lowered as far as a text without any lies nearer to it than to a
+    reference whose words are common ones by ``USUAL_SHARE``. Else a junk source that thins out the common words of
+    its language would put that distance below the limit, and no text could exceed it.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -39,6 +48,7 @@ class Rules:
     max_class_distance: float = 0.3
     word_guard: int = 100
     max_word_distance: float = 0.33
+    relative: bool = True
 
 
 @dataclass(frozen=True)
@@ -103,11 +113,52 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def _repeat_words(rows: DataFrame) -> DataFrame:
+    """Append n_repeat_words, the number of words in 3-word windows found twice or more in the text."""
+    # 3-word windows: only texts that hold one twice sort them, by hash and place, so that equal windows lie side by side
+    word, windows, places = F.col("w"), F.col("windows"), F.col("places")
+    hashes = F.transform(
+        F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get(word, i + 1), F.get(word, i + 2)),
+    )
+    rows = rows.withColumn("hashes", hashes)
+    by_hash = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), by_hash))
+    twice = F.filter(
+        "windows",
+        lambda x, j: F.coalesce(x["h"] == F.get(windows, j - 1)["h"], F.lit(False))
+        | F.coalesce(x["h"] == F.get(windows, j + 1)["h"], F.lit(False)),
+    )
+    rows = rows.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("windows", "hashes")
+    covered = F.transform("places", lambda x, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - x, F.lit(3))).cast("long"))
+    return rows.withColumn("n_repeat_words", F.coalesce(_sum(covered, "long"), F.lit(0)).cast("long")).drop("places")
+
+
+def _base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (
+        F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent
+    )
+
+
+def _bare_distance(share: float) -> float:
+    """The distance of a text without common words to a reference in which they have this share."""
+    rest = 1 - share
+    own = rest * math.log2(2 * rest / (1 + rest)) if rest else 0.0
+    return math.sqrt(max(0.0, (share + math.log2(2 / (1 + rest)) + own) / 2))
+
+
 def fit_references(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> References:
-    """Sum the histograms of all documents that reach the guards, by language: one job, a handful of rows back."""
+    """Sum the histograms of documents that reach the guards, by language: one job, a handful of rows back.
+
+    With ``rules.relative`` only those that pass the base rule count.
+    """
     rows = _word_counts(_class_counts(_words(_packed(df), text)), lang)
     language = F.when(F.col(f"row.`{lang}`").isin(*COMMON_WORDS), F.col(f"row.`{lang}`"))
     n = F.size("w")
+    if rules.relative:
+        rows = _repeat_words(rows.withColumn("n_words", n.cast("long")))
+        rows = rows.withColumn("counted", F.when(_base_failed(rules), 0).otherwise(F.col("n_words")))
+        n = F.col("counted")
     size = 1 + max(map(len, COMMON_WORDS.values()))
     # guards inside the sums: as a filter they would be moved down and every text cut into words twice
     sums = rows.groupBy(language.alias("k")).agg(
@@ -160,24 +211,19 @@ def judge(df: DataFrame, references: References, text: str = "text", lang: str =
     of_words = _by_language(language, lambda k: array(references.words[k]) if k in references.words else none, none)
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
     rows = rows.withColumn("class_reference", of_classes).withColumn("word_reference", of_words)
+    limit = F.lit(rules.max_word_distance)
+    if rules.relative:
+        rest, of_rest = F.element_at("common", -1), F.element_at("word_reference", -1)
+        fewer = rest * _sum(F.col("word_reference"), "long") > of_rest * _sum(F.col("common"), "long")
 
-    # 3-word windows: only texts that hold one twice sort them, by hash and place, so that equal windows lie side by side
-    word, windows, places = F.col("w"), F.col("windows"), F.col("places")
-    hashes = F.transform(
-        F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))),
-        lambda x, i: F.xxhash64(x, F.get(word, i + 1), F.get(word, i + 2)),
-    )
-    rows = rows.withColumn("hashes", hashes)
-    by_hash = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), by_hash))
-    twice = F.filter(
-        "windows",
-        lambda x, j: F.coalesce(x["h"] == F.get(windows, j - 1)["h"], F.lit(False))
-        | F.coalesce(x["h"] == F.get(windows, j + 1)["h"], F.lit(False)),
-    )
-    rows = rows.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("windows", "hashes")
-    covered = F.transform("places", lambda x, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - x, F.lit(3))).cast("long"))
+        def lowered(k: str) -> Column:
+            counts = references.words.get(k, [])
+            share = 1 - counts[-1] / sum(counts) if sum(counts) else USUAL_SHARE
+            return F.lit(rules.max_word_distance * min(1.0, _bare_distance(share) / _bare_distance(USUAL_SHARE)))
+
+        limit = F.when(fewer, _by_language(language, lowered, limit)).otherwise(limit)
 
+    rows = _repeat_words(rows)
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines)
     rows = rows.select(
@@ -186,17 +232,15 @@ def judge(df: DataFrame, references: References, text: str = "text", lang: str =
         F.col("n_left0").alias("word_chars"),
         (F.col("n_left3") - F.col("n_left4")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_sum(covered, "long"), F.lit(0)).cast("long").alias("n_repeat_words"),
+        "n_repeat_words",
         F.when(F.col("n_words") >= rules.class_guard, _distance(F.col("classes"), F.col("class_reference"))).alias("class_distance"),
         F.when(F.col("n_words") >= rules.word_guard, _distance(F.col("common"), F.col("word_reference"))).alias("word_distance"),
-    )
-    failed = (F.col("n_words") < rules.min_words) | (
-        F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent
+        limit.alias("word_limit"),
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (
-        F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance
+        F.coalesce("word_distance", F.lit(0.0)) > F.col("word_limit")
     )
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    return rows.withColumn("base_failed", _base_failed(rules)).withColumn("kept", ~F.col("base_failed") & ~far).drop("word_limit")
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:

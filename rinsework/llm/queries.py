@@ -112,7 +112,8 @@ OP2_SQL = f"""
 @query("op2_distribution_divergence", OP2_SQL)
 def op2(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
-    judged = divergence.judge(docs, divergence.fit_references(docs))
+    rules = divergence.Rules(relative=False)  # as the SQL has it: references of all documents, a fixed limit
+    judged = divergence.judge(docs, divergence.fit_references(docs, rules=rules), rules=rules)
     return judged.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

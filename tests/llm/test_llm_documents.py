@@ -1,6 +1,7 @@
 """Document operators against brute force, on small tables with every odd case."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from fixtures_llm import nothing, odd_documents
 from rinsework.llm import contamination, divergence, lines, neardup, repeats
 from rinsework.llm.graph import components
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -265,6 +267,24 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
 
 
+def test_junk_source_of_a_third_is_rejected(spark):
+    rng = random.Random(5)
+
+    def prose(n):
+        usual = divergence.COMMON_WORDS["en"]
+        return " ".join(rng.choice(usual) if rng.random() < 0.22 else f"{rng.choice('bcdfg')}{rng.choice(LETTERS)}{rng.choice(LETTERS)}y" for _ in range(n))
+
+    junk = [" ".join(f"q{rng.choice(LETTERS)}{rng.choice(LETTERS)}z" for _ in range(900)) for _ in range(20)]
+    rows = [(i, prose(300), "en") for i in range(40)] + [(100 + i, t, "en") for i, t in enumerate(junk)]
+    rows += [(200, "the same words " * 2_000, "en")]  # fails the base rule, so it adds nothing to the reference
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in divergence.keep_good(docs).collect()) == list(range(40))
+    words = divergence.fit_references(docs).words["en"]
+    assert sum(words) == 40 * 300 + 20 * 900
+    fixed = divergence.Rules(relative=False)
+    assert sum(divergence.fit_references(docs, rules=fixed).words["en"]) == sum(words) + 6_000
+
+
 def test_quality_of_nothing(spark):
     assert divergence.fit_references(nothing(spark)).pooled == [0] * len(divergence.CLASSES)
     assert divergence.keep_good(nothing(spark)).count() == 0
