@@ -217,7 +217,7 @@ def op6(spark, folder):
 @query("op7_simple8b")
 def op7(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
-    files = simple8b.write(docs, simple8b.new_folder(spark, "simple8b"), WORD_BPE, end_id=1)
+    files = simple8b.write(docs, simple8b.new_folder(spark, "simple8b"), WORD_BPE, end_id=1, null_ids=True)
     return simple8b.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

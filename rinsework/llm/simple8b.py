@@ -134,7 +134,8 @@ class LibraryEncoder(TextEncoder):
         return out
 
 
-#: One row per segment: whole documents in order, their lengths, and the packed ids.
+#: One row per segment: whole documents in order, a byte for each that says if its id is given (0 stands for an id
+#: that is not), their lengths, and the packed ids.
 FILE = StructType(
     [
         StructField("part", IntegerType()),
@@ -142,6 +143,7 @@ FILE = StructType(
         StructField("before", LongType()),
         StructField("n_ids", LongType()),
         StructField("doc_ids", BinaryType()),
+        StructField("has_id", BinaryType()),
         StructField("lengths", BinaryType()),
         StructField("words", BinaryType()),
         StructField("offsets", BinaryType()),
@@ -150,23 +152,27 @@ FILE = StructType(
 )
 
 
-def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> str:
+def write(
+    df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", null_ids: bool = False
+) -> str:
     """Tokenise, append ``end_id`` to each text, and write the ids in ascending ``doc_id`` order.
 
     The files are Parquet; a row is a segment of whole documents with its Simple-8b words, the word offset of
     every block of 256 ids, and the ids of 60 bits or more apart. ``part`` and ``segment`` give the order,
     ``before`` the ids before a segment in its part. Rows
     are dealt by ranges of ``doc_id``; equal ids are ordered by text. Null texts hold the end id only. ``doc_id``
-    must be a non-null integer of up to 64 bits, else the job fails rather than lose the row. Other columns are
-    not written.
+    must be an integer of up to 64 bits. With ``null_ids`` rows without one are written too, before all others and
+    ordered by text (where texts with the same first 64 characters fill several tasks, by a hash among tasks); else
+    they fail the job rather than get lost. Other columns are not written.
     """
     spark = df.sparkSession
-    rows = df.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.raise_error(F.lit("a doc_id is null")).cast("bigint")).alias("d"),
-        F.col(f"`{text}`").alias("t"),
-    )
+    d = F.col(f"`{doc_id}`").cast("bigint")
+    if not null_ids:
+        d = F.coalesce(d, F.raise_error(F.lit("a doc_id is null")).cast("bigint"))
+    rows = df.select(d.alias("d"), F.col(f"`{text}`").alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "d", F.xxhash64("t")).sortWithinPartitions("d", "t")
+    begin = F.when(F.col("d").isNull(), F.substring("t", 1, 64))  # many rows may lack an id: their ranges follow the text
+    ordered = rows.repartitionByRange(parts, "d", begin, F.xxhash64("t")).sortWithinPartitions("d", "t")
     ordered = ordered.select(F.spark_partition_id().alias("p"), "d", "t")
 
     def run(batches):
@@ -177,11 +183,12 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc
             ids = np.concatenate(codes).view(np.uint32)
             words, offsets, escapes = pack(ids)
             cells = [
-                part, segment, before, len(ids), np.array(docs, np.int64).tobytes(),
+                part, segment, before, len(ids), np.array([d or 0 for d in docs], np.int64).tobytes(),
+                np.array([d is not None for d in docs], np.bool_).tobytes(),
                 np.array([len(c) for c in codes], np.int64).tobytes(),
                 words.tobytes(), offsets.tobytes(), escapes.tobytes(),
             ]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 5
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=FILE.names)
 
         for batch in batches:
@@ -209,7 +216,7 @@ ROWS = StructType(
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """Decode the files: per document doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+    """Decode the files: per document doc_id (null where none was given), start (ids of all documents before it), n_tokens, ids_crc32.
 
     ``with_ids`` adds the ids themselves. What the driver gathers is one number per written partition; a segment
     carries the number of ids before it in its partition. No files of documents give no rows.
@@ -230,13 +237,14 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                     np.frombuffer(row["escapes"], np.uint64), row["n_ids"],
                 ).astype("<u4")
                 docs, lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
+                without = ~np.frombuffer(row["has_id"], np.bool_)
                 ends = np.cumsum(lengths)
                 bodies = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)]
                 base = shared.value[row["part"]] + row["before"]
                 cells = [
                     pa.array(np.full(len(docs), row["part"], np.int32)),
                     pa.array(np.full(len(docs), row["segment"], np.int32)),
-                    pa.array(docs), pa.array(base + ends - lengths), pa.array(lengths),
+                    pa.array(docs, mask=without), pa.array(base + ends - lengths), pa.array(lengths),
                     pa.array([zlib.crc32(b) for b in bodies], pa.int64()),
                 ]
                 if with_ids:

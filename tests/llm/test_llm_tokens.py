@@ -121,6 +121,20 @@ def test_null_doc_id_fails_the_file(spark, tmp_path):
         simple8b.write(odd_documents(spark), str(tmp_path / "bad"), WORD_BPE, 1)
 
 
+def test_null_doc_ids_are_written_and_read(spark, tmp_path, library):
+    docs = odd_documents(spark).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, f"{i * 7 % 200} of many") for i in range(200)], docs.schema))
+    folder = simple8b.write(docs, str(tmp_path / "ids"), WORD_BPE, 1, null_ids=True)
+    got = [(r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in simple8b.read(spark, folder, with_ids=True).collect()]
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert sum(d is None for d, _ in rows) == 202
+    want, start = [], 0
+    for (d, _), ids in zip(rows, library([t for _, t in rows])):
+        want.append((start, d, len(ids) + 1, np.array([*ids, 1], "<u4").tobytes()))
+        start += len(ids) + 1
+    assert sorted(got, key=lambda r: r[0]) == want
+
+
 def plain_count(word, scores, byte):
     s, best = unigram.BLANK + word, [(0, 0)]
     for i in range(1, len(s) + 1):
