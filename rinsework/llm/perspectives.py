@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinsework.plans.ordered import running_sum
+
 #: Speakers that set the scene and take no turn as assistant.
 SCENE = ("system",)
 #: Name of a speaker that is not given.
 UNNAMED = "unknown"
-#: Turn numbers that one part of a dialogue spans, so that a row's size is bounded however long a dialogue goes on.
+#: Turn numbers that one part of a dialogue spans; turns that one part of what has no conv_id holds.
 TURNS_PER_PART = 512
 
 #: Fixed marks of the rendered format.
@@ -24,6 +26,24 @@ def _header(role: Column, perspective: Column) -> Column:
     )
 
 
+def _parts_without_id(turns: DataFrame, turns_per_part: int) -> DataFrame:
+    """Parts of the rows without a conversation, by their places in the order of turn, role and text.
+
+    Equal rows are of different dialogues, so all are kept. They are counted before the shuffle, and a row of which
+    there are many is dealt to the parts it reaches into.
+    """
+    cells = ["turn", "role", "text"]
+    counted = turns.filter("conv is null").groupBy(*cells).agg(F.count("*").alias("n"))
+    placed = running_sum(counted, cells, "n", "before")
+    first, last = F.floor(F.col("before") / turns_per_part), F.floor((F.col("before") + F.col("n") - 1) / turns_per_part)
+    placed = placed.select("*", F.explode(F.sequence(first, last)).alias("part"))
+    begin = F.greatest(F.col("before"), F.col("part") * turns_per_part)
+    copies = F.least(F.col("before") + F.col("n"), (F.col("part") + 1) * turns_per_part) - begin
+    turn = F.array_repeat(F.struct(*cells), copies.cast("int"))
+    grouped = placed.groupBy("part").agg(F.sort_array(F.flatten(F.collect_list(turn))).alias("turns"))
+    return grouped.select(F.lit(None).cast(turns.schema["conv"].dataType).alias("conv"), "part", "turns")
+
+
 def rotate(
     df: DataFrame,
     conv_id: str = "conv_id",
@@ -38,13 +58,15 @@ def rotate(
     trained on: the perspective's own words and the mark that ends them), n_turns, n_targets and n_target_chars.
     Turns are rendered in the order of their number; turns of equal number by role, then text. A dialogue is cut
     into parts of ``turns_per_part`` consecutive turn numbers, given by ``turn`` alone, so a dialogue that holds a
-    third of all rows is spread over tasks; the parts, in order, are the whole dialogue, and every participant
-    gets every part.
+    third of all rows is spread over tasks if its turns bear numbers of their own; distinct turns that share a number,
+    or have none, stay in one part however many they are. The parts, in order, are the whole dialogue, and every
+    participant gets every part.
 
     Scene speakers (system) keep their role and are no participants; a dialogue without participants gives no
     rows. A null or empty role is the speaker "unknown"; a null text is empty; turns without a number come first,
-    in part null; a null conv_id is a dialogue of its own. Exact repeats of a turn (same number, role and text)
-    are rendered once. Columns beside the four named ones are not looked at. An empty table gives no rows.
+    in part null. Exact repeats of a turn (same number, role and text) are rendered once. Rows without a conv_id are
+    a dialogue of their own, of any number of real ones: their repeats are all rendered, and their parts hold
+    ``turns_per_part`` turns each, by place in the order, turns without a number first. Columns beside the four named ones are not looked at. An empty table gives no rows.
     """
     turns = df.select(
         F.col(f"`{conv_id}`").alias("conv"),
@@ -53,8 +75,9 @@ def rotate(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
     part = F.floor(F.col("turn") / turns_per_part)
-    distinct = turns.distinct().withColumn("part", part)
+    distinct = turns.filter("conv is not null").distinct().withColumn("part", part)
     parts = distinct.groupBy("conv", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = parts.unionByName(_parts_without_id(turns, turns_per_part))
     speakers = turns.filter(~F.col("role").isin(*SCENE)).select(F.col("conv").alias("of"), F.col("role").alias("perspective"))
     rows = parts.join(speakers.distinct(), F.col("conv").eqNullSafe(F.col("of")))
     me = F.col("perspective")

@@ -54,6 +54,22 @@ def test_rotation(spark, per_part):
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_rotation_without_conversations(spark):
+    """Many dialogues without an id: no turn is lost, and no part holds more than its bound."""
+    rows = [(None, 0, "ann", "hi")] * 7 + [(None, 0, "bob", f"b{i}") for i in range(5)] + [(None, None, "ann", "late")] * 3
+    rows += [(None, 1, "bob", "hi")] * 2 + [(1, 0, "ann", "hi")] * 2
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = perspectives.rotate(df, turns_per_part=4).collect()
+    assert [(r.perspective, r.part, r.n_turns) for r in got if r.conv_id == 1] == [("ann", 0, 1)]
+    order = sorted(rows[:17], key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    for me in ("ann", "bob"):
+        own = sorted((r for r in got if r.conv_id is None and r.perspective == me), key=lambda r: r.part)
+        assert [(r.part, r.n_turns) for r in own] == [(0, 4), (1, 4), (2, 4), (3, 4), (4, 1)]
+        head = lambda role: "assistant" if role == me else f"user name={role}"  # noqa: E731, B023
+        assert "".join(r.text for r in own) == "".join(f"<|im_start|>{head(r)}\n{t}<|im_end|>\n" for _, _, r, t in order)
+        assert sum(r.n_targets for r in own) == sum(r[2] == me for r in order)
+
+
 # URL filters
 
 URLS = [
