@@ -144,7 +144,7 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("v", "node", "tokens", child).select("v", name.alias("node"))
 
 
-def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
+def _small_nodes(members: DataFrame, sets: DataFrame, enough: int, percent: int) -> DataFrame:
     """Links that may be similar, from exhaustive comparison inside small nodes: a star for each bundle of them."""
     # a byte of each token is enough here: bytes of equal tokens are equal, others rarely are
     low = F.transform("tokens", lambda t: (F.pmod(t, F.lit(256)) - 128).cast("tinyint"))
@@ -167,7 +167,7 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
                 while queue and len(left):
                     i = queue.pop()
                     near = (tokens[left] == tokens[i]).sum(axis=1) >= enough
-                    near &= np.minimum(n[left], n[i]) * 100 >= np.maximum(n[left], n[i]) * PERCENT
+                    near &= np.minimum(n[left], n[i]) * 100 >= np.maximum(n[left], n[i]) * percent
                     queue += left[near].tolist()
                     out += [(v[j], root) for j in left[near]]
                     left = left[~near]
@@ -186,7 +186,7 @@ def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("v", "node", "least", equal.alias("equal"))
 
 
-def _rough_links(sets: DataFrame, n_sets: int, enough: int, small_node: int) -> DataFrame:
+def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_node: int) -> DataFrame:
     """Links between sets that may be similar, from all trees."""
     n = tasks(TREES * CHILDREN * n_sets)
     rows = sets.select("v", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)).cast("array<bigint>")).alias("node"))
@@ -196,7 +196,7 @@ def _rough_links(sets: DataFrame, n_sets: int, enough: int, small_node: int) ->
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
         leader = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
         members = cut(rows.join(sizes, "node").select("v", "node", leader).coalesce(n))
-        found.append(_small_nodes(members.filter("least is null"), sets, enough))
+        found.append(_small_nodes(members.filter("least is null"), sets, enough, percent))
         large = members.filter("least is not null")
         if large.isEmpty():
             break
@@ -398,7 +398,7 @@ def near_duplicates(
     sets = cut(sets.dropDuplicates(["a", "b", "v"]).select("v", "a", "b", "n", "tokens"))
     n_sets = sets.count()
     sets = sets.coalesce(tasks(n_sets, AT_ONCE))
-    clusters = components(_rough_links(sets, n_sets, enough, small_node))
+    clusters = components(_rough_links(sets, n_sets, enough, percent, small_node))
     links = _confirmed_links(docs, sets, clusters, shingle, percent, group)
     roots = components(links)
     classes = named.join(roots, named.v == roots.vertex, "left").select("a", "b", F.coalesce("root", "v").alias("component"))

@@ -176,6 +176,16 @@ def test_classes(spark, options, monkeypatch):
     assert max(sizes.values()) >= 20
 
 
+def test_classes_at_a_lower_percent(spark):
+    texts = [[f"p{k}x{i}" for i in range(103)] for k in range(8)]
+    rows = [(2 * k, " ".join(w)) for k, w in enumerate(texts)]
+    rows += [(2 * k + 1, " ".join(w[: 68 if k < 6 else 50])) for k, w in enumerate(texts)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=60, enough=20).collect()
+    want = plain_classes(rows, percent=60)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) == 10
+
+
 def test_drop_near_duplicates(spark):
     docs = odd_documents(spark)
     left = neardup.drop_near_duplicates(docs)
