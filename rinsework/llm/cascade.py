@@ -24,6 +24,8 @@ from rinsework.plans.cut import cut
 SHARD_BYTES = 32 << 20
 #: A key's hash has 128 bits in two halves; equal halves would be the only way to tell two keys apart wrongly.
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Levels after which the hashes are searched for keys that no level can tell apart.
+CHECKED = 40
 
 
 @dataclass(frozen=True)
@@ -98,7 +100,7 @@ class Cascade:
 
 
 def hash_key(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    return F.xxhash64(F.lit(seed), key)  # the seed first: after the key it would only turn the key's one hash
 
 
 def _passing(keys: DataFrame, words: DataFrame, level: Level, number: int) -> DataFrame:
@@ -116,7 +118,8 @@ def build(universe: DataFrame, listed: DataFrame, shard_bytes: int = SHARD_BYTES
 
     Keys are made distinct first, so a key that a third of the rows bear costs one row per task. Listed keys that
     the universe lacks are encoded too; null keys are left out. Every level is built and probed in Spark and cut on
-    the shared folder; keys never come to the driver. The number of levels follows the logarithm of the keys.
+    the shared folder; keys never come to the driver. The number of levels follows the logarithm of the keys. A listed
+    key that shares all 128 bits of its hash with another fails the build.
     """
     column = F.col(f"`{universe.columns[0]}`")
     wanted = listed.select(F.col(f"`{listed.columns[0]}`").alias("k"), F.lit(True).alias("listed"))
@@ -124,6 +127,7 @@ def build(universe: DataFrame, listed: DataFrame, shard_bytes: int = SHARD_BYTES
     keys = all_keys.filter("k is not null").groupBy("k").agg(F.max("listed").alias("listed"))
     hashes = [hash_key(F.col("k"), s).alias(n) for s, n in zip(SEEDS, ("h1", "h2"))]
     keys = cut(keys.select(*hashes, "listed"))
+    both = keys.filter("listed").join(keys.filter("not listed").select("h1", "h2"), ["h1", "h2"], "left_semi")
     n_listed, n_rest = (keys.filter(c).count() for c in ("listed", "not listed"))
     # all levels together take a few times the first: its bits for the listed keys, then a bit and a half a key and level
     rate = min(0.5, max(1e-6, 0.7 * n_listed / max(1, n_rest)))
@@ -142,6 +146,8 @@ def build(universe: DataFrame, listed: DataFrame, shard_bytes: int = SHARD_BYTES
         n, number = encoded.count(), number + 1
         if n == 0:
             return Cascade(shards, levels)
+        if number == CHECKED and not both.isEmpty():
+            raise ValueError("a listed key and another share both hashes, so no number of levels tells them apart")
 
 
 class Member:

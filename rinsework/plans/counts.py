@@ -86,7 +86,7 @@ def hashes(df: DataFrame, name: str) -> list[Column]:
         v = F.to_json(v)
     elif "map<" in t.simpleString():
         v = F.array_sort(F.transform(F.map_entries(v), lambda e: F.to_json(e))) if isinstance(t, T.MapType) else F.to_json(F.struct(v))
-    return [F.xxhash64(v, F.lit(seed)) for seed in (1, 2)]
+    return [F.xxhash64(F.lit(seed), v) for seed in (1, 2)]  # the seed first, or one would follow from the other
 
 
 def exact_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:

@@ -11,6 +11,7 @@ from test_llm_documents import plain_classes, plain_contamination, plain_lines
 import corpus_pipeline
 from rinsework.llm import cascade, divergence, perspectives
 from rinsework.llm.queries import URL_RULES, WORD_BPE
+from rinsework.plans import counts
 
 # chat perspectives
 
@@ -119,6 +120,21 @@ def test_null_keys_and_empty_lists(spark):
     assert sorted((r.k or "", r.listed) for r in cascade.mark(keys, built, "k").collect()) == [("", None), ("a", False), ("b", False)]
 
 
+def test_hashes_take_the_seed_first(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("k"))
+    made = [(cascade.hash_key(F.col("k"), s), s) for s in cascade.SEEDS] + [(h, s) for h, s in zip(counts.hashes(df, "k"), (1, 2))]
+    for h, seed in made:
+        assert df.filter(h != F.xxhash64(F.lit(seed), F.col("k"))).count() == 0
+
+
+def test_keys_that_share_both_hashes_fail_the_build(spark, monkeypatch):
+    monkeypatch.setattr(cascade, "hash_key", lambda key, seed: F.xxhash64(F.lit(seed), F.substring(key, 1, 1)))
+    monkeypatch.setattr(cascade, "CHECKED", 3)
+    keys = spark.createDataFrame([("a1",), ("a2",), ("b",)], "k string")
+    with pytest.raises(ValueError, match="share both hashes"):
+        cascade.build(keys, keys.filter("k = 'a1'"))
+
+
 # pipeline
 
 
