@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from rinsework.llm import bpe, divergence, simple8b
 from rinsework.llm.cascade import host_path, judge_urls
 from rinsework.llm.contamination import contaminated, contamination
+from rinsework.llm.interactions import audit
 from rinsework.llm.lines import drop_shared_lines
+from rinsework.llm.middles import fill_in_middle, restored
 from rinsework.llm.neardup import near_duplicates
 from rinsework.llm.perspectives import rotate
 from rinsework.llm.repeats import repeats
@@ -258,3 +260,71 @@ def op9(spark, folder):
 @query("op10_chosen_path")
 def op10(spark, folder):
     return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+OP11_SQL = """
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+    draws AS (SELECT *, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+        CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM docs),
+    cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90
+            THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+    pieces AS (SELECT *, substring(body, 1, a) AS prefix, substring(body, a + 1, b - a) AS middle, substring(body, b + 1) AS suffix
+        FROM cuts)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(body) AS restored_sha256
+    FROM pieces"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark, folder):
+    made = fill_in_middle(table(spark, folder, "documents", "doc_id", "text"))
+    return made.select(
+        "row.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+    WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+        coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+    firsts AS (SELECT body, min(doc_id) AS first FROM docs GROUP BY body),
+    marks AS (SELECT doc_id, part, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 5 * length(body) AS INT)
+        + 8 * CAST(regexp_matches(body, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask
+        FROM docs JOIN firsts USING (body)),
+    tags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t
+        FROM marks LEFT JOIN tags USING (doc_id) GROUP BY part, mask),
+    letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(l, b)),
+    orders AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+        FROM letters AS p, letters AS q, letters AS r, letters AS s, letters AS t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+    steps AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before
+        FROM orders, unnest(range(1, 6)) AS u(step)),
+    rows AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+        coalesce(sum(g) FILTER (mask & before = 0 AND mask & own > 0), 0) AS good_lost,
+        coalesce(sum(t) FILTER (mask & before = 0 AND mask & own > 0), 0) AS toxic_lost
+        FROM cells, steps GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM rows"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    return audit(docs, table(spark, folder, "labels"))
