@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinsework.plans.cut import cut
-
+from rinsework.plans.cut import drop, kept
+from rinsework.plans.lookup import BROADCAST_ROWS, HOT_KEYS
 
 #: Narrow rows a task takes at least, and the tasks that even little data is spread over.
 ROWS_PER_TASK, LEAST_TASKS = 250_000, 12
@@ -18,41 +18,61 @@ def tasks(rows: int, per_task: int = ROWS_PER_TASK) -> int:
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """The least neighbour of each vertex and how many it has."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour ``m`` of their ``u``. Few vertices are broadcast; of many, the hubs are, of which
+    there are at most HOT_KEYS, so a hub's edges stay where they are."""
+    size = least.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("edges")).first()
+    table = least.select(F.col("u").alias("k"), "m", "n")
+    here = F.col("u") == F.col("k")
+    if size.rows <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(table), here).select("u", "v", "m")
+    hub = F.col("n") * HOT_KEYS >= size.edges
+    hubs = F.broadcast(table.filter(hub))
+    of_hubs = edges.join(hubs, here).select("u", "v", "m")
+    others = edges.join(hubs, here, "left_anti").join(table.filter(~hub), here).select("u", "v", "m")
+    return of_hubs.unionByName(others)
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """Larger neighbours of a vertex are tied to the least vertex it knows."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least_neighbour(both).withColumn("m", F.least("u", "m"))
-    larger = both.filter(F.col("v") > F.col("u")).join(least, "u")
-    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n)
+    least, path = kept(_least_neighbour(both))
+    larger = _met(both.filter(F.col("v") > F.col("u")), least)
+    return larger.select(F.col("v").alias("u"), F.least("u", "m").alias("v")), path
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """A vertex and its smaller neighbours are tied to the least of them. Edges run from larger to smaller."""
-    least = _least_neighbour(edges)
-    rest = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).coalesce(n)
+    least, path = kept(_least_neighbour(edges))
+    rest = _met(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct(), path
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has two integer columns; returns (vertex, root) for each vertex with an edge to another.
 
     ``root`` is the least vertex of the component, and a root comes with itself. Loops, repeated edges and edges
-    with a null end add nothing; no edges give no rows. Each round is cut on the shared folder, and the rounds end
-    when the edges no longer change, which takes a few rounds for shallow graphs and a logarithm of them for chains.
+    with a null end add nothing; no edges give no rows. Each round is a table on the shared folder, removed when the next
+    one stands; the rounds end when the edges no longer change, which takes a few for shallow graphs and a logarithm of
+    them for chains.
     """
-    u, v = (F.col(f"`{c}`") for c in edges.columns[:2])
-    stars = edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    stars, mark = cut(stars), None
+    spark, (u, v) = edges.sparkSession, (F.col(f"`{c}`").cast("bigint") for c in edges.columns[:2])
+    stars, path = kept(edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "stars")
+    mark = None
     while True:
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
+        if now == mark or now.n == 0:
             break
-        mark = now
-        if now.n:
-            n = tasks(now.n)
-            stars = cut(_small_star(_large_star(stars.coalesce(n), n), n).distinct().coalesce(n))
+        mark, n = now, tasks(now.n)
+        large, used = _large_star(stars)
+        half, half_path = kept(large.coalesce(n))
+        small, used_too = _small_star(half)
+        stars, new_path = kept(small.coalesce(n), "stars")
+        drop(spark, path, used, half_path, used_too)
+        path = new_path
     roots = stars.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()
     return stars.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rinsework.llm import bpe, divergence, simple8b
 from rinsework.llm.cascade import host_path, judge_urls
 from rinsework.llm.contamination import contaminated, contamination
+from rinsework.llm.groupjoin import group_join
 from rinsework.llm.interactions import audit
 from rinsework.llm.lines import drop_shared_lines
 from rinsework.llm.middles import fill_in_middle, restored
@@ -294,6 +295,27 @@ def op11(spark, folder):
     )
 
 
+OP12_SQL = """
+    WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+    grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+        FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM grams AS a JOIN grams AS b USING (g)
+        WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM pairs JOIN sizes AS s ON x = s.doc_id JOIN sizes AS t ON y = t.doc_id
+        WHERE 100 * m >= 85 * (s.n + t.n - m)),
+    reach AS (SELECT x AS doc_id, y AS other FROM links UNION SELECT reach.doc_id, y FROM reach JOIN links ON other = x),
+    least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+    FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
+@query("op12_token_group_join", OP12_SQL)
+def op12(spark, folder):
+    return group_join(table(spark, folder, "documents", "doc_id", "text"))
+
+
 OP13_SQL = """
     WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
         coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
