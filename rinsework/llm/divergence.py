@@ -115,22 +115,24 @@ def _packed(df: DataFrame) -> DataFrame:
 
 def _repeat_words(rows: DataFrame) -> DataFrame:
     """Append n_repeat_words, the number of words in 3-word windows found twice or more in the text."""
-    # 3-word windows: only texts that hold one twice sort them, by hash and place, so that equal windows lie side by side
-    word, windows, places = F.col("w"), F.col("windows"), F.col("places")
-    hashes = F.transform(
-        F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))),
-        lambda x, i: F.xxhash64(x, F.get(word, i + 1), F.get(word, i + 2)),
-    )
-    rows = rows.withColumn("hashes", hashes)
+    # arrays beside their own shifted slices, not lambdas that look into an outer array: a filter on the result is moved
+    # down with all of this inside its condition, and an outer array would then be made anew for every element
+    inner = F.greatest(F.size("w") - 2, F.lit(0))
+    triples = F.arrays_zip(*[F.slice("w", k, inner) for k in (1, 2, 3)])
+    rows = rows.withColumn("hashes", F.transform(triples, lambda t: F.xxhash64(t["0"], t["1"], t["2"])))
+    # only texts that hold a window twice sort them, by hash and place, so that equal windows lie side by side
     by_hash = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), by_hash))
+    own = F.transform("windows", lambda x: x["h"])
+    before = F.concat(F.array(F.lit(None).cast("bigint")), own)
+    sides = F.arrays_zip("windows", before, F.slice(own, 2, F.greatest(F.size(own), F.lit(0))))
     twice = F.filter(
-        "windows",
-        lambda x, j: F.coalesce(x["h"] == F.get(windows, j - 1)["h"], F.lit(False))
-        | F.coalesce(x["h"] == F.get(windows, j + 1)["h"], F.lit(False)),
+        sides,
+        lambda x: F.coalesce(x["windows"]["h"] == x["1"], F.lit(False)) | F.coalesce(x["windows"]["h"] == x["2"], F.lit(False)),
     )
-    rows = rows.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("windows", "hashes")
-    covered = F.transform("places", lambda x, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - x, F.lit(3))).cast("long"))
+    rows = rows.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["windows"]["i"]))).drop("windows", "hashes")
+    later = F.slice("places", 2, F.greatest(F.size("places"), F.lit(0)))
+    covered = F.zip_with("places", later, lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))).cast("long"))
     return rows.withColumn("n_repeat_words", F.coalesce(_sum(covered, "long"), F.lit(0)).cast("long")).drop("places")
 
 
@@ -240,12 +242,13 @@ def judge(df: DataFrame, references: References, text: str = "text", lang: str =
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (
         F.coalesce("word_distance", F.lit(0.0)) > F.col("word_limit")
     )
-    return rows.withColumn("base_failed", _base_failed(rules)).withColumn("kept", ~F.col("base_failed") & ~far).drop("word_limit")
+    rows = rows.withColumn("base_failed", _base_failed(rules)).withColumn("kept", ~F.col("base_failed") & ~far).drop("word_limit")
+    # columns of a generator: a filter on them stays above it and is not moved down with all measures inside its condition
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, in their own columns. References come from ``df`` itself."""
     judged = judge(df, fit_references(df, text, lang, rules), text, lang, rules)
-    # an exploded array instead of a filter, which would be moved down with all measures inside its condition
-    good = judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    good = judged.filter("kept").select("row")
     return good.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
