@@ -41,9 +41,9 @@ def shared_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     spread = cut(spread.filter(F.col("sites") >= F.lit(min_sites * (1 - NEAR))))
     near = spread.filter(F.col("sites") <= F.lit(min_sites * (1 + NEAR)))
     sure = spread.filter(F.col("sites") > F.lit(min_sites * (1 + NEAR)))
-    # sites of a line first made distinct, so a line on one site costs a row per task whatever its count
-    pairs = lines.filter(F.col("site").isNotNull()).select("line", "site").distinct()
-    exact = pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("n"))
+    # only near-threshold lines have their sites made distinct, so a line on one site costs a row per task whatever its count
+    pairs = lines.filter(F.col("site").isNotNull()).select("line", "site").join(near.select("line"), "line", "left_semi").distinct()
+    exact = pairs.groupBy("line").agg(F.count("*").alias("n"))
     found = near.join(exact.filter(F.col("n") >= min_sites), "line", "left_semi")
     return sure.unionByName(found).select("line", "first")
 
@@ -59,7 +59,7 @@ def drop_shared_lines(
     n_removed, and ``kept``, the remaining lines joined by line feeds.
 
     A null site counts for no site; a null text has no lines and stays null; an empty text stays empty; rows
-    without a ``doc_id`` never count as first. Repeated rows are treated alike. Lines are told apart by 64-bit
+    without a ``doc_id`` never count as first and lose all shared lines, also where no row that holds the line has one. Repeated rows are treated alike. Lines are told apart by 64-bit
     hashes. Only hashes and places are shuffled by line; texts are shuffled once, by document.
     """
     rows = df.select(
@@ -71,7 +71,7 @@ def drop_shared_lines(
     body = F.col(f"row.`{text}`")  # inside the row only, so that the join ships it once
     lines = _lines(rows, body)
     shared = shared_lines(lines, min_sites)
-    hits = lines.join(shared, "line").filter(~F.col("d").eqNullSafe(F.col("first")))
+    hits = lines.join(shared, "line").filter(~F.coalesce(F.col("d") == F.col("first"), F.lit(False)))
     gone = hits.groupBy(F.col("d").alias("d2"), F.col("key").alias("key2")).agg(F.collect_set("place").alias("gone"))
     rows = rows.join(gone, F.col("d").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("key2")), "left")
     rows = rows.withColumn("all", F.split(body, "\n"))

@@ -152,7 +152,7 @@ OP4_SQL = """
         unnest(string_split(text, chr(10))) AS raw FROM documents),
     lines AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM docs),
     shared AS (SELECT line, min(doc_id) AS first FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
-    marked AS (SELECT lines.*, shared.line IS NOT NULL AND doc_id <> first AS gone FROM lines LEFT JOIN shared USING (line))
+    marked AS (SELECT lines.*, shared.line IS NOT NULL AND coalesce(doc_id <> first, true) AS gone FROM lines LEFT JOIN shared USING (line))
     SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
         sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -206,6 +207,12 @@ def test_components(spark):
 # line spread
 
 
+def test_lines_that_no_row_with_an_id_holds(spark):
+    docs = spark.createDataFrame([(None, f"own {i}\nshared", f"s{i}") for i in range(12)], "doc_id bigint, text string, source string")
+    got = lines.drop_shared_lines(docs).select("row.text", "n_lines", "n_removed", "kept").collect()
+    assert {tuple(r) for r in got} == {(f"own {i}\nshared", 2, 1, f"own {i}") for i in range(12)}
+
+
 def plain_lines(rows, sites):
     strip = lambda x: x.strip(" \t\x0b\x0c\r")
     where, first = defaultdict(set), {}
@@ -295,6 +302,16 @@ def test_junk_source_of_a_third_is_rejected(spark):
     assert sum(divergence.fit_references(docs, rules=fixed).words["en"]) == sum(words) + 6_000
 
 
+@pytest.mark.parametrize("n", [60, 600, 6000])
+def test_a_filter_on_the_verdict_costs_no_more_than_the_verdict(spark, n):
+    docs = spark.createDataFrame([(1, "a b c " * (n // 3), "en"), (2, " ".join(f"w{i}" for i in range(n)), "en")], "doc_id int, text string, lang string")
+    judged = divergence.judge(docs, divergence.fit_references(docs))
+    start = time.perf_counter()
+    assert [r.row.doc_id for r in judged.filter("n_repeat_words = n_words").collect()] == [1]
+    assert [r.row.doc_id for r in judged.filter("kept").filter("n_repeat_words = 0").collect()] == [2]
+    assert time.perf_counter() - start < 60
+
+
 def test_quality_of_nothing(spark):
     assert divergence.fit_references(nothing(spark)).pooled == [0] * len(divergence.CLASSES)
     assert divergence.keep_good(nothing(spark)).count() == 0
