@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.names import ROW_ID, dtype, is_fractional, is_integral, is_numeric, known, number, put, value
-from rinsework.plans.counts import modes
+from rinsework.plans.heavy import modes
 from rinsework.plans.onerow import measure
 from rinsework.plans.ordered import carry_fill
 from rinsework.plans.quantiles import column_quantiles
@@ -46,7 +46,7 @@ def fit_fill(df: DataFrame, columns: list[str], strategy: str, custom_value: Any
         return FillModel({c: _as_type(custom_value, dtype(df, c), c) for c in columns})
     require_batch(df, f"impute_missing({strategy})")
     if strategy == "mode":
-        got = modes(df, columns)
+        got = modes(df, columns, distinct=False)
         return FillModel({c: m[0] for c, m in got.items()})
     columns = [c for c in columns if is_numeric(dtype(df, c))]
     wanted = {"rows": F.count(F.lit(1)), **{(c, "n"): F.count(value(df, c)) for c in columns}}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinsework.names import ROW_ID, col, data_columns, dtype, value
 from rinsework.operators.rows import random_sample
 from rinsework.operators.sizes import column_bytes
-from rinsework.plans.counts import countable, value_counts
+from rinsework.plans.counts import countable
+from rinsework.plans.heavy import top_counts
 from rinsework.plans.onerow import measure
 from rinsework.streaming.guard import require_batch
 
@@ -62,17 +63,16 @@ def frequent_values(df: DataFrame, columns: list[str] | str, k: int = 5) -> Data
     """Top values per column with count and share of non-null rows; ties go to the smaller value."""
     require_batch(df, "frequent_values")
     columns = countable(df, [columns] if isinstance(columns, str) else columns)
-    counted = value_counts(df, columns)
-    totals = counted.groupBy("i").agg(F.sum("n").alias("total"))
-    # the window limit lets every task keep only its own k best values per column before the shuffle
-    best = Window.partitionBy("i").orderBy(F.desc("n"), F.asc("num"), F.asc("txt"))
-    top = counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, rank bigint, value string, count bigint, pct double")
+    top, rows, _ = top_counts(df, columns, k)
+    total = F.element_at(F.array(*[F.lit(rows[c]) for c in columns]), F.col("i") + 1)
     named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
-    return top.join(F.broadcast(totals), "i").select(
+    return top.select(
         named.alias("column_name"),
         F.col("rank").cast("bigint").alias("rank"),
         F.col("txt").alias("value"),
         F.col("n").alias("count"),
-        F.bround(F.col("n") * F.lit(100.0) / F.col("total"), 1).alias("pct"),
+        F.bround(F.col("n") * F.lit(100.0) / total, 1).alias("pct"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rinsework.names import col, data_columns, dtype, is_integral, numeric_columns, text_columns, value
 from rinsework.operators import columns, dedup, dtypes, encode, features, impute, outliers, rows, scale, text
-from rinsework.plans.counts import modes
+from rinsework.plans.heavy import modes
 from rinsework.plans.cut import cut
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import column_quantiles

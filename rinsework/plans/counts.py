@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.names import dtype, is_nested, is_numeric, value
-from rinsework.plans.cut import cut
-from rinsework.plans.onerow import measure
 
 
 def countable(df: DataFrame, columns: list[str]) -> list[str]:
@@ -42,43 +40,6 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: float | None
     return exact_counts(df, columns)
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, int, int]]:
-    """Most frequent value as text, its count and the distinct count; ties go to the smallest value.
-
-    Counts are made on pairs of 64-bit hashes, so the shuffle holds numbers only. Texts are looked at for the
-    values that reach the highest count of their column, and where no value repeats, the smallest one is it.
-    """
-    columns = countable(df, columns)
-    if not columns:
-        return {}
-    cells = []
-    for i, c in enumerate(columns):
-        h1, h2 = hashes(df, c)
-        cells.append(F.struct(F.lit(i).alias("i"), F.when(value(df, c).isNotNull(), h1).alias("h1"), h2.alias("h2")))
-    long = df.select(F.inline(F.array(*cells))).filter("h1 is not null")
-    counted = cut(long.groupBy("i", "h1", "h2").agg(F.count(F.lit(1)).alias("n")))
-    tops = {r["i"]: (r["top"], r["d"]) for r in counted.groupBy("i").agg(F.max("n").alias("top"), F.count("*").alias("d")).collect()}
-    single = [i for i, (top, _) in tops.items() if top == 1]
-    texts = {i: t for i, t in measure(df, {i: F.min(value(df, columns[i])).cast("string") for i in single}).items()}
-    several = [i for i in tops if i not in texts]
-    if several:
-        is_top = F.lit(False)
-        for i in several:
-            is_top = is_top | ((F.col("i") == i) & (F.col("n") == tops[i][0]))
-        winners = counted.filter(is_top).select("i", "h1", "h2")
-        cells = []
-        for i in several:
-            v, (h1, h2) = value(df, columns[i]), hashes(df, columns[i])
-            num = v.cast("double") if is_numeric(dtype(df, columns[i])) else F.lit(None).cast("double")
-            cells.append(
-                F.struct(F.lit(i).alias("i"), h1.alias("h1"), h2.alias("h2"), num.alias("num"), v.cast("string").alias("txt"))
-            )
-        found = df.select(F.inline(F.array(*cells))).filter("txt is not null").join(winners, ["i", "h1", "h2"], "left_semi")
-        first = found.groupBy("i").agg(F.min(F.struct("num", "txt")).alias("top"))
-        texts.update({r["i"]: r["top"]["txt"] for r in first.collect()})
-    return {columns[i]: (texts[i], top, d) for i, (top, d) in tops.items()}
-
-
 def hashes(df: DataFrame, name: str) -> list[Column]:
     """Two independent 64-bit hashes of a column of any type; maps count as sets of entries, variants as JSON."""
     v, t = value(df, name), dtype(df, name)

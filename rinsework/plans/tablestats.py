@@ -28,7 +28,8 @@ from rinsework.names import (
 )
 from rinsework.operators.dedup import duplicate_count
 from rinsework.operators.sizes import column_bytes, fixed_width
-from rinsework.plans.counts import countable, decisive_counts, exact_counts, modes
+from rinsework.plans.counts import countable, decisive_counts, exact_counts
+from rinsework.plans.heavy import modes
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import column_quantiles
 from rinsework.streaming.guard import require_batch

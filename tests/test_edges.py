@@ -92,11 +92,6 @@ def test_filters_reach_the_scan(spark, data):
     assert "ReadSchema: struct<o_orderpriority:string>" in text
 
 
-def test_top_values_keep_k_per_task(spark, data):
-    part = spark.read.parquet(f"{data}/part.parquet")
-    assert "WindowGroupLimit" in plan(preview.frequent_values(part, ["p_brand", "p_size"]))
-
-
 @pytest.mark.parametrize("operation", ["trim", "remove_extra_spaces", "remove_punct", "title", "find_replace"])
 def test_row_local_text_is_one_stage(spark, data, operation):
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
