@@ -12,7 +12,7 @@ those foreign groups whose union can overlap it far enough.
 3. Bound. Tokens are ordered by that number, rare ones first. If two sets are linked, the first n - ceil(t n) + 1 tokens
    of the larger and the first m - ceil(2 t m / (1 + t)) + 1 of the smaller share one. These cells of the matrix name the
    groups a document may have to open.
-4. Open. A group's members form tables of bounded size. A visitor is held against the union of a table first, and against
+4. Open. A group's members form tables of bounded size, each of members of nearly one size. A visitor is held against the union of a table first, and against
    the members only if ceil(t n) of its tokens are in there.
 
 All links between groups are found in 3 and 4, whatever the first step missed, so the components are exact.
@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 4, 85
 BANDS, BAND = 4, 3
 #: Documents whose pairs are looked at together, and visitors of an opened table.
 PIECE, VISITORS = 128, 256
+#: Sets of one table differ in size by less than this factor.
+SIZE_STEP = 1.05
 #: Tokens per chunk of documents and per range of the matrix; there are at least LEAST of each, and chunks lie in at most
 #: MOST partitions.
 CHUNK_TOKENS, RANGE_TOKENS, LEAST, MOST = 1 << 20, 1 << 21, 64, 50_000
@@ -162,11 +164,11 @@ def _rough_clusters(sets: DataFrame) -> DataFrame:
     return components(keys.mapInArrow(star, "u bigint, v bigint"))
 
 
-def _in_parts(rows: DataFrame, key: str, count: str, part: str, most: int) -> DataFrame:
-    """Append into how many parts of about ``most`` rows the key is cut, and the row's part, drawn by its id and set."""
-    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")))
-    counts = counts.select(key, "rows", F.ceil(F.col("rows") / most).cast("int").alias(count))
-    cells = attach(rows, counts, {key: key}, [count], "rows")
+def _in_parts(rows: DataFrame, keys: list[str], count: str, part: str, most: int) -> DataFrame:
+    """Append into how many parts of about ``most`` rows the keys are cut, and the row's part, drawn by its id and set."""
+    counts = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")))
+    counts = counts.select(*keys, "rows", F.ceil(F.col("rows") / most).cast("int").alias(count))
+    cells = attach(rows, counts, {k: k for k in keys}, [count], "rows")
     return cells.withColumn(part, F.pmod(F.xxhash64("v", "h", count), F.col(count)).cast("int"))
 
 
@@ -208,7 +210,7 @@ def _links_in_clusters(clustered: DataFrame, size: int, percent: int) -> DataFra
     """Links inside rough clusters, enough of them to hold together what is alike. Rows: v, h, cluster, body."""
     n, links, rows = clustered.count(), None, clustered
     while True:
-        done = cut(_confirmed(_in_parts(rows, "cluster", "pieces", "piece", PIECE), n, size, percent))
+        done = cut(_confirmed(_in_parts(rows, ["cluster"], "pieces", "piece", PIECE), n, size, percent))
         found = done.filter("v <> root").select(F.col("v").alias("u"), F.col("root").alias("v"))
         links = found if links is None else links.unionByName(found)
         rows = done.filter("body is not null").select("v", "h", "cluster", "body")
@@ -308,55 +310,66 @@ def _candidates(dealt: DataFrame, ranges: int, size: int, percent: int) -> DataF
                 own, n = groups[at : at + len(tokens)], len(tokens)
                 at += n
                 enough = least_overlap(n, percent)
-                if (own > 1).sum() >= enough:
+                alive = int((own > 1).sum())
+                if alive >= enough:
                     order = np.lexsort((tokens, own))[: n - enough + 1]
                     places = np.flatnonzero(own[order] > 1)
                     probe = tokens[order[places]].view(np.int64)
-                    out.append((v, h, g, n, tokens.tobytes(), probe.tolist(), places.tolist()))
-        types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return _table(out, types, ["v", "h", "g", "n", "tokens", "probe", "places"])
+                    out.append((v, h, g, n, alive, tokens.tobytes(), probe.tolist(), places.tolist()))
+        types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return _table(out, types, ["v", "h", "g", "n", "alive", "tokens", "probe", "places"])
 
     sent = dealt.groupBy("chunk").applyInArrow(send, SENT)
     answers = sent.groupBy("range").applyInArrow(_answer, ANSWERED)
-    schema = "v bigint, h bigint, g bigint, n bigint, tokens binary, probe array<bigint>, places array<bigint>"
+    schema = "v bigint, h bigint, g bigint, n bigint, alive bigint, tokens binary, probe array<bigint>, places array<bigint>"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, schema)
 
 
 def _visits(rows: DataFrame, percent: int) -> DataFrame:
-    """Which tables of foreign groups a document has to open: (v, h, g, table), by the leading tokens of both sides."""
-    cells = rows.select("v", "h", "g", "table", "n", F.explode(F.arrays_zip("probe", "places")).alias("x"))
-    cells = cells.select("v", "h", "g", "table", "n", F.col("x.probe").alias("token"), F.col("x.places").alias("place"))
+    """Which tables of foreign groups a document has to open: (v, h, g, class, table).
+
+    By the leading tokens of both sides, and by size: a document of n tokens and one of m share percent * (n + m) /
+    (100 + percent) of them or more, all of which stand in two groups. Tables hold members of nearly one size, so the
+    smallest of them bounds what the visitor, and what the best of them, must have of such tokens.
+    """
+    own = ["v", "h", "g", "n", "alive"]
+    cells = rows.select(*own, "class", "table", F.explode(F.arrays_zip("probe", "places")).alias("x"))
+    cells = cells.select(*own, "class", "table", F.col("x.probe").alias("token"), F.col("x.places").alias("place"))
     # places count from 0, so this takes one token more than needed, against rounding of the quotient
     leading = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
-    matrix = cells.filter(F.col("place") <= leading).groupBy("token", "g", "table").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = matrix.select(F.col("token").alias("t"), F.col("g").alias("group"), F.col("table").alias("of"), "low", "high")
+    most = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("alive").alias("best")]
+    matrix = cells.filter(F.col("place") <= leading).groupBy("token", "g", "class", "table").agg(*most)
+    renamed = {"token": "t", "g": "group", "class": "of_class", "table": "of"}
+    matrix = matrix.select(*[F.col(c).alias(x) for c, x in renamed.items()], "low", "high", "best")
+    needed = F.lit(percent) * (F.col("n") + F.col("low"))
     fits = (F.col("g") != F.col("group")) & (F.col("low") <= F.col("n")) & (F.col("high") * 100 >= F.col("n") * percent)
-    found = cells.join(matrix, (F.col("token") == F.col("t")) & fits)
-    return found.select("v", "h", F.col("group").alias("g"), F.col("of").alias("table")).distinct()
+    fits &= (F.col("alive") * (100 + percent) >= needed) & (F.col("best") * (100 + percent) >= needed)
+    found = cells.select(*own, "token").join(matrix, (F.col("token") == F.col("t")) & fits)
+    return found.select("v", "h", F.col("group").alias("g"), F.col("of_class").alias("class"), F.col("of").alias("table")).distinct()
 
 
 def _opened(rows: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
     """Links of visitors to members of the tables they open. Visitors of a table come in parties of up to VISITORS, and
     each party meets the table in a place of its own."""
-    n = visits.count()
-    counts = visits.groupBy("g", "table").agg(F.count(F.lit(1)).alias("rows"))
-    counts = cut(counts.select("g", "table", "rows", F.ceil(F.col("rows") / VISITORS).cast("int").alias("parties")))
+    n, place = visits.count(), ["g", "class", "table"]
+    counts = visits.groupBy(*place).agg(F.count(F.lit(1)).alias("rows"))
+    counts = cut(counts.select(*place, "rows", F.ceil(F.col("rows") / VISITORS).cast("int").alias("parties")))
     party = F.pmod(F.xxhash64("v", "h", "parties"), F.col("parties")).cast("int").alias("party")
-    guests = attach(visits, counts, {"g": "g", "table": "table"}, ["parties"], "rows").select("g", "table", party, "v", "h")
+    guests = attach(visits, counts, {c: c for c in place}, ["parties"], "rows").select(*place, party, "v", "h")
     guests = guests.join(rows.select("v", "h", "tokens"), ["v", "h"])
-    guests = guests.select("g", "table", "party", "v", "tokens", F.lit(True).alias("guest"))
+    guests = guests.select(*place, "party", "v", "tokens", F.lit(True).alias("guest"))
     parties = F.explode(F.sequence(F.lit(0), F.col("parties") - 1)).alias("party")
-    members = rows.join(counts, ["g", "table"]).select("g", "table", parties, "v", "tokens", F.lit(False).alias("guest"))
-    bundle = F.pmod(F.xxhash64("g", "table", "party"), F.lit(max(LEAST, -(-n // VISITORS))))
+    members = rows.join(counts, place).select(*place, parties, "v", "tokens", F.lit(False).alias("guest"))
+    bundle = F.pmod(F.xxhash64(*place, "party"), F.lit(max(LEAST, -(-n // VISITORS))))
 
     def meet(met):
-        cells = sorted(zip(*(met[c].to_pylist() for c in ("g", "table", "party", "guest", "v", "tokens"))), key=lambda r: r[:5])
+        cells = sorted(zip(*(met[c].to_pylist() for c in ("g", "class", "table", "party", "guest", "v", "tokens"))), key=lambda r: r[:6])
         out, at = [], 0
         while at < len(cells):
             stop = at + 1
-            while stop < len(cells) and cells[stop][:3] == cells[at][:3]:
+            while stop < len(cells) and cells[stop][:4] == cells[at][:4]:
                 stop += 1
-            here = [(r[3], r[4], np.frombuffer(r[5], np.uint64)) for r in cells[at:stop]]
+            here = [(r[4], r[5], np.frombuffer(r[6], np.uint64)) for r in cells[at:stop]]
             at = stop
             own = [(v, s) for guest, v, s in here if not guest]
             whole = Union([s for _, s in own])
@@ -404,15 +417,15 @@ def group_join(
     groups = components(links).select(F.col("vertex").alias("v"), F.col("root").alias("g"))
     held = cut(sets.select("v", "h").join(groups, "v", "left").select("v", "h", F.coalesce("g", "v").alias("g")))
     # a group lies in one chunk, unless it is too large for it
-    held = _in_parts(held, "g", "tables", "table", PIECE).withColumn("giant", F.col("tables") > 1)
+    held = _in_parts(held, ["g"], "parts", "part", PIECE).withColumn("giant", F.col("parts") > 1)
     key = F.when(F.col("giant"), F.xxhash64("v", "h")).otherwise(F.xxhash64("g"))
-    held = cut(held.select("v", "h", "g", "table", "giant", F.pmod(key, F.lit(chunks)).cast("int").alias("chunk")))
+    held = cut(held.select("v", "h", "g", "giant", F.pmod(key, F.lit(chunks)).cast("int").alias("chunk")))
 
     # matrix, bound, and groups opened: both passes over the chunks read one exchange of the texts
     dealt = held.join(bodies, ["v", "h"]).select("chunk", "v", "h", "g", "giant", "body")
     dealt = dealt.repartition(min(chunks, MOST), "chunk").sortWithinPartitions("chunk", "v", "h")
-    rows = _candidates(dealt, ranges, shingle, percent)
-    rows = cut(rows.join(held.select("v", "h", "table"), ["v", "h"]))
+    rows = cut(_candidates(dealt, ranges, shingle, percent))
+    rows = cut(_in_parts(rows.withColumn("class", F.floor(F.log(SIZE_STEP, "n"))), ["g", "class"], "tables", "table", PIECE))
     links = links.unionByName(_opened(rows, cut(_visits(rows, percent)), percent))
 
     roots = components(links)
