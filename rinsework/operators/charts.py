@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from rinsework.functions.normal import probit
 from rinsework.names import ROW_ID, col, known, number, numeric_columns, present, value
 from rinsework.operators.rows import random_sample
 from rinsework.plans.cut import cut
+from rinsework.plans.gram import pair_sums
 from rinsework.plans.lookup import attach
 from rinsework.plans.onerow import measure
 from rinsework.plans.ordered import positions
@@ -77,31 +78,55 @@ def shares(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
     return grouped.withColumn("share", F.try_divide(F.col("total").cast("double"), F.lit(whole)))
 
 
+#: Share of the squares below which a sum of squared deviations may be rounding only.
+NO_SPREAD = 1e-9
+
+
+def _pairs(table: pa.Table, names: list[str]) -> pa.Table:
+    """Correlations of one column with all others, and whether rounding may have eaten the spread of either."""
+    i = table["i"][0].as_py()
+    n, s, t, q, r, p = (np.array(table[c][0].as_py()) for c in ("n", "s", "t", "q", "r", "p"))
+    with np.errstate(all="ignore"):
+        of_x, of_y = q - s * s / n, r - t * t / n
+        corr = (p - s * t / n) / np.sqrt(of_x * of_y)
+        thin = ((of_x <= NO_SPREAD * q) & (q > 0)) | ((of_y <= NO_SPREAD * r) & (r > 0)) | ~np.isfinite(of_x) | ~np.isfinite(of_y)
+    thin &= n > 1
+    known = np.isfinite(corr) & (of_x > 0) & (of_y > 0) & (n > 1)
+    cells = [round(min(1.0, max(-1.0, float(c))), 3) + 0.0 if ok else None for c, ok in zip(corr, known)]
+    cells[i] = 1.0 if known[i] else None
+    return pa.table([pa.array([names[i]] * len(names)), pa.array(names), pa.array(cells, pa.float64()), pa.array(thin)], names=["x", "y", "corr", "thin"])
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair over rows where both are present: columns x, y, corr.
 
-    Needs two numeric columns, otherwise empty. A column without spread has no correlation (null).
+    Needs two numeric columns, otherwise empty. A column without spread has no correlation (null). One scan, whatever the
+    number of columns; pairs whose spread is so small beside their values that sums of squares cannot show it are looked at
+    again by central moments.
     """
     require_batch(df, "correlations")
     columns = numeric_columns(df) if columns is None else [c for c in columns if c in numeric_columns(df)]
-    pairs = list(combinations(columns, 2))
-    got: dict = {}
+    schema = "x string, y string, corr double"
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    found = cut(pair_sums(df, columns).groupBy("i").applyInArrow(lambda t: _pairs(t, columns), schema + ", thin boolean"))
+    if found.isEmpty():  # no value in any column
+        return df.sparkSession.createDataFrame([(a, b, None) for a in columns for b in columns], schema)
+    pairs = [(r["x"], r["y"]) for r in found.filter("thin and x <= y").collect()]
+    if not pairs:
+        return found.select("x", "y", "corr")
+    again = []
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         wanted = {}
         for a, b in pairs[start : start + PAIRS_PER_JOB]:
             x, y = number(df, a), number(df, b)
             x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
             spread = F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
-            wanted[(a, b)] = F.try_divide(F.covar_samp(x, y), spread)
-        got.update(measure(df, wanted))
-    rows = []
-    if pairs:
-        own = measure(df, {c: F.stddev_samp(number(df, c)) for c in columns})
-        rows = [(c, c, 1.0 if own[c] else None) for c in columns]
-    for (a, b), r in got.items():
-        r = None if r is None else round(r, 3) + 0.0
-        rows += [(a, b, r), (b, a, r)]
-    return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
+            wanted[a, b] = F.try_divide(F.covar_samp(x, y), spread)
+        for (a, b), r in measure(df, wanted).items():
+            r = None if r is None else 1.0 if a == b else round(r, 3) + 0.0
+            again += [(a, b, r)] + [(b, a, r)] * (a != b)
+    return found.filter("not thin").select("x", "y", "corr").unionByName(df.sparkSession.createDataFrame(again, schema))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from rinsework.names import col, data_columns, dtype, is_integral, numeric_columns, text_columns, value
 from rinsework.operators import columns, dedup, dtypes, encode, features, impute, outliers, rows, scale, text
+from rinsework.plans.cut import cut, drop, kept
 from rinsework.plans.heavy import modes
-from rinsework.plans.cut import cut
 from rinsework.plans.onerow import measure
 from rinsework.plans.quantiles import column_quantiles
 
@@ -106,6 +106,15 @@ ROW_STEPS = frozenset(
 )
 
 
+#: Steps that look at the whole table before they return: each would run all steps before it again.
+FITTED = frozenset(
+    (
+        "drop_constant_columns", "drop_empty_rows_columns", "random_sample", "remove_duplicates", "impute_missing", "convert_type",
+        "narrow_types", "handle_outliers", "bin_column", "scale_features", "encode_categorical", "smart_clean",
+    )
+)
+
+
 @dataclass(frozen=True)
 class Step:
     operator: str
@@ -115,6 +124,56 @@ class Step:
     def run(self, df: DataFrame) -> DataFrame:
         return STEPS[self.operator](df, **self.params)
 
+    def told(self) -> str:
+        """What the step does, without when it was pushed."""
+        return f"{self.operator}({sorted(self.params.items(), key=lambda x: x[0])!r})"
+
+
+class Prefixes:
+    """Results of the beginnings of recipes over one table, so that a step never runs the steps before it again.
+
+    The rows before each fitted step, and after the last one, are a table in the working folder, found again by what the
+    steps do: undo and redo, and other recipes that begin alike, take it from there. ``close``, or the end of a ``with``
+    block, removes the tables; results must be used before. Beyond ``most`` tables the one not used for longest goes.
+    """
+
+    def __init__(self, df: DataFrame, most: int = 20):
+        self.df, self.most, self.tables = df, most, {}
+
+    def __enter__(self) -> Prefixes:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        for name in list(self.tables):
+            self._forget(name)
+
+    def _forget(self, name: tuple[str, ...]) -> None:
+        drop(self.df.sparkSession, self.tables.pop(name)[1])
+
+    def _keep(self, name: tuple[str, ...], df: DataFrame) -> DataFrame:
+        table, path = kept(df, "recipe")
+        self.tables[name] = (table, path)
+        while len(self.tables) > self.most:
+            self._forget(next(iter(self.tables)))
+        return table
+
+    def table(self, recipe: Recipe) -> DataFrame:
+        """The rows after all steps of the recipe."""
+        steps, told = recipe.done, tuple(s.told() for s in recipe.done)
+        begin = max((n for n in range(1, len(steps) + 1) if told[:n] in self.tables), default=0)
+        df, lazy = self.df, 0
+        if begin:
+            self.tables[told[:begin]] = self.tables.pop(told[:begin])  # used last
+            df = self.tables[told[:begin]][0]
+        for n in range(begin, len(steps)):
+            if lazy and steps[n].operator in FITTED:
+                df, lazy = self._keep(told[:n], df), 0
+            df, lazy = steps[n].run(df), lazy + 1
+        return self._keep(told, df) if lazy else df
+
 
 @dataclass(frozen=True)
 class Recipe:
@@ -143,7 +202,10 @@ class Recipe:
     def reset(self) -> Recipe:
         return replace(self, done=(), undone=())
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, prefixes: Prefixes | None = None) -> DataFrame:
+        """The rows after all steps. ``prefixes`` of this table keep what steps give, for this recipe and others."""
+        if prefixes is not None:
+            return prefixes.table(self)
         for step in self.done:
             df = step.run(df)
         return df

@@ -13,7 +13,7 @@ from rinsework.plans.tablestats import TableStats
 
 
 def report_tables(df: DataFrame, as_of: datetime | None = None) -> dict[str, DataFrame]:
-    """summary, score, suggestions, validation and columns; the table is scanned once for all of them."""
+    """summary, score, suggestions, validation and columns; figures they share are gathered once for all of them."""
     s = TableStats(df, as_of)
     columns = profile_columns(s)  # first, so that its exact counts serve the others too
     return {

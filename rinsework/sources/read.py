@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinsework.names import ROW_ID, col, dtype, is_text
 from rinsework.plans.cut import cut
+from rinsework.plans.lookup import BROADCAST_BYTES
+from rinsework.plans.ordered import running_sum
 
 # fixed values: texts read as missing, and file endings with their formats
 MISSING_TOKENS = (
@@ -155,11 +158,15 @@ def normalise_nan(df: DataFrame) -> DataFrame:
     )
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def attach_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     """Prepend ``row_id``: a natural key, or 0..n-1 in file order.
 
-    Numbering needs no sort of the rows. One aggregate counts rows per file split, and the table of
-    splits (one record each) gives every split its first number. The input must be a file scan with
+    Numbering needs no sort of the rows. One aggregate counts rows per file split, and running sums over the
+    table of splits (one record each) give every split its first number. The input must be a file scan with
     projections or filters only, so that both passes see the same splits.
     """
     if key is not None:
@@ -167,27 +174,33 @@ def attach_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     seated = df.select(
         *[col(c) for c in df.columns],
         F.input_file_name().alias("__file"),
-        F.input_file_block_start().alias("__block"),
+        F.input_file_block_start().alias("__offset"),
         F.monotonically_increasing_id().alias("__seat"),
     )
-    splits = seated.groupBy("__file", "__block", F.shiftright("__seat", 33).alias("__part")).agg(
+    order = ["__file", "__offset", "__part"]
+    splits = seated.groupBy("__file", "__offset", F.shiftright("__seat", 33).alias("__part")).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__seat").alias("__first")
     )
-    by_file = Window.orderBy("__file", "__block", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        F.col("__file").alias("__f"),
-        F.col("__block").alias("__b"),
-        F.col("__part").alias("__p"),
-        (F.coalesce(F.sum("__n").over(by_file), F.lit(0)) - F.col("__first")).alias("__shift"),
-    )
+    splits = cut(splits)
+    size = splits.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("__file") + 48).alias("bytes")).first()
+    # a table of some splits is added up on the driver and goes to all tasks; a very large one is added up in ranges of its
+    # order and meets its rows by shuffle
+    small = size["rows"] <= BROADCAST_SPLITS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    if small:
+        found = splits.orderBy(*order).collect()
+        before = accumulate((r["__n"] for r in found), initial=0)
+        starts = df.sparkSession.createDataFrame([(*r, n) for r, n in zip(found, before)], f"{_ddl(splits)}, __before long")
+    else:
+        starts = running_sum(splits, order, "__n", "__before")
+    starts = starts.select(
+        F.col("__file").alias("__f"), F.col("__offset").alias("__b"), F.col("__part").alias("__p"),
+        (F.col("__before") - F.col("__first")).alias("__shift"),
+    )
     at = (
         (F.col("__file") == F.col("__f"))
-        & (F.col("__block") == F.col("__b"))
+        & (F.col("__offset") == F.col("__b"))
         & (F.shiftright("__seat", 33) == F.col("__p"))
     )
-    # a table of some splits goes to all tasks; a very large one meets its rows by shuffle
-    starts = cut(starts)
-    small = starts.count() <= BROADCAST_SPLITS
     return seated.join(F.broadcast(starts) if small else starts, at, "inner").select(
         (F.col("__seat") + F.col("__shift")).alias(ROW_ID), *[col(c) for c in df.columns]
     )

@@ -1,4 +1,5 @@
 import math
+import os
 import statistics
 from datetime import datetime
 
@@ -228,6 +229,45 @@ def test_normal_plot(spark):
 # ---- recipes
 
 
+def test_kept_prefixes_run_no_step_twice(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i), f" w{i % 3} ") for i in range(40)], "row_id bigint, x double, s string")
+    ran = []
+    for name in ("impute_missing", "scale_features", "encode_categorical", "clean_text", "filter_rows"):
+        step = recipe.STEPS[name]
+        monkeypatch.setitem(recipe.STEPS, name, lambda df, step=step, name=name, **kw: ran.append(name) or step(df, **kw))
+    r = (
+        recipe.Recipe()
+        .push("clean_text", columns=["s"], operation="trim")
+        .push("impute_missing", columns=["x"], strategy="median")
+        .push("scale_features", columns=["x"], scaler="StandardScaler")
+        .push("encode_categorical", columns=["s"], method="Label Encoding")
+        .push("filter_rows", expression="row_id < 30")
+    )
+    want = [sorted(map(tuple, x.apply(df).collect())) for x in (r, r.undo(), r.undo().undo())]
+    ran.clear()
+    with recipe.Prefixes(df) as prefixes:
+        assert sorted(map(tuple, r.apply(df, prefixes).collect())) == want[0]
+        assert ran == [s.operator for s in r.done]
+        ran.clear()
+        assert sorted(map(tuple, r.apply(df, prefixes).collect())) == want[0]
+        assert sorted(map(tuple, r.undo().undo().apply(df, prefixes).collect())) == want[2]
+        assert sorted(map(tuple, r.undo().undo().redo().redo().apply(df, prefixes).collect())) == want[0]
+        assert ran == []  # a table lies before each fitted step and after the last
+        assert sorted(map(tuple, r.undo().apply(df, prefixes).collect())) == want[1] and ran == ["encode_categorical"]
+        ran.clear()
+        later = recipe.Recipe().push("clean_text", columns=["s"], operation="trim").push("filter_rows", expression="row_id < 5")
+        assert later.apply(df, prefixes).count() == 5 and ran == ["filter_rows"]
+        # what lies on a kept table reads that table, not the input
+        assert "Scan parquet" in plan(r.undo().undo().apply(df, prefixes))
+        paths = [path for _, path in prefixes.tables.values()]
+        assert all(os.path.exists(p.removeprefix("file:")) for p in paths)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+    few = recipe.Prefixes(df, most=1)
+    r.apply(df, few).count()
+    assert len(few.tables) == 1
+    few.close()
+
+
 def test_recipe_prefixes_and_undo(spark):
     df = spark.createDataFrame([(0, " a ", 1.0), (1, "b", None), (2, " a ", 1.0)], "row_id bigint, s string, x double")
     r = recipe.Recipe()

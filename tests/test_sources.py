@@ -1,5 +1,7 @@
 import pytest
+from helpers import plan
 
+from rinsework.sources import read
 from rinsework.sources.read import UnsupportedFormat, attach_row_id, load, normalise_nan, read_csv, read_json
 from rinsework.sources.write import write
 
@@ -105,3 +107,20 @@ def test_row_ids_follow_file_order(spark, tmp_path):
     rows = df.collect()
     assert sorted(r["row_id"] for r in rows) == list(range(1000))
     assert all(r["row_id"] == r["id"] for r in rows)
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_row_ids_need_no_window_over_all_splits(spark, tmp_path, monkeypatch, most):
+    """Few splits are added up on the driver, many in ranges of their order; either way the ids are the same."""
+    monkeypatch.setattr(read, "BROADCAST_SPLITS", most)
+    path = str(tmp_path / "many")
+    spark.range(500).repartitionByRange(9, "id").sortWithinPartitions("id").write.parquet(path)
+    shown = []
+    keep = read.cut
+    monkeypatch.setattr(read, "cut", lambda df: shown.append(plan(df)) or keep(df))
+    df = attach_row_id(spark.read.parquet(path))
+    assert all(r["row_id"] == r["id"] for r in df.collect())
+    for text in (*shown, plan(df)):
+        assert "SinglePartition" not in text and ("Window" not in text or most == 2)
+    empty = attach_row_id(spark.read.parquet(path).filter("id < 0"))
+    assert empty.columns == ["row_id", "id"] and empty.count() == 0

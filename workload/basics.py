@@ -150,6 +150,12 @@ def p3(spark, folder):
     return preview.random_rows(messy(spark, folder), 20)
 
 
+@query("p3_random_rows_facts", with_messy("SELECT least(20, count(*)) AS n, least(20, count(*)) AS n_distinct, count(*) * 0 + 1 AS inside FROM messy"))
+def p3_facts(spark, folder):
+    df = messy(spark, folder).select("row_id", "price")
+    return _sample_facts(df, preview.random_rows(df, 20))
+
+
 def _type_of(c):
     return {"price": "double", "qty": "bigint", "qty_copy": "bigint"}.get(c, "string")
 

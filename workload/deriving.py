@@ -302,6 +302,21 @@ def n2_wide(spark, folder):
     return wide.select("row_id", hits.alias("hits"), F.get(names, F.array_position(flags, 1).cast("int") - 1).cast("bigint").alias("code"))
 
 
+@query(
+    "n2_one_hot_sparse",
+    "WITH a AS (SELECT o_custkey, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS p FROM orders GROUP BY o_custkey), "
+    "b AS (SELECT o_orderpriority, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS p FROM orders GROUP BY o_orderpriority) "
+    "SELECT o_orderkey AS row_id, (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS size, a.p AS customer, "
+    "(SELECT count(*) FROM a) + b.p AS priority, CAST(2 AS BIGINT) AS ones FROM orders JOIN a USING (o_custkey) JOIN b USING (o_orderpriority)",
+)
+def n2_sparse(spark, folder):
+    df = _orders(spark, folder, "o_custkey", "o_orderpriority")
+    vectors = encode.one_hot_sparse(df, ["o_custkey", "o_orderpriority"])
+    at = F.col("features.indices")
+    ones = F.size("features.values").cast("bigint")
+    return vectors.select("row_id", "features.size", at[0].alias("customer"), at[1].alias("priority"), ones.alias("ones"))
+
+
 @query(
     "n3_ordinal_encoding",
     with_messy(

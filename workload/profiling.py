@@ -244,6 +244,22 @@ def a13_gaps(spark, folder):
     return charts.correlations(messy(spark, folder).select(*MESSY_NUMERIC))
 
 
+def _wide(c: str, k: str) -> str:
+    """Column k of a wide table: related to its neighbours, with gaps of its own."""
+    return f"CASE WHEN (l_orderkey * 31 + {k} * 17 + l_linenumber) % ({k} + 5) = 0 THEN NULL ELSE ((l_partkey * {k}) % (50 + {k})) + l_quantity * ({k} % 3) END{c}"
+
+
+@query(
+    "a13_correlations_wide",
+    f"SELECT 'c' || i AS x, 'c' || j AS y, CASE WHEN i = j THEN 1.0 ELSE round(corr(v[i], v[j]), 3) + 0.0 END AS corr "
+    f"FROM (SELECT [{', '.join(_wide('', str(k)) for k in range(1, 31))}] AS v FROM lineitem) AS t, "
+    "unnest(range(1, 31)) AS a(i), unnest(range(1, 31)) AS b(j) GROUP BY i, j",
+)
+def a13_wide(spark, folder):
+    df = table(spark, folder, "lineitem").selectExpr(*[_wide(f" AS c{k}", str(k)) for k in range(1, 31)])
+    return charts.correlations(df)
+
+
 # ---- quality
 
 
@@ -550,6 +566,15 @@ def l2(spark, folder):
     return _recipe().undo().undo().redo().apply(messy(spark, folder))
 
 
+@query("l2_recipe_prefixes", _L2)
+def l2_prefixes(spark, folder):
+    # the whole recipe first; what is left after undo and redo is found among its beginnings
+    df, whole = messy(spark, folder), _recipe()
+    prefixes = recipe.Prefixes(df)
+    whole.apply(df, prefixes)
+    return whole.undo().undo().redo().apply(df, prefixes)
+
+
 _STEPS = ("clean_text", "filter_rows", "impute_missing", "drop_columns", "random_sample")
 
 
