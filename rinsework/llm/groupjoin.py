@@ -349,7 +349,7 @@ def _visits(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _opened(rows: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
-    """Links of visitors to members of the tables they open. Visitors of a table come in parties of up to VISITORS, and
+    """Links of visitors to the groups whose tables they open: one to a table, whatever the number of members. Visitors of a table come in parties of up to VISITORS, and
     each party meets the table in a place of its own."""
     n, place = visits.count(), ["g", "class", "table"]
     counts = visits.groupBy(*place).agg(F.count(F.lit(1)).alias("rows"))
@@ -370,10 +370,10 @@ def _opened(rows: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
             while stop < len(cells) and cells[stop][:4] == cells[at][:4]:
                 stop += 1
             here = [(r[4], r[5], np.frombuffer(r[6], np.uint64)) for r in cells[at:stop]]
+            whole = Union([s for guest, _, s in here if not guest])
+            # a group's members belong together already, so a link to any of them is a link to the group
+            out += [(cells[at][0], v) for guest, v, s in here if guest and len(whole.linked(s, percent))]
             at = stop
-            own = [(v, s) for guest, v, s in here if not guest]
-            whole = Union([s for _, s in own])
-            out += [(own[i][0], v) for guest, v, s in here if guest for i in whole.linked(s, percent).tolist()]
         return _table(out, [pa.int64()] * 2, ["u", "v"])
 
     return members.unionByName(guests).withColumn("bundle", bundle).groupBy("bundle").applyInArrow(meet, "u bigint, v bigint")
