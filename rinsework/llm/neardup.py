@@ -31,7 +31,8 @@ from pyspark.sql.types import (
 from rinsework.llm.arrow import inside_documents, mixed, slices, strings, window_hashes, word_hashes, word_spans
 from rinsework.llm.graph import components, tasks
 from rinsework.names import fresh
-from rinsework.plans.cut import cut
+from rinsework.plans.cut import cut, drop, kept
+from rinsework.plans.lookup import attach
 
 SHINGLE, PERCENT = 4, 80
 #: Independent trees, their levels, and children per node: one minwise token for each.
@@ -182,14 +183,16 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int, percent: int)
 
 def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of large nodes with ``equal``, the number of minwise tokens they share with the least member."""
-    leaders = large.select("least").distinct().join(sets.select(F.col("v").alias("least"), F.col("tokens").alias("theirs")), "least")
-    rows = large.join(sets.select("v", "tokens"), "v").join(leaders, "least")
+    # few leaders are broadcast; of many those with very many members are, so these stay where they are
+    counts = large.groupBy("least").agg(F.count(F.lit(1)).alias("members"))
+    leaders = cut(counts.join(sets.select(F.col("v").alias("least"), F.col("tokens").alias("theirs")), "least"))
+    rows = attach(large.join(sets.select("v", "tokens"), "v"), leaders, {"least": "least"}, ["theirs"], "members")
     equal = F.size(F.filter(F.zip_with("tokens", "theirs", lambda a, b: a == b), lambda same: same))
     return rows.select("v", "node", "least", equal.alias("equal"))
 
 
-def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_node: int) -> DataFrame:
-    """Links between sets that may be similar, from all trees."""
+def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_node: int, used: list[str]) -> DataFrame:
+    """Links between sets that may be similar, from all trees. The tables they are read from are added to ``used``."""
     n = tasks(TREES * CHILDREN * n_sets)
     rows = sets.select("v", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)).cast("array<bigint>")).alias("node"))
     found = []
@@ -197,7 +200,8 @@ def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_
         rows = _children(rows, level)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
         leader = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
-        members = cut(rows.join(sizes, "node").select("v", "node", leader).coalesce(n))
+        members, path = kept(rows.join(sizes, "node").select("v", "node", leader).coalesce(n))
+        used.append(path)
         found.append(_small_nodes(members.filter("least is null"), sets, enough, percent))
         large = members.filter("least is not null")
         if large.isEmpty():
@@ -205,7 +209,8 @@ def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_
         if level == LEVELS - 1:
             found.append(large.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v"))
             break
-        large = cut(_with_leaders(large, sets).coalesce(n))
+        large, path = kept(_with_leaders(large, sets).coalesce(n))
+        used.append(path)
         joined = large.filter((F.col("equal") >= JOIN) & (F.col("v") != F.col("least")))
         found.append(joined.select(F.col("v").alias("u"), F.col("least").alias("v")))
         rows = large.filter(F.col("equal") < RETIRE).join(sets.select("v", "tokens"), "v")
@@ -337,14 +342,17 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
                 table = pa.RecordBatch.from_arrays([part.column(k) for k in range(5)], names=schema.names)
                 yield table.filter(pa.array(same))
 
-    rows = cut(texts.coalesce(tasks(clusters.count(), 4 * GROUP)).mapInArrow(run, schema))
+    spark = docs.sparkSession
+    rows, rows_path = kept(texts.coalesce(tasks(clusters.count(), 4 * GROUP)).mapInArrow(run, schema))
     inside = _confirm_groups(rows, size, percent)
     inside = cut(inside.coalesce(tasks(rows.count())))
-    links = inside.select(F.col("v").alias("u"), F.col("root").alias("v"))
+    links, links_path = inside.select(F.col("v").alias("u"), F.col("root").alias("v")), None
     several = rows.filter("groups > 1")
     if several.isEmpty():
+        drop(spark, rows_path)
         return links
-    several = cut(several.join(inside.select("v", F.col("root").alias("own")).distinct(), "v"))
+    several, several_path = kept(several.join(inside.select("v", F.col("root").alias("own")).distinct(), "v"))
+    drop(spark, rows_path)
     several_members = several.select("cluster", "v").distinct()
     degrees = inside.groupBy("v").agg(F.max("degree").alias("degree"))
     visited, leaders_at_once = None, FIRST_LEADERS
@@ -362,10 +370,14 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
         chosen = waiting.join(degrees, "v").select("cluster", "v", rank.alias("rank")).filter(F.col("rank") <= leaders_at_once)
         chosen = cut(chosen.select("cluster", "v"))
         if chosen.isEmpty():
+            drop(spark, several_path)
             return links
         leaders = several.join(chosen.select("v"), "v", "left_semi")
         active = several.join(chosen.select("cluster").distinct(), "cluster", "left_semi")
-        links = cut(links.unionByName(_confirm_leaders(active, leaders, size, percent)).distinct())
+        links, path = kept(links.unionByName(_confirm_leaders(active, leaders, size, percent)).distinct())
+        if links_path:
+            drop(spark, links_path)
+        links_path = path
         visited = chosen.select("v") if visited is None else cut(visited.unionByName(chosen.select("v")))
         leaders_at_once = min(4 * leaders_at_once, MOST_LEADERS)
 
@@ -400,7 +412,9 @@ def near_duplicates(
     sets = cut(sets.dropDuplicates(["a", "b", "v"]).select("v", "a", "b", "n", "tokens"))
     n_sets = sets.count()
     sets = sets.coalesce(tasks(n_sets, AT_ONCE))
-    clusters = components(_rough_links(sets, n_sets, enough, percent, small_node))
+    used: list[str] = []
+    clusters = components(_rough_links(sets, n_sets, enough, percent, small_node, used))
+    drop(docs.sparkSession, *used)
     links = _confirmed_links(docs, sets, clusters, shingle, percent, group)
     roots = components(links)
     classes = named.join(roots, named.v == roots.vertex, "left").select("a", "b", F.coalesce("root", "v").alias("component"))
