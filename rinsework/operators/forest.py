@@ -129,10 +129,22 @@ def _interval_test(ends: np.ndarray, flagged: np.ndarray):
     if start is not None:
         spans.append((start, math.inf))
 
+    return span_test(spans)
+
+
+def span_test(spans: list[tuple[float, float]]):
+    """Test of a column against disjoint rising spans (low, high], a null for null: halving comparisons, as deep as the
+    logarithm of their number."""
+    # a value lies in a span if an odd number of all ends lies below it
+    ends = [e for span in spans for e in span]
+
     def test(x):
-        hit = F.lit(False)
-        for low, high in spans:
-            hit = hit | ((x > F.lit(low)) & (x <= F.lit(high)))
-        return hit
+        def within(first: int, last: int):
+            if first == last:
+                return F.lit(first % 2 == 1)
+            middle = (first + last) // 2
+            return F.when(x <= F.lit(ends[middle]), within(first, middle)).otherwise(within(middle + 1, last))
+
+        return F.when(x.isNotNull(), within(0, len(ends)))
 
     return test

@@ -336,6 +336,18 @@ def test_local_outlier_share(spark):
     assert 0 < sum(flags) <= 0.05 * len(cells) + 1 and flags[10] and flags[20]
 
 
+def test_thousands_of_flagged_spans(spark):
+    from rinsework.operators.forest import span_test
+
+    spans = [(float("-inf"), -5.0), *[(3.0 * k, 3.0 * k + 1) for k in range(2_000)], (9_000.0, float("inf"))]
+    df = spark.range(-40, 20_000).select((F.col("id") / 2).alias("x")).unionByName(spark.createDataFrame([(None,)], "x double"))
+    got = df.select("x", span_test(spans)(F.col("x")).alias("hit")).collect()
+    for r in got:
+        want = None if r.x is None else r.x <= -5 or r.x > 9_000 or (0 < r.x <= 5_998 and 0 < r.x % 3 <= 1)
+        assert r.hit == want, r
+    assert df.select(span_test([])(F.col("x")).alias("hit")).filter("hit").count() == 0
+
+
 def test_isolation_forest(spark):
     cells = spread(2000)
     df = numbered(spark, cells)
