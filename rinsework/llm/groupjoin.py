@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 4, 85
 BANDS, BAND = 4, 3
 #: Documents whose pairs are looked at together, and visitors of an opened table.
 PIECE, VISITORS = 128, 256
+#: Times that clusters of several pieces are dealt anew.
+DEALS = 4
 #: Sets of one table differ in size by less than this factor.
 SIZE_STEP = 1.05
 #: Tokens per chunk of documents and per range of the matrix; there are at least LEAST of each, and chunks lie in at most
@@ -164,12 +166,13 @@ def _rough_clusters(sets: DataFrame) -> DataFrame:
     return components(keys.mapInArrow(star, "u bigint, v bigint"))
 
 
-def _in_parts(rows: DataFrame, keys: list[str], count: str, part: str, most: int) -> DataFrame:
-    """Append into how many parts of about ``most`` rows the keys are cut, and the row's part, drawn by its id and set."""
+def _in_parts(rows: DataFrame, keys: list[str], count: str, part: str, most: int, deal: int = 0) -> DataFrame:
+    """Append into how many parts of about ``most`` rows the keys are cut, and the row's part, drawn by its id and set;
+    another ``deal`` draws other parts."""
     counts = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")))
     counts = counts.select(*keys, "rows", F.ceil(F.col("rows") / most).cast("int").alias(count))
     cells = attach(rows, counts, {k: k for k in keys}, [count], "rows")
-    return cells.withColumn(part, F.pmod(F.xxhash64("v", "h", count), F.col(count)).cast("int"))
+    return cells.withColumn(part, F.pmod(F.xxhash64(F.lit(deal), "v", "h", count), F.col(count)).cast("int"))
 
 
 CONFIRMED = "v bigint, h bigint, root bigint, cluster bigint, body binary"
@@ -207,8 +210,16 @@ def _confirmed(rows: DataFrame, n: int, size: int, percent: int) -> DataFrame:
 
 
 def _links_in_clusters(clustered: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links inside rough clusters, enough of them to hold together what is alike. Rows: v, h, cluster, body."""
+    """Links inside rough clusters, enough of them to hold together what is alike. Rows: v, h, cluster, body.
+
+    Clusters of several pieces are dealt DEALS times, so a member linked to one in fifty of the others is hardly ever left
+    alone; the best linked members of the first deal then meet those of the other pieces.
+    """
     n, links, rows = clustered.count(), None, clustered
+    for deal in range(1, DEALS):
+        dealt = _in_parts(clustered, ["cluster"], "pieces", "piece", PIECE, deal).filter("pieces > 1")
+        done = cut(_confirmed(dealt, n, size, percent).filter("v <> root").select(F.col("v").alias("u"), F.col("root").alias("v")))
+        links = done if links is None else links.unionByName(done)
     while True:
         done = cut(_confirmed(_in_parts(rows, ["cluster"], "pieces", "piece", PIECE), n, size, percent))
         found = done.filter("v <> root").select(F.col("v").alias("u"), F.col("root").alias("v"))
