@@ -91,6 +91,12 @@ def test_only_candidates_travel_as_text(spark, table, monkeypatch):
     assert {f.name for f in shown[1].schema} == {"i", "h1", "h2", "n"}
 
 
+def test_hashes_take_the_seed_first(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("k"))
+    for h, seed in zip(heavy.hashes(df, "k"), (1, 2)):
+        assert df.filter(h != F.xxhash64(F.lit(seed), F.col("k"))).count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "a string, x double")
     assert heavy.modes(df, ["a", "x"]) == {}
