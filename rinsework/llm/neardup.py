@@ -7,10 +7,11 @@ comes through L levels with probability 0.96^L: where nodes stay large to the fi
 in all six with probability 4.0e-5.
 
 Small nodes are compared exhaustively, by the share of equal minwise tokens; pairs that may be similar make rough
-clusters. Inside these, links are confirmed on the full sets. In a large node, members that are much like its
-leader join the leader's rough cluster and go no deeper, so a crowd of near copies does not multiply on its way
-down; a node that stays large to the last level joins a rough cluster whole. Clusters of any size are confirmed in
-bounded groups, so no pair is given up for skew.
+clusters. Inside these, links are confirmed on the full sets. A large node has a centre, in each place the commonest
+token of its members: those much like it join its rough cluster and go no deeper, so a crowd of near copies, which lie
+nearer to what they were made from than to one another, does not multiply on its way down; a node that stays large to
+the last level joins a rough cluster whole. Clusters of any size are confirmed in bounded groups, so no pair is given
+up for skew.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ TREES, LEVELS, CHILDREN = 6, 5, 2
 TOKENS = TREES * LEVELS * CHILDREN
 #: Equal tokens a pair needs to be looked at on its sets: five standard deviations below what similarity 0.8 gives.
 ENOUGH = 32
-#: Equal tokens with the leader of a large node from which a member joins the leader's cluster, and from which it
-#: goes no deeper. Unequal tokens are a metric: who shares 36 tokens with a member that shares 48 with the leader
-#: shares at least 24 with the leader, so both are in its cluster. A pair of similarity 0.8 shares fewer than 36 with
+#: Equal tokens with the centre of a large node from which a member joins the centre's cluster, and from which it
+#: goes no deeper. Unequal tokens are a metric: who shares 36 tokens with a member that shares 48 with the centre
+#: shares at least 24 with the centre, so both are in its cluster. A pair of similarity 0.8 shares fewer than 36 with
 #: probability 1.0e-4, in all trees alike, as all read the same 60 tokens.
 JOIN, RETIRE = 24, 48
+#: Members that a centre is taken from, about; any centre will do, a good one lets more members retire.
+VOTERS = 64
 #: Members of a node that is compared exhaustively; documents of a cluster confirmed in one group.
 SMALL_NODE = 512
 GROUP = 128
@@ -181,14 +184,16 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int, percent: int)
     return bundled.applyInArrow(compare, "u bigint, v bigint").filter("u <> v")
 
 
-def _with_leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of large nodes with ``equal``, the number of minwise tokens they share with the least member."""
-    # few leaders are broadcast; of many those with very many members are, so these stay where they are
-    counts = large.groupBy("least").agg(F.count(F.lit(1)).alias("members"))
-    leaders = cut(counts.join(sets.select(F.col("v").alias("least"), F.col("tokens").alias("theirs")), "least"))
-    rows = attach(large.join(sets.select("v", "tokens"), "v"), leaders, {"least": "least"}, ["theirs"], "members")
+def _with_centres(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of large nodes with ``equal``, the number of minwise tokens they share with their node's centre."""
+    drawn = F.pmod(F.xxhash64("node", "v"), F.ceil(F.col("size") / VOTERS)) == 0
+    voters = large.filter(drawn).join(sets.select("v", "tokens"), "v")
+    commonest = [F.mode(F.get("tokens", F.lit(k)), deterministic=True) for k in range(TOKENS)]
+    # few centres are broadcast; of many those with very many members are, so these stay where they are
+    centres = cut(voters.groupBy("node").agg(F.array(*commonest).alias("theirs"), F.first("size").alias("size")))
+    rows = attach(large.join(sets.select("v", "tokens"), "v"), centres, {"node": "node"}, ["theirs"], "size")
     equal = F.size(F.filter(F.zip_with("tokens", "theirs", lambda a, b: a == b), lambda same: same))
-    return rows.select("v", "node", "least", equal.alias("equal"))
+    return rows.select("v", "node", equal.alias("equal"))
 
 
 def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_node: int, used: list[str]) -> DataFrame:
@@ -199,8 +204,8 @@ def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_
     for level in range(LEVELS):
         rows = _children(rows, level)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
-        leader = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
-        members, path = kept(rows.join(sizes, "node").select("v", "node", leader).coalesce(n))
+        least = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
+        members, path = kept(rows.join(sizes, "node").select("v", "node", "size", least).coalesce(n))
         used.append(path)
         found.append(_small_nodes(members.filter("least is null"), sets, enough, percent))
         large = members.filter("least is not null")
@@ -209,10 +214,10 @@ def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_
         if level == LEVELS - 1:
             found.append(large.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v"))
             break
-        large, path = kept(_with_leaders(large, sets).coalesce(n))
+        large, path = kept(_with_centres(large, sets).coalesce(n))
         used.append(path)
-        joined = large.filter((F.col("equal") >= JOIN) & (F.col("v") != F.col("least")))
-        found.append(joined.select(F.col("v").alias("u"), F.col("least").alias("v")))
+        # a centre is a vertex of its own, named by its node; it has no text and leaves before links are confirmed
+        found.append(large.filter(F.col("equal") >= JOIN).select(F.col("v").alias("u"), F.col("node").alias("v")))
         rows = large.filter(F.col("equal") < RETIRE).join(sets.select("v", "tokens"), "v")
     links = found[0]
     for more in found[1:]:
