@@ -27,6 +27,9 @@ RANK_OFFSET, BYTE_PENALTY = 2.7, 10.0
 PARTS = 1_000_000
 #: Nodes of a worker's trie and words it remembers: bounds on memory, not on results.
 MAX_NODES, REMEMBERED = 150_000, 120_000
+#: Bits of a code point, and of a code point with the number of a piece prefix above it.
+CHAR, NODE = 21, 45
+PREFIX = (1 << NODE) - (1 << CHAR)
 
 
 def piece_scores(path: str) -> dict[str, int]:
@@ -43,55 +46,68 @@ def piece_scores(path: str) -> dict[str, int]:
 
 
 class CountTrie:
-    """Distinct pre-tokens; each node holds score and count of its prefix and the pieces under way."""
+    """Distinct pre-tokens; each node holds score and count of its prefix and the pieces under way.
+
+    A step is an integer, the number of a node or piece prefix above the code point that follows it. A piece under way is
+    one too: the node where it began above its prefix. Integers are nothing to the garbage collector, unlike some
+    hundred thousand small containers.
+    """
 
     def __init__(self, scores: dict[str, int]):
-        self.go: dict[tuple[int, str], int] = {}
-        self.ends: dict[int, int] = {}
+        ends, numbers = {}, {"": 0}
         for piece, score in scores.items():
-            state = 0
-            for c in piece:
-                state = self.go.setdefault((state, c), len(self.go) + 1)
-            self.ends[state] = score
+            for k in range(1, len(piece) + 1):
+                ends[piece[:k]] = score if k == len(piece) else ends.get(piece[:k])
+                if k < len(piece):
+                    numbers.setdefault(piece[:k], len(numbers))
+        #: Per step the score of the piece that ends with it, if one does, and the prefix that may go on, or 0.
+        self.go = {
+            numbers[p[:-1]] << CHAR | ord(p[-1]): (own, numbers.get(p, 0) << CHAR) for p, own in ends.items()
+        }
+        self.single = {piece for piece in scores if len(piece) == 1}
         self.byte = min(scores.values(), default=0) - round(PARTS * BYTE_PENALTY)
-        self.counts: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.count, self.under_way = [0], [0], [[]]
+        self.child: dict[int, int] = {}
+        self.score, self.count, self.under_way = [0], [0], [(0,)]
 
-    def below(self, node: int, c: str) -> int:
+    def below(self, node: int, code: int) -> int:
         """The node one character further, made if new: what ends here competes, the rest is handed on."""
-        score, count = self.score[node], self.count[node]
-        best, fewest, going, single = None, 0, [], False
-        for state, before, n in (*self.under_way[node], (0, score, count)):
-            state = self.go.get((state, c))
-            if state is None:
+        scores, counts, go = self.score, self.count, self.go
+        best, fewest, going, made = None, 0, [], len(scores)
+        for x in self.under_way[node]:
+            found = go.get(x & PREFIX | code)
+            if found is None:
                 continue
-            going.append((state, before, n))
-            own = self.ends.get(state)
+            own, further = found
+            began = x >> NODE
             if own is not None:
-                single |= n == count and before == score and (0, c) in self.go and self.go[0, c] == state
-                if best is None or (before + own, -n - 1) > (best, -fewest):
-                    best, fewest = before + own, n + 1
-        if not single:  # a character that is no piece goes byte by byte
+                total, n = scores[began] + own, counts[began] + 1
+                if best is None or total > best or total == best and n < fewest:
+                    best, fewest = total, n
+            if further:
+                going.append(began << NODE | further)
+        c = chr(code)
+        if c not in self.single:  # a character that is no piece goes byte by byte
             size = len(c.encode("utf-8"))
-            if best is None or (score + size * self.byte, -count - size) > (best, -fewest):
-                best, fewest = score + size * self.byte, count + size
-        made = self.child[node, c] = len(self.score)
-        self.score.append(best)
-        self.count.append(fewest)
-        self.under_way.append(going)
+            total, n = scores[node] + size * self.byte, counts[node] + size
+            if best is None or total > best or total == best and n < fewest:
+                best, fewest = total, n
+        going.append(made << NODE)  # pieces may begin here
+        self.child[node << CHAR | code] = made
+        scores.append(best)
+        counts.append(fewest)
+        self.under_way.append(tuple(going))
         return made
 
     def insert(self, word: str) -> int:
         """The tokens of a word that follows a blank."""
         if len(self.score) > MAX_NODES:
             self.clear()
-        node = 0
-        for c in BLANK + word:
-            node = self.child.get((node, c)) or self.below(node, c)
+        node, known = 0, self.child.get
+        for code in map(ord, BLANK + word):
+            node = known(node << CHAR | code) or self.below(node, code)
         return self.count[node]
 
 
