@@ -101,9 +101,7 @@ class TextEncoder:
         return np.frombuffer(b"".join(out), np.int32)
 
     def cells(self, word: str) -> list[bytes]:
-        """The pre-tokens of a word in UTF-8; letters, with or without one of the commonest marks behind, need no pattern."""
-        if word.isalpha():
-            return [word.encode()]
+        """The pre-tokens in UTF-8 of a word that is not letters alone; letters and one of the commonest marks need no pattern."""
         if word[-1:] in self.marks and word[:-1].isalpha():
             return [word[:-1].encode(), word[-1:].encode()]
         return [p.encode() for p in self.pieces(word)]
@@ -122,10 +120,14 @@ class TextEncoder:
                 new.append(i)
             else:
                 out[i] = recent[distinct[i]] = known
-        cells = [self.cells(distinct[i]) for i in new]
-        known = self.ids_of(sorted(set(chain.from_iterable(cells))))
-        for i, own in zip(new, cells):
-            out[i] = recent[distinct[i]] = known[own[0]] if len(own) == 1 else b"".join([known[c] for c in own])
+        # words of letters are pre-tokens themselves and need no list each
+        letters = {i: distinct[i].encode() for i in new if distinct[i].isalpha()}
+        cells = {i: self.cells(distinct[i]) for i in new if i not in letters}
+        known = self.ids_of(sorted({*letters.values(), *chain.from_iterable(cells.values())}))
+        for i, own in letters.items():
+            out[i] = recent[distinct[i]] = known[own]
+        for i, own in cells.items():
+            out[i] = recent[distinct[i]] = b"".join([known[c] for c in own])
         return out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
