@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from rinsework.plans.cut import drop, kept
@@ -22,10 +22,9 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+def _met(edges: DataFrame, least: DataFrame, size: Row) -> DataFrame:
     """Edges with the least neighbour ``m`` of their ``u``. Few vertices are broadcast; of many, the hubs are, of which
-    there are at most HOT_KEYS, so a hub's edges stay where they are."""
-    size = least.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("edges")).first()
+    there are at most HOT_KEYS, so a hub's edges stay where they are. ``size`` has the vertices and their edges."""
     table = least.select(F.col("u").alias("k"), "m", "n")
     here = F.col("u") == F.col("k")
     if size.rows <= BROADCAST_ROWS:
@@ -37,41 +36,45 @@ def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
     return of_hubs.unionByName(others)
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
-    """Larger neighbours of a vertex are tied to the least vertex it knows."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least, path = kept(_least_neighbour(both))
-    larger = _met(both.filter(F.col("v") > F.col("u")), least)
-    return larger.select(F.col("v").alias("u"), F.least("u", "m").alias("v")), path
+def _size(least: DataFrame) -> Row:
+    """Vertices, their edges, and the vertices that have a smaller neighbour and another one besides."""
+    more = F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1))
+    return least.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("edges"), more.alias("open")).first()
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
+def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, str]:
     """A vertex and its smaller neighbours are tied to the least of them. Edges run from larger to smaller."""
-    least, path = kept(_least_neighbour(edges))
-    rest = _met(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least, path = kept(_least_neighbour(edges).coalesce(n))
+    rest = _met(edges, least, _size(least)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct(), path
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``edges`` has two integer columns; returns (vertex, root) for each vertex with an edge to another.
 
     ``root`` is the least vertex of the component, and a root comes with itself. Loops, repeated edges and edges
-    with a null end add nothing; no edges give no rows. Each round is a table on the shared folder, removed when the next
-    one stands; the rounds end when the edges no longer change, which takes a few for shallow graphs and a logarithm of
-    them for chains.
+    with a null end add nothing; no edges give no rows. ``most`` is the number of edges there may be, for a suitable
+    number of tasks. Each round is a table on the shared folder, removed when the next one stands; the rounds end when
+    no vertex with a smaller neighbour has another one, as then all are stars around their least vertex, which takes a
+    few for shallow graphs and a logarithm of them for chains.
     """
     spark, (u, v) = edges.sparkSession, (F.col(f"`{c}`").cast("bigint") for c in edges.columns[:2])
-    stars, path = kept(edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "stars")
-    mark = None
+    pairs = edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+    stars, path = kept(pairs if most is None else pairs.coalesce(tasks(most)), "stars")
     while True:
-        now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or now.n == 0:
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # larger neighbours of a vertex are tied to the least vertex it knows
+        found = _least_neighbour(both)
+        least, used = kept(found if most is None else found.coalesce(tasks(most)))
+        size = _size(least)
+        if not size.open:
+            drop(spark, used)
             break
-        mark, n = now, tasks(now.n)
-        large, used = _large_star(stars)
-        half, half_path = kept(large.coalesce(n))
-        small, used_too = _small_star(half)
-        stars, new_path = kept(small.coalesce(n), "stars")
+        most = size.edges // 2
+        larger = _met(both.filter(F.col("v") > F.col("u")), least, size)
+        half, half_path = kept(larger.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).coalesce(tasks(most)))
+        small, used_too = _small_star(half, tasks(most))
+        stars, new_path = kept(small.coalesce(tasks(most)), "stars")
         drop(spark, path, used, half_path, used_too)
         path = new_path
     roots = stars.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()

@@ -16,6 +16,8 @@ up for skew.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,8 +53,9 @@ VOTERS = 64
 #: Members of a node that is compared exhaustively; documents of a cluster confirmed in one group.
 SMALL_NODE = 512
 GROUP = 128
-#: Leaders of a cluster that visit its groups in one round, at first and at most; rounds go on until all have.
-FIRST_LEADERS, MOST_LEADERS = 32, 512
+#: Leaders of a cluster that visit its groups in the first round, how many times more do so in each that follows, and
+#: those that a group is sent at once; rounds go on until all have visited.
+FIRST_LEADERS, MORE_LEADERS, MOST_LEADERS = 32, 16, 512
 #: Rows that a task takes at once, over many small nodes or clusters; there are at least LEAST such bundles.
 AT_ONCE = 4096
 LEAST = 64
@@ -151,7 +154,8 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
 
 
 def _small_nodes(members: DataFrame, sets: DataFrame, enough: int, percent: int) -> DataFrame:
-    """Links that may be similar, from exhaustive comparison inside small nodes: a star for each bundle of them."""
+    """Links that may be similar, from exhaustive comparison inside small nodes of all trees and levels: a star for each
+    bundle of them."""
     # a byte of each token is enough here: bytes of equal tokens are equal, others rarely are
     low = F.transform("tokens", lambda t: (F.pmod(t, F.lit(256)) - 128).cast("tinyint"))
     size = members.count()
@@ -184,13 +188,13 @@ def _small_nodes(members: DataFrame, sets: DataFrame, enough: int, percent: int)
     return bundled.applyInArrow(compare, "u bigint, v bigint").filter("u <> v")
 
 
-def _with_centres(large: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_centres(large: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """Members of large nodes with ``equal``, the number of minwise tokens they share with their node's centre."""
     drawn = F.pmod(F.xxhash64("node", "v"), F.ceil(F.col("size") / VOTERS)) == 0
     voters = large.filter(drawn).join(sets.select("v", "tokens"), "v")
     commonest = [F.mode(F.get("tokens", F.lit(k)), deterministic=True) for k in range(TOKENS)]
     # few centres are broadcast; of many those with very many members are, so these stay where they are
-    centres = cut(voters.groupBy("node").agg(F.array(*commonest).alias("theirs"), F.first("size").alias("size")))
+    centres = cut(voters.groupBy("node").agg(F.array(*commonest).alias("theirs"), F.first("size").alias("size")).coalesce(n))
     rows = attach(large.join(sets.select("v", "tokens"), "v"), centres, {"node": "node"}, ["theirs"], "size")
     equal = F.size(F.filter(F.zip_with("tokens", "theirs", lambda a, b: a == b), lambda same: same))
     return rows.select("v", "node", equal.alias("equal"))
@@ -200,29 +204,29 @@ def _rough_links(sets: DataFrame, n_sets: int, enough: int, percent: int, small_
     """Links between sets that may be similar, from all trees. The tables they are read from are added to ``used``."""
     n = tasks(TREES * CHILDREN * n_sets)
     rows = sets.select("v", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)).cast("array<bigint>")).alias("node"))
-    found = []
+    small, found = [], []
     for level in range(LEVELS):
-        rows = _children(rows, level)
+        # both their count and the join read the children, which are made once
+        rows, path = kept(_children(rows, level).coalesce(n))
+        used.append(path)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("least")).filter("size > 1")
         least = F.when(F.col("size") > small_node, F.col("least")).alias("least")  # of large nodes only
         members, path = kept(rows.join(sizes, "node").select("v", "node", "size", least).coalesce(n))
         used.append(path)
-        found.append(_small_nodes(members.filter("least is null"), sets, enough, percent))
+        small.append(members.filter("least is null"))
         large = members.filter("least is not null")
         if large.isEmpty():
             break
         if level == LEVELS - 1:
             found.append(large.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v"))
             break
-        large, path = kept(_with_centres(large, sets).coalesce(n))
+        large, path = kept(_with_centres(large, sets, n).coalesce(n))
         used.append(path)
         # a centre is a vertex of its own, named by its node; it has no text and leaves before links are confirmed
         found.append(large.filter(F.col("equal") >= JOIN).select(F.col("v").alias("u"), F.col("node").alias("v")))
         rows = large.filter(F.col("equal") < RETIRE).join(sets.select("v", "tokens"), "v")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links
+    links = _small_nodes(reduce(DataFrame.unionByName, small), sets, enough, percent)
+    return reduce(DataFrame.unionByName, found, links)
 
 
 CONFIRMED = "v bigint, root bigint, degree bigint"
@@ -302,7 +306,8 @@ def _confirm_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _confirm_leaders(rows: DataFrame, leaders: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between some leaders of a cluster and all its members: leaders visit every group of their cluster."""
+    """Links between some leaders of a cluster and all its members: leaders visit every group of their cluster, in
+    batches, which ``leaders`` numbers from 0 below its ``batches``."""
 
     def confirm(members, visitors):
         empty = pa.table([pa.array([], pa.int64())] * 2, names=["u", "v"])
@@ -316,18 +321,21 @@ def _confirm_leaders(rows: DataFrame, leaders: DataFrame, size: int, percent: in
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
     groups = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")
-    visits = leaders.select(F.col("cluster").alias("c"), groups, F.col("v").alias("visitor"), F.col("body").alias("theirs"))
-    members = rows.select("cluster", "group", "own", "body")
-    return members.groupBy("cluster", "group").cogroup(visits.groupBy("c", "g")).applyInArrow(confirm, "u bigint, v bigint")
+    visits = leaders.select(F.col("cluster").alias("c"), groups, "b", F.col("v").alias("visitor"), F.col("body").alias("theirs"))
+    batch = F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch")
+    members = rows.select("cluster", "group", batch, "own", "body")
+    pairs = members.groupBy("cluster", "group", "batch").cogroup(visits.groupBy("c", "g", "b"))
+    return pairs.applyInArrow(confirm, "u bigint, v bigint").distinct()
 
 
-def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size: int, percent: int, group: int) -> DataFrame:
-    """Links on full sets inside rough clusters, enough of them for their components to be exact.
+def _confirmed_roots(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size: int, percent: int, group: int) -> DataFrame:
+    """The least vertex that each member of a rough cluster is joined with by links on full sets, as (vertex, root).
 
     A cluster of up to ``group`` documents is one group and all its pairs are looked at. In a larger one, all
     pairs inside each group are; then leaders visit all groups in rounds, first the best linked members, then
-    every member outside the largest component so far, until each of them has visited: no pair is left out but
-    pairs inside one component. Rounds quadruple the number of leaders, up to a bound on what one group is sent at once.
+    members outside the largest component so far, until each of them has visited: no pair is left out but
+    pairs inside one component. Each round has more leaders than the one before; a group is sent a bounded number of
+    them at once. After a round only the roots that its links join are joined anew.
     """
     counts = clusters.groupBy("root").agg(F.count("*").alias("n_docs"))
     groups = F.ceil(F.col("n_docs") / group).cast("int")
@@ -351,40 +359,55 @@ def _confirmed_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, size
     rows, rows_path = kept(texts.coalesce(tasks(clusters.count(), 4 * GROUP)).mapInArrow(run, schema))
     inside = _confirm_groups(rows, size, percent)
     inside = cut(inside.coalesce(tasks(rows.count())))
-    links, links_path = inside.select(F.col("v").alias("u"), F.col("root").alias("v")), None
+    roots = inside.select(F.col("v").alias("vertex"), "root").distinct()
     several = rows.filter("groups > 1")
-    if several.isEmpty():
+    n_several = several.count()
+    if not n_several:
         drop(spark, rows_path)
-        return links
-    several, several_path = kept(several.join(inside.select("v", F.col("root").alias("own")).distinct(), "v"))
+        return roots
+    own = several.join(inside.select("v", F.col("root").alias("own")).distinct(), "v")
+    several, several_path = kept(own.coalesce(tasks(n_several, 4 * GROUP)))
+    n = tasks(n_several)
     drop(spark, rows_path)
-    several_members = several.select("cluster", "v").distinct()
+    state, state_path = kept(several.select("cluster", "v", F.col("own").alias("root")).distinct().coalesce(n))
     degrees = inside.groupBy("v").agg(F.max("degree").alias("degree"))
-    visited, leaders_at_once = None, FIRST_LEADERS
+    visited, at_once = None, FIRST_LEADERS
     while True:
-        roots = components(links)
-        state = several_members.join(roots, several_members.v == roots.vertex, "left").select(
-            "cluster", "v", F.coalesce("root", "v").alias("root")
-        )
         sizes = state.groupBy("cluster", "root").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("parts"))
-        state = state.join(largest.filter("parts > 1"), "cluster")
-        waiting = state if visited is None else state.filter(F.col("root") != F.col("main")).join(visited, "v", "left_anti")
-        # the best linked go first; ranks up to a bound are found task by task before any shuffle
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), F.xxhash64("v"), "v"))
-        chosen = waiting.join(degrees, "v").select("cluster", "v", rank.alias("rank")).filter(F.col("rank") <= leaders_at_once)
-        chosen = cut(chosen.select("cluster", "v"))
+        waiting = state.join(largest.filter("parts > 1"), "cluster")
+        if visited is None:
+            # the best linked go first; ranks up to a bound are found task by task before any shuffle
+            rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), F.xxhash64("v"), "v"))
+            chosen = waiting.join(degrees, "v").select("cluster", "v", rank.alias("rank")).filter(F.col("rank") <= at_once)
+            chosen = chosen.select("cluster", "v")
+        else:
+            waiting = waiting.filter(F.col("root") != F.col("main")).join(visited, "v", "left_anti")
+            counts = waiting.groupBy("cluster").agg(F.count("*").alias("waiting"))
+            drawn = F.pmod(F.xxhash64(F.lit(at_once), "v"), F.ceil(F.col("waiting") / at_once)) == 0
+            chosen = waiting.join(counts, "cluster").filter(drawn).select("cluster", "v")
+        chosen = cut(chosen.coalesce(n))
         if chosen.isEmpty():
-            drop(spark, several_path)
-            return links
-        leaders = several.join(chosen.select("v"), "v", "left_semi")
-        active = several.join(chosen.select("cluster").distinct(), "cluster", "left_semi")
-        links, path = kept(links.unionByName(_confirm_leaders(active, leaders, size, percent)).distinct())
-        if links_path:
-            drop(spark, links_path)
-        links_path = path
+            break
+        batches = chosen.groupBy("cluster").agg(F.ceil(F.count("*") / MOST_LEADERS).cast("int").alias("batches"))
+        active = several.join(batches, "cluster")
+        leaders = active.join(chosen.select("v"), "v", "left_semi")
+        leaders = leaders.withColumn("b", F.pmod(F.xxhash64(F.lit("batch"), "v"), F.col("batches")).cast("int"))
+        links, links_path = kept(_confirm_leaders(active, leaders, size, percent).coalesce(n))
+        # the roots that the links join
+        for end in ("u", "v"):
+            named = state.select(F.col("v").alias("k"), F.col("root").alias("r"))
+            links = links.join(named, F.col(end) == F.col("k")).withColumn(end, F.col("r")).select("u", "v")
+        moved = components(links, n_several).withColumnRenamed("root", "to")
+        moved = cut(moved.join(sizes.select(F.col("root").alias("vertex"), "size"), "vertex").coalesce(n))
+        state, old = attach(state, moved, {"root": "vertex"}, ["to"], "size"), state_path
+        state, state_path = kept(state.select("cluster", "v", F.coalesce("to", "root").alias("root")).coalesce(n))
+        drop(spark, old, links_path)
         visited = chosen.select("v") if visited is None else cut(visited.unionByName(chosen.select("v")))
-        leaders_at_once = min(4 * leaders_at_once, MOST_LEADERS)
+        at_once *= MORE_LEADERS
+    drop(spark, several_path)
+    alone = roots.join(state, roots.vertex == state.v, "left_anti")
+    return alone.unionByName(state.select(F.col("v").alias("vertex"), "root"))
 
 
 def near_duplicates(
@@ -418,10 +441,9 @@ def near_duplicates(
     n_sets = sets.count()
     sets = sets.coalesce(tasks(n_sets, AT_ONCE))
     used: list[str] = []
-    clusters = components(_rough_links(sets, n_sets, enough, percent, small_node, used))
+    clusters = components(_rough_links(sets, n_sets, enough, percent, small_node, used), TREES * n_sets)
     drop(docs.sparkSession, *used)
-    links = _confirmed_links(docs, sets, clusters, shingle, percent, group)
-    roots = components(links)
+    roots = _confirmed_roots(docs, sets, clusters, shingle, percent, group)
     classes = named.join(roots, named.v == roots.vertex, "left").select("a", "b", F.coalesce("root", "v").alias("component"))
     rows = features.select("d", "n", "a", "b").join(classes, ["a", "b"], "left")
     component = F.when((F.col("n") > 0) & F.col("d").isNotNull(), F.col("component")).otherwise(F.col("d"))

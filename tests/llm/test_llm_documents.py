@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import pytest
 from fixtures_llm import nothing, odd_documents
 
-from rinsework.llm import contamination, divergence, lines, neardup, repeats
+from rinsework.llm import contamination, divergence, graph, lines, neardup, repeats
 from rinsework.llm.graph import components
+from rinsework.plans.cut import kept
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +188,42 @@ def test_classes_at_a_lower_percent(spark):
     assert len({c for _, c in want.values()}) == 10
 
 
+def test_children_are_made_once(spark, monkeypatch):
+    made = []
+
+    def counted(rows, level, children=neardup._children):
+        total = spark.sparkContext.accumulator(0)
+        made.append(total)
+
+        def count(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield batch
+
+        return children(rows, level).mapInArrow(count, "v bigint, node bigint")
+
+    monkeypatch.setattr(neardup, "_children", counted)
+    rows = [(k, t) for k, t in enumerate(chain(12))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), small_node=4).count()
+    assert made[0].value == neardup.TREES * neardup.CHILDREN * got
+
+
+def test_rounds_join_only_what_their_links_join(spark, monkeypatch):
+    seen = []
+
+    def watched(edges, *more):
+        seen.append(edges.count())
+        return components(edges, *more)
+
+    monkeypatch.setattr(neardup, "components", watched)
+    monkeypatch.setattr(neardup, "FIRST_LEADERS", 2)
+    rows = list(enumerate(chain(40)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), group=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_classes(rows)
+    rough, *rounds = seen
+    assert rounds and rounds[-1] <= rounds[0] < 40
+
+
 def test_drop_near_duplicates(spark):
     docs = odd_documents(spark)
     left = neardup.drop_near_duplicates(docs)
@@ -197,6 +234,15 @@ def test_drop_near_duplicates(spark):
     assert neardup.near_duplicates(nothing(spark)).count() == 0
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "kept", lambda df, *name: tables.append(name) or kept(df, *name))
+    edges = [(7, 1), (5, 1), (9, 2), (9, 9), (5, 1)]
+    got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2}
+    assert len(tables) <= 2  # the stars and their least neighbours
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200, 260)] + [(5, 3), (3, 5), (9, 9), (None, 4), (7, None), (1, 3), (40, 41), (42, 41)]
     got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
