@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import string
 from itertools import chain
 
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from rinsework.llm.arrow import strings
+
 #: Fixed values of the vocabulary file's normaliser and pre-tokeniser.
 SPACE = r"\t-\r \x85\p{Z}"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -22,6 +25,9 @@ UNSETTLED = (
     r"[^\x00-\x1B\x20-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}"
     r"\x{3041}-\x{3093}\x{30A1}-\x{30F6}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}]"
 )
+#: ASCII letters in lower case, and ASCII digits and punctuation but the apostrophe: pre-tokens always part between the two.
+LETTER = np.array([chr(b) in string.ascii_lowercase for b in range(256)])
+MARK = np.array([chr(b) in string.digits + string.punctuation and chr(b) != "'" for b in range(256)])
 #: Words a worker remembers, in each of two generations: a bound on memory, not on results.
 REMEMBERED = 120_000
 
@@ -35,6 +41,23 @@ def byte_names() -> dict[int, str]:
     return names
 
 
+def apart(column: pa.Array) -> pa.Array:
+    """Lower-cased texts with a blank between letters and marks, so that a word is the same before any mark."""
+    data, offsets = strings(column)
+    letter, mark = LETTER[data], MARK[data]
+    at = np.flatnonzero(letter[:-1] & mark[1:] | mark[:-1] & letter[1:]) + 1
+    buffers = [None, pa.py_buffer(offsets + np.searchsorted(at, offsets)), pa.py_buffer(np.insert(data, at, ord(" ")))]
+    return pa.Array.from_buffers(pa.large_string(), len(column), buffers)
+
+
+def listed(words: pa.Array) -> list[str]:
+    """Words without blanks as a list, by one long text that Python cuts faster than Arrow hands out strings."""
+    if len(words) == 0:
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, pa.scalar(" ", words.type))[0].as_py().split(" ")
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a vocabulary file."""
 
@@ -76,7 +99,6 @@ class TextEncoder:
         self.path, self.special, self.library = path, special, None
         self.pieces = regex.compile(PIECES).findall
         self.borders = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.marks = frozenset(".,;:!?")
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -100,11 +122,11 @@ class TextEncoder:
             out += [known[c] for c in cells]
         return np.frombuffer(b"".join(out), np.int32)
 
-    def cells(self, word: str) -> list[bytes]:
-        """The pre-tokens in UTF-8 of a word that is not letters alone; letters and one of the commonest marks need no pattern."""
-        if word[-1:] in self.marks and word[:-1].isalpha():
-            return [word[:-1].encode(), word[-1:].encode()]
-        return [p.encode() for p in self.pieces(word)]
+    def of_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words of letters, which are pre-tokens themselves."""
+        cells = [w.encode() for w in words]
+        known = self.ids_of(sorted(cells))
+        return [known[c] for c in cells]
 
     def words(self, distinct: list[str]) -> list[bytes]:
         """The ids of distinct words. A full cache becomes the older one, so frequent words stay."""
@@ -114,18 +136,19 @@ class TextEncoder:
         out = list(map(recent.get, distinct))
         missing = [i for i, known in enumerate(out) if known is None]
         new = []
-        for i in missing:
-            known = older.get(distinct[i])
+        for i, known in zip(missing, [older.get(distinct[i]) for i in missing]):
             if known is None:
                 new.append(i)
             else:
                 out[i] = recent[distinct[i]] = known
-        # words of letters are pre-tokens themselves and need no list each
-        letters = {i: distinct[i].encode() for i in new if distinct[i].isalpha()}
-        cells = {i: self.cells(distinct[i]) for i in new if i not in letters}
-        known = self.ids_of(sorted({*letters.values(), *chain.from_iterable(cells.values())}))
-        for i, own in letters.items():
-            out[i] = recent[distinct[i]] = known[own]
+        letters = [i for i in new if distinct[i].isalpha()]
+        own = [distinct[i] for i in letters]
+        ids = self.of_letters(own)
+        recent.update(zip(own, ids))
+        for i, known in zip(letters, ids):
+            out[i] = known
+        cells = {i: [p.encode() for p in self.pieces(distinct[i])] for i in new if out[i] is None}
+        known = self.ids_of(sorted(set(chain.from_iterable(cells.values()))))
         for i, own in cells.items():
             out[i] = recent[distinct[i]] = b"".join([known[c] for c in own])
         return out
@@ -137,9 +160,9 @@ class TextEncoder:
         for token in self.special:
             odd = pc.or_(odd, pc.match_substring(column, token))
         plain = pc.if_else(odd, "", column) if odd.true_count else column
-        words = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        words = pc.utf8_split_whitespace(apart(pc.utf8_lower(plain)))
         codes = words.flatten().dictionary_encode()
-        known = self.words(codes.dictionary.to_pylist())
+        known = self.words(listed(codes.dictionary))
         flat = np.frombuffer(b"".join(known), np.int32)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(sizes) - sizes

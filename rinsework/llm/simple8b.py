@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BITS = np.array([0, 60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int6
 ESCAPE = 1
 #: The first id too large for each selector but the escape.
 LIMITS = np.array([1 << int(b) for s, b in enumerate(BITS) if s != ESCAPE], np.uint64)
+#: For ids of up to 16 bits, how many limits they reach.
+SIZES = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
 #: Ids per block: each block begins with a fresh word, so blocks decode side by side.
 BLOCK = 256
 #: Ids a segment holds, if its documents are not larger themselves.
@@ -50,18 +53,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     limit = np.minimum(starts + BLOCK, n)
     # a row per block, small numbers throughout: how many sizes an id is too large for, and how far a size goes on
     sizes = np.full(len(starts) * BLOCK, len(LIMITS) + 1, np.uint8)
-    sizes[:n] = np.searchsorted(LIMITS, ids, "right")
+    sizes[:n] = SIZES[ids] if n and ids.max() < len(SIZES) else np.searchsorted(LIMITS, ids, "right")
     sizes[:n][large] = len(LIMITS) + 1
     sizes, ends = sizes.reshape(-1, BLOCK), (limit - starts).astype(np.int16)[:, None]
     place = np.arange(BLOCK, dtype=np.int16)
     best = np.full(sizes.shape, ESCAPE, np.int8)
     taken = sizes > len(LIMITS)
+    kinds = len(LIMITS) + 2
+    at = np.repeat(np.arange(len(starts)) * kinds, BLOCK) + sizes.reshape(-1)
+    numbers = np.bincount(at, minlength=len(starts) * kinds).reshape(-1, kinds).cumsum(axis=1)  # of ids up to each size
+    last = sizes[np.arange(len(starts)), ends[:, 0] - 1]
     for order, s in enumerate((0, *range(2, len(COUNTS)))):
-        low = sizes <= order
         # only blocks with enough such ids, or with one at their end, can hold a run of them
-        own = np.flatnonzero((low.sum(axis=1) >= COUNTS[s]) | low[np.arange(len(low)), ends[:, 0] - 1])
+        own = np.flatnonzero((numbers[:, order] >= COUNTS[s]) | (last <= order))
+        if not len(own):
+            continue
+        if taken.all():
+            break
         stop = ends[own]
-        after = np.minimum.accumulate(np.where(low[own], stop, place)[:, ::-1], axis=1)[:, ::-1]
+        after = np.minimum.accumulate(np.where(sizes[own] <= order, stop, place)[:, ::-1], axis=1)[:, ::-1]
         after = np.minimum(after, stop)  # how far ids of so few bits go
         fits = ~taken[own] & ((after - place >= COUNTS[s]) | (after == stop) & (after > place))
         best[own] = np.where(fits, np.int8(s), best[own])
@@ -133,6 +143,11 @@ class LibraryEncoder(TextEncoder):
             out[piece] = array("i", [t.id for t in merge(text)]).tobytes()
         return out
 
+    def of_letters(self, words: list[str]) -> list[bytes]:
+        merge, names, id_of = self.merge, self.names, attrgetter("id")
+        texts = [w if w.isascii() else w.encode().decode("latin-1").translate(names) for w in words]
+        return [array("i", map(id_of, merge(text))).tobytes() for text in texts]
+
 
 #: One row per segment: whole documents in order, a byte for each that says if its id is given (0 stands for an id
 #: that is not), their lengths, and the packed ids.

@@ -38,6 +38,24 @@ def test_encoders_agree_with_the_library(kind, library):
     assert encoded(kind(WORD_BPE), texts) == library(texts)
 
 
+@pytest.mark.parametrize("kind", [bpe.Encoder, simple8b.LibraryEncoder])
+def test_words_part_from_marks(kind, library):
+    rng = random.Random(5)
+    letters = "absltremdv'''''.,-_(1\xe9\xbd́… \n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    assert encoded(kind(WORD_BPE), texts) == library(texts)
+    encoder, texts = kind(WORD_BPE), ["under, under. (under) under1 -under", ",x"]
+    assert encoded(encoder, texts) == library(texts)
+    assert sorted(w for w in encoder.recent if "under" in w) == ["under"]  # remembered once
+
+
+def test_sizes_of_short_ids_are_those_of_all():
+    ids = np.concatenate([simple8b.LIMITS, simple8b.LIMITS - np.uint64(1), np.arange(1000, dtype=np.uint64)])
+    for some in (ids, ids[ids < 1 << 16]):
+        words, offsets, escapes = simple8b.pack(some)
+        assert simple8b.unpack(words, offsets, escapes, len(some)).tolist() == some.tolist()
+
+
 def test_bounded_caches_change_nothing(library, monkeypatch):
     texts = random_texts(120)
     monkeypatch.setattr(bpe, "MAX_NODES", 50)
